@@ -1,0 +1,40 @@
+"""Composite plans: featurise -> score -> decode -> evaluate."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from spanlake.session import shuffle_partitions
+from spanlake.config import DecodeConfig, WindowConfig
+from spanlake.operators.decode import decode_spans, with_predictions
+from spanlake.operators.metrics import mean_by_language, with_jaccard
+from spanlake.operators.scoring import lexical_logits
+
+
+def partition_examples(examples: DataFrame, n: int | None = None) -> DataFrame:
+    """The one shuffle of the decode chain: ``id, context, question`` by ``id``.
+
+    Tokens, windows, top-n, candidates and the best-span aggregate are all
+    keyed by ``id`` (or finer), so they reuse this partitioning.  The partition
+    count is explicit: the work after this shuffle is about a hundred times the
+    shuffled bytes (text -> windowed tokens), so letting AQE coalesce by
+    shuffled size would leave too few tasks.
+    """
+    return examples.select("id", "context", "question").repartition(n or shuffle_partitions(examples), "id")
+
+
+def lexical_logits_for(examples: DataFrame, wcfg: WindowConfig, dcfg: DecodeConfig) -> DataFrame:
+    return lexical_logits(partition_examples(examples), wcfg, include_special=not dcfg.mask_before_topk)
+
+
+def lexical_predictions(examples: DataFrame, wcfg: WindowConfig, dcfg: DecodeConfig,
+                        keep: tuple[str, ...] = ()) -> DataFrame:
+    """F1 -> F2 -> M2 -> W1 -> J4 -> G4 -> J1: ``id, prediction, score`` (+ keep) per example."""
+    preds = decode_spans(lexical_logits_for(examples, wcfg, dcfg), dcfg)
+    return with_predictions(examples, preds, keep)
+
+
+def eval_by_language(examples: DataFrame, wcfg: WindowConfig, dcfg: DecodeConfig) -> DataFrame:
+    """Flagship: mean Jaccard of decoded spans overall and per language."""
+    preds = lexical_predictions(examples, wcfg, dcfg, keep=("language", "answer_text"))
+    return mean_by_language(with_jaccard(preds))
