@@ -148,27 +148,27 @@ def sequence_arrays(examples: DataFrame, cfg: WindowConfig, cls: str = "<s>", se
                     seq_ids.alias("sequence_ids"))
 
 
-def window_labels(wtoks: DataFrame, answers: DataFrame) -> DataFrame:
+def window_labels(wtoks: DataFrame) -> DataFrame:
     """``start_position, end_position`` per window; CLS (0) when not fully covered.
 
-    ``answers``: ``id, start_char, end_char`` (NULL start = no answer, P12).
-    Covered iff the first context token starts at or before ``start_char`` and
-    the last ends at or after ``end_char``.  Then start = last context token
+    ``wtoks`` are window tokens carrying the example's answer as ``start_char``
+    and ``end_char`` (NULL start = no answer, P12).  The window covers the
+    answer iff its first context token starts at or before ``start_char`` and
+    its last ends at or after ``end_char``; then start = last context token
     with ``ts <= start_char`` and end = first context token with
-    ``te >= end_char`` (the reference walks past the context when the answer
-    starts at the last context token, see README; here the scan stays in the context).
-    One aggregate keyed by ``(id, feature_idx)``.
+    ``te >= end_char``.  (The reference's start scan can run past the context
+    into padding when the answer starts at the last context token; here it
+    stays inside the context.)  One aggregate keyed by ``(id, feature_idx)``,
+    which the ``id`` partitioning already satisfies.
     """
-    j = wtoks.join(answers, "id")
-    agg = j.groupBy("id", "feature_idx").agg(
+    agg = wtoks.groupBy("id", "feature_idx", "start_char", "end_char").agg(
         F.min("ts").alias("_cmin"),
         F.max("te").alias("_cmax"),
         F.max(F.when(F.col("ts") <= F.col("start_char"), F.col("pos"))).alias("_s"),
         F.min(F.when(F.col("te") >= F.col("end_char"), F.col("pos"))).alias("_e"),
-        F.first("start_char", ignorenulls=False).alias("_sc"),
-        F.first("end_char", ignorenulls=False).alias("_ec"),
     )
-    covered = F.col("_sc").isNotNull() & (F.col("_cmin") <= F.col("_sc")) & (F.col("_cmax") >= F.col("_ec"))
+    covered = (F.col("start_char").isNotNull() & (F.col("_cmin") <= F.col("start_char"))
+               & (F.col("_cmax") >= F.col("end_char")))
     return agg.select(
         "id",
         "feature_idx",
