@@ -71,7 +71,7 @@ def _let(value: Column, body) -> Column:
     return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
 
 
-def _valid_ends(ends: Column, s: Column, max_answer_len: int) -> Column:
+def _valid_ends(ends: Column, s: Column, max_answer_len) -> Column:
     return F.filter(ends, lambda e: (e["pos"] >= s["pos"]) & (e["pos"] - s["pos"] < max_answer_len))
 
 
@@ -87,22 +87,28 @@ def _pairs(max_answer_len: int) -> Column:
         F.col("starts"), lambda s: F.transform(_valid_ends(ends, s, max_answer_len), lambda e: _pair(s, e)))))
 
 
-def _best_pair(max_answer_len: int) -> Column:
+def _best_pair(max_answer_len, n_best=None) -> Column:
     """Best valid pair of one window without building all pairs.
 
     For a start, the best end is the first valid entry of the rank-ordered
     end list (highest logit, then lowest end rank); the window's best is then
-    the maximum over starts of ``(score, -start rank, -end rank)``.
+    the maximum over starts of ``(score, -start rank, -end rank)``.  With
+    ``n_best`` (a column, for sweeps) only entries ranked within it take part.
     """
-    return _let(F.col("ends"), lambda ends: F.array_max(F.flatten(F.transform(
-        F.col("starts"),
+    starts, ends = F.col("starts"), F.col("ends")
+    if n_best is not None:
+        starts = F.filter(starts, lambda x: x["rk"] <= n_best)
+        ends = F.filter(ends, lambda x: x["rk"] <= n_best)
+    return _let(ends, lambda ends: F.array_max(F.flatten(F.transform(
+        starts,
         lambda s: F.transform(F.slice(_valid_ends(ends, s, max_answer_len), 1, 1), lambda e: _pair(s, e))))))
 
 
-def _span_text(c: Column) -> Column:
+def _span_text(c: Column, pieces: Column | None = None) -> Column:
     """``context[s_char:e_char]`` rebuilt from the window's pieces (leading white space dropped)."""
-    first = F.try_element_at(F.col("pieces"), F.lit(1))["pos"]
-    span = F.slice(F.col("pieces"), c["s_pos"] - first + 1, c["e_pos"] - c["s_pos"] + 1)
+    pieces = F.col("pieces") if pieces is None else pieces
+    first = F.try_element_at(pieces, F.lit(1))["pos"]
+    span = F.slice(pieces, c["s_pos"] - first + 1, c["e_pos"] - c["s_pos"] + 1)
     return F.regexp_replace(F.array_join(F.transform(span, lambda x: x["piece"]), ""), LEADING_WS, "")
 
 
@@ -127,6 +133,24 @@ def window_best(topk: DataFrame, max_answer_len: int) -> DataFrame:
         _span_text(F.col("b")).alias("text"))
 
 
+def sweep_best(topk: DataFrame, grid: list[tuple[int, int]]) -> DataFrame:
+    """Best span per ``(n_best, max_len, id)`` for every grid point in one pass.
+
+    ``topk`` must be ranked at the grid maxima; each window is expanded by the
+    (literal, fixed-size) grid and the per-setting best pair is picked from
+    the same rank-ordered arrays, so candidates are built once.
+    """
+    params = F.array(*[F.struct(F.lit(n).alias("n_best"), F.lit(m).alias("max_len")) for n, m in sorted(set(grid))])
+    x = topk.select("id", "feature_idx", "starts", "ends", "pieces", F.explode(params).alias("g"))
+    x = x.select("id", "feature_idx", "pieces", F.col("g.n_best").alias("n_best"), F.col("g.max_len").alias("max_len"),
+                 _best_pair(F.col("g.max_len"), F.col("g.n_best")).alias("b"))
+    x = x.where(F.col("b").isNotNull())
+    order = F.struct(F.col("b.score"), -F.col("feature_idx"), F.col("b.nsrank"), F.col("b.nerank"))
+    best = x.groupBy("n_best", "max_len", "id").agg(F.max_by(F.struct("b", "pieces"), order).alias("w"))
+    return best.select("n_best", "max_len", "id", F.col("w.b.score").cast("double").alias("score"),
+                       _span_text(F.col("w.b"), F.col("w.pieces")).alias("prediction"))
+
+
 def best_spans(wbest: DataFrame) -> DataFrame:
     """``id, score, s_char, e_char, text`` per example with at least one candidate."""
     order = F.struct("score", -F.col("feature_idx"), "nsrank", "nerank")

@@ -102,3 +102,23 @@ def epoch_batches(df: DataFrame, epoch: int, seed: int, batch_size: int, keys: l
     return (r.withColumn("epoch", F.lit(epoch).cast("int"))
             .withColumn("batch", F.floor((F.col("_rk") - 1) / batch_size).cast("int"))
             .drop("_rk", "_okey"))
+
+
+def rank_by_range(df: DataFrame, order: list[Column], out: str = "rank", n: int | None = None) -> DataFrame:
+    """1-based global rank by any total order, without a single-partition window.
+
+    Rows are range-partitioned on ``order`` (Spark samples the bounds) and
+    sorted inside each partition; a row's rank is the number of rows in the
+    earlier partitions (a table of one row per partition) plus its position
+    inside its own partition.  ``order`` must be a total order (end with a
+    unique key) so that recomputing a lost partition gives the same ranks.
+    """
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    stats = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    run = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stats.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
+    j = r.join(F.broadcast(offsets), "_pid")
+    return j.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("bigint")).drop(
+        "_pid", "_mid", "_m0", "_off")

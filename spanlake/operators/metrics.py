@@ -70,26 +70,57 @@ def meter(df: DataFrame, key: str, seq: str, val: str = "val", n: str = "n", see
     )
 
 
-def running_meter(df: DataFrame, key: str, seq: str, val: str = "val", n: str = "n",
-                  seeded_bounds: bool = True) -> DataFrame:
-    """Every meter field after each update (running window frame per key)."""
-    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = F.sum(F.col(val) * F.col(n)).over(w)
-    c = F.sum(n).over(w)
-    mx = F.max(val).over(w)
-    mn = F.min(val).over(w)
+def running_meter(df: DataFrame, key: str, seq: str, val: str = "val", n: str = "n", seeded_bounds: bool = True,
+                  bucket_width: int = 1024, exact_scale: int | None = None) -> DataFrame:
+    """Every meter field after each update, per key in ``seq`` order.
+
+    Two levels, so a key holding most rows is not one task: rows fall into
+    ``seq`` ranges of ``bucket_width``; a running frame inside each
+    ``(key, range)`` plus the totals of all earlier ranges of the key (a table
+    of one row per key and range) gives the running value.
+    Output: ``key, seq, n_rows, avg, max, min``.  With ``exact_scale`` the
+    weighted sums are accumulated as decimals of that scale, so the result does
+    not depend on the order in which partial sums are combined.
+    """
+    exact = exact_scale is not None
+    # exact: integer units of 10^-scale, so partial sums combine without rounding error
+    v = F.round(F.col(val) * (10 ** exact_scale)).cast("bigint") if exact else F.col(val)
+    b = df.withColumn("_b", F.floor(F.col(seq) / bucket_width)).withColumn("_vn", v * F.col(n))
+    w = Window.partitionBy(key, "_b").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    loc = b.select(key, seq, "_b", F.sum("_vn").over(w).alias("_s"), F.sum(n).over(w).alias("_c"),
+                   F.max(val).over(w).alias("_mx"), F.min(val).over(w).alias("_mn"),
+                   F.count(F.lit(1)).over(w).alias("_k"))
+    tot = b.groupBy(key, "_b").agg(F.sum("_vn").alias("_ts"), F.sum(n).alias("_tc"), F.max(val).alias("_tmx"),
+                                   F.min(val).alias("_tmn"), F.count(F.lit(1)).alias("_tk"))
+    prev = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    pre = tot.select(key, "_b", F.sum("_ts").over(prev).alias("_ps"), F.sum("_tc").over(prev).alias("_pc"),
+                     F.max("_tmx").over(prev).alias("_pmx"), F.min("_tmn").over(prev).alias("_pmn"),
+                     F.sum("_tk").over(prev).alias("_pk"))
+    j = loc.join(pre, [key, "_b"])
+    s_ = F.coalesce("_ps", F.lit(0)) + F.col("_s")
+    c_ = F.coalesce("_pc", F.lit(0)) + F.col("_c")
+    if exact:
+        # average in units of 1e-6, rounded half up on exact integers
+        x = s_ * (10 ** (ROUND - exact_scale))
+        avg = F.floor((x * 2 + c_) / (c_ * 2)) / F.lit(10.0 ** ROUND)
+    else:
+        avg = F.round(s_ / c_, ROUND)
+    mx = F.greatest("_pmx", "_mx")
+    mn = F.least("_pmn", "_mn")
     if seeded_bounds:
         mx, mn = F.greatest(mx, F.lit(0.0)), F.least(mn, F.lit(1e5))
-    return df.select(key, seq, F.round(s / c, ROUND).alias("avg"), F.round(mx, ROUND).alias("max"),
-                     F.round(mn, ROUND).alias("min"))
+    return j.select(key, seq, (F.coalesce("_pk", F.lit(0)) + F.col("_k")).alias("n_rows"),
+                    avg.alias("avg"), F.round(mx, ROUND).alias("max"),
+                    F.round(mn, ROUND).alias("min"))
 
 
-def log_every(df: DataFrame, seq: str, every: int) -> DataFrame:
+def log_every(df: DataFrame, seq: str, every: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Keep progress rows whose 0-based index is a multiple of ``every``, and the last one.
 
-    ``df`` has a dense 0-based index column ``seq``; a row is the last one when
-    no row has the next index (an equi anti-join, not a window over one partition).
+    ``df`` has a dense 0-based index column ``seq`` (per ``keys``); a row is the
+    last one when no row has the next index (an equi join on the successor,
+    not a window over one partition).
     """
-    nxt = df.select((F.col(seq) - 1).alias(seq)).withColumn("_has_next", F.lit(True))
-    j = df.join(nxt, seq, "left")
+    nxt = df.select(*keys, (F.col(seq) - 1).alias(seq)).withColumn("_has_next", F.lit(True))
+    j = df.join(nxt, [*keys, seq], "left")
     return j.where((F.col(seq) % every == 0) | F.col("_has_next").isNull()).drop("_has_next")

@@ -79,3 +79,92 @@ def qa_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                      F.col("text").alias("context"))
     j = u.join(a, (F.col("conv_id") == F.col("a_conv")) & (F.col("a_turn") == F.col("turn") + 1))
     return j.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "question", "context")
+
+
+N_MODELS = 5
+
+
+def _offsets(pcs: Column, i: Column) -> tuple[Column, Column]:
+    te = _end(pcs, i)
+    return te - F.length(_tok(pcs, i)), te
+
+
+def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five models' predicted spans per ``qa`` example (ties and majorities both occur).
+
+    ``id, member, start_tok, end_tok, score, text, language, answer_text``;
+    the model axis is an ``explode`` of a fixed sequence (no join).
+    """
+    q = qa(spark, sf_dir).withColumn("_p", pieces("context"))
+    m = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("member"))
+    idb, mb = F.col("id"), F.col("member").cast("bigint")
+    s = F.col("k") - 1 + (idb * 31 + mb * 17 + (idb % 5) * mb * mb) % 3
+    m = m.withColumn("start_tok", s.cast("bigint")).withColumn("end_tok", (s + 2).cast("bigint"))
+    m = m.withColumn("score", ((idb * 7919 + mb * 104729) % 1009).cast("bigint"))
+    ts, _ = _offsets(F.col("_p"), F.col("start_tok").cast("int"))
+    _, te = _offsets(F.col("_p"), F.col("end_tok").cast("int"))
+    m = m.withColumn("text", F.substr("context", ts + 1, te - ts))
+    return m.select("id", F.col("member").cast("int").alias("member"), "start_tok", "end_tok", "score", "text",
+                    "language", "answer_text", "context")
+
+
+HISTORY_EPOCHS = 12
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run history: one run per event type, the first 12 events as epochs.
+
+    ``row_number() <= 12`` per run is planned as a window group limit (partial
+    limits before the shuffle), so a run with most events is not one task.
+    """
+    from pyspark.sql import Window
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), "event_id", "value")
+    w = Window.partitionBy("run").orderBy("event_id")
+    h = e.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= HISTORY_EPOCHS)
+    return h.select(
+        "run", (F.col("_rn") - 1).cast("int").alias("epoch"),
+        (((F.col("event_id") * 37) % 100) / F.lit(100.0).cast("double")).alias("jaccard"),
+        F.col("value").alias("val_loss"), (F.lit(10) + F.col("event_id") % 7).cast("bigint").alias("seconds"))
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw lexicon from neighbouring words of ``benchmark``: ``word = lower(w_j)``,
+    ``raw = w_{j+1} || '-' || w_j`` (narrow: pairs come from each item's own word array)."""
+    b = table(spark, sf_dir, "benchmark").select(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "").alias("w"))
+    pairs = F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"),
+                         F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
+    x = b.select(F.explode(pairs).alias("z"))
+    return x.select(F.lower("z.a").alias("word"), F.concat(F.col("z.b"), F.lit("-"), F.col("z.a")).alias("raw"))
+
+
+STOP_N = 20
+
+
+def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 most frequent lower-cased document words (count desc, word asc): a
+    top-k report, so the limit is the feature."""
+    d = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"(?U)\s+")).alias("word"))
+    c = d.where(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    return c.orderBy(F.desc("_n"), F.asc("word")).limit(STOP_N).select("word")
+
+
+LANGS = ("de", "en", "es", "fr")
+
+
+def memory(qa_df: DataFrame) -> DataFrame:
+    """Translation memory keyed ``(id, field, via_lang)``.
+
+    ``via_lang`` = one of de/en/es/fr other than the row's own, picked by
+    ``id % 3`` in alphabetical order; ``back_text`` is the field unchanged,
+    except that for ``id % 5 = 0`` the answer becomes ``answer_text || ' x'``.
+    """
+    others = F.filter(F.array(*[F.lit(x) for x in LANGS]), lambda x: x != F.col("language"))
+    via = F.element_at(others, (F.col("id") % 3 + 1).cast("int"))
+    fields = F.array(
+        F.struct(F.lit("context").alias("field"), F.col("context").alias("back_text")),
+        F.struct(F.lit("question").alias("field"), F.col("question").alias("back_text")),
+        F.struct(F.lit("answer").alias("field"),
+                 F.when(F.col("id") % 5 == 0, F.concat("answer_text", F.lit(" x"))).otherwise(F.col("answer_text"))
+                 .alias("back_text")),
+    )
+    return qa_df.select("id", via.alias("via_lang"), F.inline(fields))

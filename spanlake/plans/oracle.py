@@ -127,13 +127,13 @@ def logits_ctes(src: str, w: WindowConfig, include_special: bool) -> list[str]:
     return ctes
 
 
-def candidate_ctes(d: DecodeConfig) -> list[str]:
-    """``alllog`` -> ``rs``/``re`` ranks, ``cand`` pairs, ``best`` per id."""
+def candidate_ctes(d: DecodeConfig, src: str = "alllog") -> list[str]:
+    """``src`` logits -> ``rs``/``re`` ranks, ``cand`` pairs, ``best`` per id."""
     return [
-        """rs AS (SELECT id, fid, pos, is_ctx, ts, sl,
-                   row_number() OVER (PARTITION BY id, fid ORDER BY sl DESC, pos DESC) AS srank FROM alllog)""",
-        """re AS (SELECT id, fid, pos, is_ctx, te, el,
-                   row_number() OVER (PARTITION BY id, fid ORDER BY el DESC, pos DESC) AS erank FROM alllog)""",
+        f"""rs AS (SELECT id, fid, pos, is_ctx, ts, sl,
+                   row_number() OVER (PARTITION BY id, fid ORDER BY sl DESC, pos DESC) AS srank FROM {src})""",
+        f"""re AS (SELECT id, fid, pos, is_ctx, te, el,
+                   row_number() OVER (PARTITION BY id, fid ORDER BY el DESC, pos DESC) AS erank FROM {src})""",
         f"""cand AS (
   SELECT s.id, s.fid, s.srank, e.erank, s.pos AS s_pos, e.pos AS e_pos, s.ts AS s_char, e.te AS e_char,
          s.sl + e.el AS score
@@ -163,3 +163,46 @@ def decode_ctes(src: str, w: WindowConfig, d: DecodeConfig, keep: tuple[str, ...
 
 def with_ctes(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + select
+
+
+PREDS = r"""
+ktok AS (SELECT doc_id, pos, ts, te FROM tok WHERE n >= 12 AND pos BETWEEN k - 1 AND k + 3),
+pv AS (
+  SELECT q.id, m.member, q.k - 1 + ((q.id * 31 + m.member * 17 + (q.id % 5) * m.member * m.member) % 3) AS s
+  FROM qa q CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) t(member)) m
+),
+preds AS (
+  SELECT pv.id, CAST(pv.member AS INTEGER) AS member, pv.s AS start_tok, pv.s + 2 AS end_tok,
+         (pv.id * 7919 + pv.member * 104729) % 1009 AS score,
+         substr(q.context, CAST(a.ts + 1 AS INTEGER), CAST(b.te - a.ts AS INTEGER)) AS text, q.language, q.answer_text
+  FROM pv JOIN qa q ON pv.id = q.id
+  JOIN ktok a ON a.doc_id = pv.id AND a.pos = pv.s
+  JOIN ktok b ON b.doc_id = pv.id AND b.pos = pv.s + 2
+)"""
+
+HISTORY = r"""
+history AS (
+  SELECT run, CAST(epoch AS INTEGER) AS epoch, ((event_id * 37) % 100) / CAST(100 AS DOUBLE) AS jaccard,
+         value AS val_loss, CAST(10 + event_id % 7 AS BIGINT) AS seconds
+  FROM (SELECT event_type AS run, event_id, value,
+               row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS epoch FROM events) h
+  WHERE epoch < 12
+)"""
+
+STOP = r"""
+stop AS (
+  SELECT word FROM (
+    SELECT word, count(*) AS c FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents) w
+    WHERE word <> '' GROUP BY word ORDER BY c DESC, word ASC LIMIT 20) s
+)"""
+
+LEXICON = r"""
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
+lexicon AS (
+  SELECT lower(w[i]) AS word, w[i + 1] || '-' || w[i] AS raw
+  FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM bw) t
+),
+synonyms AS (
+  SELECT DISTINCT word, regexp_replace(lower(translate(raw, '_-', '  ')), '[^ a-z]', '', 'g') AS synonym FROM lexicon
+),
+syn AS (SELECT word, synonym FROM synonyms WHERE synonym <> word AND synonym <> '')"""
