@@ -32,8 +32,12 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     the neighbourhood but not the exact span.  ``claimed_start`` is the true
     start shifted by ``id % 4`` (input for the offset repair operators).
     """
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"),
-                                                 F.col("text").alias("context"))
+    return qa_from_documents(table(spark, sf_dir, "documents"))
+
+
+def qa_from_documents(documents: DataFrame) -> DataFrame:
+    """:func:`qa` over any documents frame (batch or streaming; row-local only)."""
+    d = documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.col("text").alias("context"))
     d = d.withColumn("_p", pieces("context")).withColumn("n_tok", F.size("_p")).where(F.col("n_tok") >= MIN_WORDS)
     k = F.floor(F.col("n_tok") / 2).cast("int")
     d = d.withColumn("k", k.cast("bigint"))

@@ -481,3 +481,29 @@ def q_back_translate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = relocate_answer(kept).withColumn("kept", F.lit(True))
     rejected = rejected.withColumn("answer_start", F.lit(None).cast("bigint")).withColumn("kept", F.lit(False))
     return kept.unionByName(rejected).select("id", "via_lang", "kept", "answer_start", "kfold")
+
+
+# --- ST1, ST2: streaming ------------------------------------------------------------------
+
+from spanlake.streaming import meter as ST  # noqa: E402
+
+
+@register("stream_meter", """
+SELECT event_type, round(avg(value), 6) AS avg, count(*) AS count, round(max(value), 6) AS max,
+       round(min(value), 6) AS min FROM events GROUP BY event_type""")
+def q_stream_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: the events table as a file stream, per-type meter in complete mode."""
+    return ST.run_complete_to_table(ST.stream_meter(ST.file_stream(spark, sf_dir, "events")), spark, "stream-meter")
+
+
+@register("stream_align", O.with_ctes(QA_BASE + [
+    "repaired AS (SELECT id, CASE WHEN claimed_start >= 0 AND substr(context, CAST(claimed_start + 1 AS INTEGER), "
+    "CAST(length(answer_text) AS INTEGER)) = answer_text THEN 'exact' "
+    "WHEN claimed_start >= 1 AND substr(context, CAST(claimed_start AS INTEGER), "
+    "CAST(length(answer_text) AS INTEGER)) = answer_text THEN 'off_by_1' "
+    "WHEN claimed_start >= 2 AND substr(context, CAST(claimed_start - 1 AS INTEGER), "
+    "CAST(length(answer_text) AS INTEGER)) = answer_text THEN 'off_by_2' ELSE 'unmatched' END AS repair FROM qa)"],
+    "SELECT id, repair FROM repaired"))
+def q_stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: documents as a file stream -> qa examples -> offset repair, parquet sink."""
+    return ST.run_append_to_table(ST.stream_align(ST.file_stream(spark, sf_dir, "documents")), spark, "stream-align")
