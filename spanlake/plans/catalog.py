@@ -30,6 +30,7 @@ def _load_all() -> None:
     from spanlake.plans import queries_decode  # noqa: F401
     from spanlake.plans import queries_prep  # noqa: F401
     from spanlake.plans import queries_eval  # noqa: F401
+    from spanlake.plans import queries_io  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
