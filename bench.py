@@ -108,7 +108,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = local_session(cpus=cpus, app="spanlake-bench")
+    # two tasks per core after the id shuffle: token expansion varies per document
+    spark = local_session(cpus=cpus, app="spanlake-bench", shuffle_partitions=2 * int(cpus))
     out = {}
     for name, fn in QUERIES.items():
         if only and name not in only:

@@ -40,7 +40,7 @@ def with_geometry(examples: DataFrame, cfg: WindowConfig) -> DataFrame:
     out = (
         examples.withColumn("q_toks", q_toks)
         .withColumn("q_len", F.size("q_toks"))
-        .withColumn("n_ctx", F.size(pieces("context")))
+        .withColumn("n_ctx", F.regexp_count(F.col("context"), F.lit(TOKEN)))
         .withColumn("capacity", F.lit(cfg.max_len - cfg.n_special) - F.col("q_len"))
         .withColumn("step", F.col("capacity") - F.lit(cfg.stride))
     )

@@ -38,13 +38,16 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_from_documents(documents: DataFrame) -> DataFrame:
     """:func:`qa` over any documents frame (batch or streaming; row-local only)."""
     d = documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.col("text").alias("context"))
-    d = d.withColumn("_p", pieces("context")).withColumn("n_tok", F.size("_p")).where(F.col("n_tok") >= MIN_WORDS)
+    # count words without building the piece array (the filter runs below the projection)
+    d = d.where(F.regexp_count("context", F.lit(TOKEN)) >= MIN_WORDS)
+    d = d.withColumn("_p", pieces("context")).withColumn("n_tok", F.size("_p"))
     k = F.floor(F.col("n_tok") / 2).cast("int")
     d = d.withColumn("k", k.cast("bigint"))
     kc = F.col("k").cast("int")
     p = F.col("_p")
-    start = _end(p, kc) - F.length(_tok(p, kc))
-    end = _end(p, kc + 2)
+    end_k = _end(p, kc)
+    start = end_k - F.length(_tok(p, kc))
+    end = end_k + F.length(F.element_at(p, kc + 2)) + F.length(F.element_at(p, kc + 3))
     question = F.concat_ws(" ", *[_tok(p, kc + j) for j in (-1, 0, 1, 2, 3)])
     out = (
         d.withColumn("answer_start", start.cast("bigint"))
@@ -105,8 +108,9 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("k") - 1 + (idb * 31 + mb * 17 + (idb % 5) * mb * mb) % 3
     m = m.withColumn("start_tok", s.cast("bigint")).withColumn("end_tok", (s + 2).cast("bigint"))
     m = m.withColumn("score", ((idb * 7919 + mb * 104729) % 1009).cast("bigint"))
-    ts, _ = _offsets(F.col("_p"), F.col("start_tok").cast("int"))
-    _, te = _offsets(F.col("_p"), F.col("end_tok").cast("int"))
+    si = F.col("start_tok").cast("int")
+    ts, te_s = _offsets(F.col("_p"), si)
+    te = te_s + F.length(F.element_at("_p", si + 2)) + F.length(F.element_at("_p", si + 3))
     m = m.withColumn("text", F.substr("context", ts + 1, te - ts))
     return m.select("id", F.col("member").cast("int").alias("member"), "start_tok", "end_tok", "score", "text",
                     "language", "answer_text", "context")
