@@ -82,7 +82,7 @@ def q_occurrence_lists(spark, d):
 def q_synonym_replace(spark, d):
     docs = by_id(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     syn = normalize_synonyms(X.lexicon(spark, d))
-    return synonym_replacement(docs, syn, X.stop_words(spark, d), 3, 9353)
+    return synonym_replacement(docs, syn, None, 3, 9353)
 
 
 QUERIES = {

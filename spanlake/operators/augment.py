@@ -31,29 +31,43 @@ def remove_stop_words(words: DataFrame, stop: DataFrame) -> DataFrame:
     return words.join(F.broadcast(stop.select(F.col("word").alias("_lw"))), F.lower("w") == F.col("_lw"), "left_anti")
 
 
-def synonym_replacement(docs: DataFrame, synonyms: DataFrame, stop: DataFrame, n: int, seed: int,
-                        text_col: str = "text", id_col: str = "id") -> DataFrame:
+def top_words(words: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent lower-cased words (count desc, word asc): a top-k report
+    (partial counts before the shuffle on the word, then a bounded ``limit``)."""
+    c = words.groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("_n"))
+    return c.orderBy(F.desc("_n"), F.asc("word")).limit(k).select("word")
+
+
+def synonym_replacement(docs: DataFrame, synonyms: DataFrame, stop: DataFrame | None, n: int, seed: int,
+                        text_col: str = "text", id_col: str = "id", stop_k: int = 20) -> DataFrame:
     """Replace up to ``n`` distinct non-stop words (each everywhere it occurs) by one synonym.
 
     Words are visited in a seeded random order (``md5(word:id:seed)``); words
     without synonyms are skipped and do not count; the synonym is picked by a
-    seeded hash.  Words are re-joined with single spaces.
+    seeded hash.  Words are re-joined with single spaces.  ``docs`` should be
+    partitioned by ``id``: every step is keyed by ``id`` and the at most ``n``
+    chosen replacements of a document travel as a small map joined on ``id``
+    alone, so nothing is shuffled again.  ``stop=None`` derives the stop list
+    (``stop_k`` most frequent words) from the same word rows.
     Output: ``id, text, n_replaced``.
     """
+    from pyspark.sql import Window
     words = word_rows(docs, text_col, id_col)
+    stop = top_words(words, stop_k) if stop is None else stop
     cand = remove_stop_words(words, stop).select(id_col, "w").distinct()
     with_syn = cand.join(synonyms, F.lower("w") == F.col("word"))
     pick = with_syn.groupBy(id_col, "w").agg(
         F.min_by("synonym", order_key("synonym", "w", id_col, F.lit(seed))).alias("syn"))
-    from pyspark.sql import Window
     rk = F.row_number().over(Window.partitionBy(id_col).orderBy(order_key("w", id_col, F.lit(seed)), "w"))
-    chosen = pick.withColumn("_rk", rk).where(F.col("_rk") <= n).drop("_rk")
-    replaced = words.join(chosen, [id_col, "w"], "left").withColumn("nw", F.coalesce("syn", "w"))
+    chosen = pick.withColumn("_rk", rk).where(F.col("_rk") <= n)
+    repl = chosen.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "syn"))).alias("_m"))
+    replaced = words.join(repl, id_col, "left").withColumn(
+        "nw", F.coalesce(F.try_element_at(F.col("_m"), F.col("w")), F.col("w")))
     text = replaced.groupBy(id_col).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "nw"))), lambda x: x["nw"]), " ")
-        .alias("text"))
-    counts = chosen.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_replaced"))
-    out = docs.select(id_col).join(text, id_col, "left").join(counts, id_col, "left")
+        .alias("text"),
+        F.coalesce(F.size(F.first("_m", ignorenulls=True)), F.lit(0)).alias("n_replaced"))
+    out = docs.select(id_col).join(text, id_col, "left")
     return out.select(id_col, F.coalesce("text", F.lit("")).alias("text"),
                       F.coalesce("n_replaced", F.lit(0)).cast("bigint").alias("n_replaced"))
 

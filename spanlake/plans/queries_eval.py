@@ -424,7 +424,7 @@ def q_synonym_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     d = d.repartition(shuffle_partitions(d), "id")
     syn = AU.normalize_synonyms(X.lexicon(spark, sf_dir))
-    out = AU.synonym_replacement(d, syn, X.stop_words(spark, sf_dir), N_REPLACE, SEED)
+    out = AU.synonym_replacement(d, syn, None, N_REPLACE, SEED, stop_k=X.STOP_N)
     return out.select("id", F.md5("text").alias("text_md5"), "n_replaced")
 
 
@@ -437,8 +437,9 @@ FROM documents d LEFT JOIN dw ON dw.id = d.doc_id GROUP BY d.doc_id"""))
 def q_stopword_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts before and after removing stop words."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    d = d.repartition(shuffle_partitions(d), "id")
     words = AU.word_rows(d)
-    kept = AU.remove_stop_words(words, X.stop_words(spark, sf_dir))
+    kept = AU.remove_stop_words(words, AU.top_words(words, X.STOP_N))
     nb = words.groupBy("id").agg(F.count(F.lit(1)).alias("n_before"))
     na = kept.groupBy("id").agg(F.count(F.lit(1)).alias("n_after"))
     out = d.select("id").join(nb, "id", "left").join(na, "id", "left")
