@@ -136,19 +136,38 @@ def window_best(topk: DataFrame, max_answer_len: int) -> DataFrame:
 def sweep_best(topk: DataFrame, grid: list[tuple[int, int]]) -> DataFrame:
     """Best span per ``(n_best, max_len, id)`` for every grid point in one pass.
 
-    ``topk`` must be ranked at the grid maxima; each window is expanded by the
-    (literal, fixed-size) grid and the per-setting best pair is picked from
-    the same rank-ordered arrays, so candidates are built once.
+    ``topk`` must be ranked at the grid maxima.  Once per window, each start
+    gets its rank-ordered list of ends within the largest answer length; every
+    grid point (a literal, fixed-size list) then only scans those short lists,
+    inside the window's own row, and only the small per-point results are
+    exploded, so candidates are built once and the window's pieces are not copied.
     """
-    params = F.array(*[F.struct(F.lit(n).alias("n_best"), F.lit(m).alias("max_len")) for n, m in sorted(set(grid))])
-    x = topk.select("id", "feature_idx", "starts", "ends", "pieces", F.explode(params).alias("g"))
-    x = x.select("id", "feature_idx", "pieces", F.col("g.n_best").alias("n_best"), F.col("g.max_len").alias("max_len"),
-                 _best_pair(F.col("g.max_len"), F.col("g.n_best")).alias("b"))
-    x = x.where(F.col("b").isNotNull())
-    order = F.struct(F.col("b.score"), -F.col("feature_idx"), F.col("b.nsrank"), F.col("b.nerank"))
-    best = x.groupBy("n_best", "max_len", "id").agg(F.max_by(F.struct("b", "pieces"), order).alias("w"))
-    return best.select("n_best", "max_len", "id", F.col("w.b.score").cast("double").alias("score"),
-                       _span_text(F.col("w.b"), F.col("w.pieces")).alias("prediction"))
+    pts = sorted(set(grid))
+    max_len = max(m for _, m in pts)
+    params = F.array(*[F.struct(F.lit(n).alias("n_best"), F.lit(m).alias("max_len")) for n, m in pts])
+    with_ends = _let(F.col("ends"), lambda ends: F.transform(F.col("starts"), lambda s: F.struct(
+        s["logit"].alias("logit"), s["pos"].alias("pos"), s["rk"].alias("rk"), s["ts"].alias("ts"),
+        _valid_ends(ends, s, max_len).alias("ve"))))
+
+    def best_for(w, g):
+        n, m = g["n_best"], g["max_len"]
+
+        def per_start(s):
+            ok = F.filter(s["ve"], lambda e: (e["rk"] <= n) & (e["pos"] - s["pos"] < m))
+            return F.transform(F.slice(ok, 1, 1), lambda e: _pair(s, e))
+
+        best = F.array_max(F.flatten(F.transform(F.filter(w["sv"], lambda s: s["rk"] <= n), per_start)))
+        return _let(best, lambda b: F.struct(n.alias("n_best"), m.alias("max_len"), b.alias("b"),
+                                             _span_text(b, w["pieces"]).alias("text")))
+
+    res = _let(F.struct(with_ends.alias("sv"), F.col("pieces").alias("pieces")),
+               lambda w: F.transform(params, lambda g: best_for(w, g)))
+    x = topk.select("id", "feature_idx", F.explode(res).alias("r")).where(F.col("r.b").isNotNull())
+    order = F.struct(F.col("r.b.score"), -F.col("feature_idx"), F.col("r.b.nsrank"), F.col("r.b.nerank"))
+    best = x.groupBy(F.col("r.n_best").alias("n_best"), F.col("r.max_len").alias("max_len"), "id").agg(
+        F.max_by(F.struct(F.col("r.b.score").alias("score"), F.col("r.text").alias("text")), order).alias("w"))
+    return best.select("n_best", "max_len", "id", F.col("w.score").cast("double").alias("score"),
+                       F.col("w.text").alias("prediction"))
 
 
 def best_spans(wbest: DataFrame) -> DataFrame:
