@@ -60,15 +60,39 @@ def qa_from_documents(documents: DataFrame) -> DataFrame:
                       "answer_text", "claimed_start")
 
 
-def qa_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers really contained in a document: documents x benchmark on ``contains``.
+BROADCAST_PASSAGES = 100_000
+
+
+def contains_join(docs: DataFrame, passages: DataFrame, broadcast_limit: int = BROADCAST_PASSAGES) -> DataFrame:
+    """``docs (doc_id, text) x passages (item_id, btext)`` on ``contains(text, btext)``.
 
-    ``benchmark`` is a small reference list; the join is a broadcast nested
-    loop only when Spark's size check (autoBroadcastJoinThreshold) admits it.
+    A passage list of at most ``broadcast_limit`` rows (counted first) is
+    broadcast and matched without moving the documents.  Beyond that bound the
+    join is an exact equi-join: a passage of three or more words can only occur
+    where its second word (white space on both sides) is a whole word of the
+    document, so candidates join on that word and are then verified with
+    ``contains``; shorter passages, which have no such word, keep the
+    broadcast path.
     """
+    cond = F.col("text").contains(F.col("btext"))
+    if passages.count() <= broadcast_limit:
+        return docs.join(F.broadcast(passages), cond)
+    words = F.regexp_extract_all(F.col("btext"), F.lit(TOKEN), 0)
+    p = passages.withColumn("_key", F.when(F.size(words) >= 3, F.element_at(words, 2)))
+    long_p, short_p = p.where(F.col("_key").isNotNull()), p.where(F.col("_key").isNull()).drop("_key")
+    doc_words = docs.select("doc_id", F.explode(F.array_distinct(
+        F.regexp_extract_all(F.col("text"), F.lit(TOKEN), 0))).alias("_key")).distinct()
+    cand = doc_words.join(long_p, "_key").select("doc_id", "item_id", "btext")
+    by_key = cand.join(docs, "doc_id").where(cond)
+    short = docs.join(F.broadcast(short_p), cond)
+    return by_key.unionByName(short.select(*by_key.columns))
+
+
+def qa_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers really contained in a document: documents x benchmark on ``contains``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("btext"))
-    j = d.join(b, F.col("text").contains(F.col("btext")))
+    j = contains_join(d, b)
     return j.select(
         (F.col("doc_id") * 100000 + F.col("item_id")).alias("id"),
         F.col("lang").alias("language"),

@@ -178,3 +178,16 @@ def test_longest_first_ties(spark):
 def test_question_trim_unicode(spark):
     df = spark.createDataFrame([(1, "\t  q x")], "id long, question string")
     assert A.trim_question(df).first()["question"] == "q x"
+
+
+def test_contains_join_equi_path_matches_broadcast(spark):
+    from spanlake.plans.fixtures import contains_join
+    from spanlake.sources.tables import table
+    from tests.conftest import SF_SMALL
+    d = table(spark, SF_SMALL, "documents").select("doc_id", "lang", "text")
+    b = table(spark, SF_SMALL, "benchmark").select("item_id", F.col("text").alias("btext"))
+    extra = spark.createDataFrame([(900001, "a"), (900002, "the the")], "item_id long, btext string")
+    b = b.unionByName(extra)
+    fast = {(r["doc_id"], r["item_id"]) for r in contains_join(d, b).select("doc_id", "item_id").collect()}
+    exact = {(r["doc_id"], r["item_id"]) for r in contains_join(d, b, broadcast_limit=0).select("doc_id", "item_id").collect()}
+    assert fast == exact and len(fast) > 0
