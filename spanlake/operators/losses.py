@@ -31,10 +31,28 @@ def argmax(arr: Column) -> Column:
     return F.array_position(arr, F.array_max(arr)) - 1
 
 
-def window_score_stats(logits: DataFrame, scale: float = 1000.0) -> DataFrame:
-    """Per window: positions with ``xs, xe`` scaled scores and their log-sum-exp and argmax."""
-    g = logits.groupBy("id", "feature_idx").agg(F.collect_list(F.struct(
-        "pos", (F.col("start_logit") / scale).alias("xs"), (F.col("end_logit") / scale).alias("xe"))).alias("_a"))
+def window_score_stats(logits: DataFrame, scale: float = 1000.0, with_labels: bool = False) -> DataFrame:
+    """Per window: positions with ``xs, xe`` scaled scores and their log-sum-exp and argmax.
+
+    With ``with_labels`` the rows carry the example's ``start_char, end_char``
+    and the F5 span labels (``start_position, end_position``; 0 = CLS when the
+    window does not cover the answer) come out of the same aggregate.
+    """
+    keys = ["id", "feature_idx"] + (["start_char", "end_char"] if with_labels else [])
+    aggs = [F.collect_list(F.struct(
+        "pos", (F.col("start_logit") / scale).alias("xs"), (F.col("end_logit") / scale).alias("xe"))).alias("_a")]
+    if with_labels:
+        ctx = F.col("is_context")
+        aggs += [F.min(F.when(ctx, F.col("ts"))).alias("_cmin"), F.max(F.when(ctx, F.col("te"))).alias("_cmax"),
+                 F.max(F.when(ctx & (F.col("ts") <= F.col("start_char")), F.col("pos"))).alias("_sp"),
+                 F.min(F.when(ctx & (F.col("te") >= F.col("end_char")), F.col("pos"))).alias("_ep")]
+    g = logits.groupBy(*keys).agg(*aggs)
+    if with_labels:
+        covered = (F.col("start_char").isNotNull() & (F.col("_cmin") <= F.col("start_char"))
+                   & (F.col("_cmax") >= F.col("end_char")))
+        g = (g.withColumn("start_position", F.when(covered, F.col("_sp")).otherwise(F.lit(0)).cast("int"))
+             .withColumn("end_position", F.when(covered, F.col("_ep")).otherwise(F.lit(0)).cast("int"))
+             .drop("_cmin", "_cmax", "_sp", "_ep", "start_char", "end_char"))
 
     def lse(side: str) -> Column:
         m = F.array_max(F.transform("_a", lambda x: x[side]))
@@ -45,20 +63,23 @@ def window_score_stats(logits: DataFrame, scale: float = 1000.0) -> DataFrame:
         best = F.array_max(F.transform("_a", lambda x: F.struct(x[side].alias("v"), (-x["pos"]).alias("np"))))
         return -best["np"]
 
+    extra = ["start_position", "end_position"] if with_labels else []
     return g.select("id", "feature_idx", "_a", lse("xs").alias("lse_s"), lse("xe").alias("lse_e"),
-                    first_argmax("xs").alias("arg_s"), first_argmax("xe").alias("arg_e"))
+                    first_argmax("xs").alias("arg_s"), first_argmax("xe").alias("arg_e"), *extra)
 
 
 def _at(arr: str, pos: Column, side: str) -> Column:
     return F.aggregate(F.filter(arr, lambda x: x["pos"] == pos), F.lit(0.0), lambda acc, x: acc + x[side])
 
 
-def span_cross_entropy(stats: DataFrame, labels: DataFrame) -> DataFrame:
+def span_cross_entropy(stats: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """G12 per window: ``ce = 0.5 * CE(start) + 0.5 * CE(end)``, ``CE = lse(x) - x[label]``.
 
-    Adds ``ce_s, ce_e, loss``; average ``loss`` over rows for the batch mean.
+    Labels come from ``stats`` (``with_labels``) or a separate label table
+    joined on ``(id, feature_idx)``.  Adds ``ce_s, ce_e, loss``; average
+    ``loss`` over rows for the batch mean.
     """
-    j = stats.join(labels, ["id", "feature_idx"])
+    j = stats if labels is None else stats.join(labels, ["id", "feature_idx"])
     ce_s = F.col("lse_s") - _at("_a", F.col("start_position"), "xs")
     ce_e = F.col("lse_e") - _at("_a", F.col("end_position"), "xe")
     return j.withColumn("ce_s", ce_s).withColumn("ce_e", ce_e).withColumn("loss", 0.5 * F.col("ce_s") + 0.5 * F.col("ce_e"))

@@ -44,7 +44,8 @@ def _numeric_id(c: Column, numeric: bool) -> Column:
     return F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
-def lexical_logits(examples: DataFrame, cfg: WindowConfig, include_special: bool = True) -> DataFrame:
+def lexical_logits(examples: DataFrame, cfg: WindowConfig, include_special: bool = True,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     """M2: integer start/end scores from question-word overlap.
 
     ``start_logit(pos) = 1000 * #{j in [pos, pos+4] : lower(tok_j) in Q} + noise``,
@@ -53,7 +54,8 @@ def lexical_logits(examples: DataFrame, cfg: WindowConfig, include_special: bool
     segment of the same window only.  ``noise`` is a hash of
     ``(id, feature_idx, pos)`` modulo 997, so scores tie rarely but do tie.
 
-    ``examples`` (``id, context, question``) should be partitioned by ``id``.
+    ``examples`` (``id, context, question``) should be partitioned by ``id``;
+    ``keep`` carries example-level columns (such as answer offsets) onto every row.
     The neighbour flags come from the same document-ordered window as the token
     offsets (one sort per partition) and are clipped to each window's bounds
     arithmetically; CLS and question rows are generated from the first context
@@ -63,7 +65,7 @@ def lexical_logits(examples: DataFrame, cfg: WindowConfig, include_special: bool
     ex = examples.withColumn("_qset", F.array_distinct(F.transform(
         F.regexp_extract_all(F.col("question"), F.lit(r"(?U)\S+"), 0), F.lower)))
     g = with_geometry(ex, cfg)
-    toks = tokenize(g, "id", "context", keep=("q_len", "n_ctx", "capacity", "step", "n_windows", "_qset"),
+    toks = tokenize(g, "id", "context", keep=("q_len", "n_ctx", "capacity", "step", "n_windows", "_qset", *keep),
                     with_piece=True)
     toks = toks.withColumn("_f", F.array_contains(F.col("_qset"), F.lower("tok")).cast("int"))
     doc = Window.partitionBy("id").orderBy("pos")
@@ -101,6 +103,7 @@ def lexical_logits(examples: DataFrame, cfg: WindowConfig, include_special: bool
         F.when(is_ctx, F.col("te")).alias("te"),
         F.when(is_ctx, F.col("tok")).alias("tok"),
         F.when(is_ctx, F.col("piece")).alias("piece"),
+        *keep,
     )
 
 

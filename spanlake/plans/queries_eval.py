@@ -20,6 +20,7 @@ from spanlake.operators.windows import window_labels, windowed_tokens
 from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
+from spanlake.operators.scoring import lexical_logits
 from spanlake.plans.pipeline import lexical_logits_for, partition_examples
 from spanlake.session import shuffle_partitions
 from spanlake.sources.tables import table
@@ -228,11 +229,10 @@ def q_log_every(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _window_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = X.qa(spark, sf_dir)
-    stats = L.window_score_stats(lexical_logits_for(ex, W, DC))
     part = ex.select("id", "context", "question", F.col("answer_start").alias("start_char"),
                      F.col("answer_end").alias("end_char")).repartition(shuffle_partitions(ex), "id")
-    labels = window_labels(windowed_tokens(part, W, keep=("start_char", "end_char")))
-    ce = L.span_cross_entropy(stats, labels)
+    lg = lexical_logits(part, W, include_special=True, keep=("start_char", "end_char"))
+    ce = L.span_cross_entropy(L.window_score_stats(lg, with_labels=True))
     return L.distance_weighted(ce).join(ex.select("id", "language"), "id")
 
 
