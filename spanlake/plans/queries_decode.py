@@ -182,7 +182,7 @@ def q_lexical_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("end_logit").alias("max_end"))
 
 
-TOP_K = 3
+TOP_K = DC.n_best
 
 
 @register("top_positions", O.with_ctes(QA_BASE + O.logits_ctes("qa", W, True) + O.candidate_ctes(DC)[:2], f"""
@@ -221,7 +221,7 @@ def q_null_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.null_score(lexical_logits_for(X.qa(spark, sf_dir), W, DC))
 
 
-NBEST_K = 3
+NBEST_K = DC.n_best
 
 
 @register("nbest_list", O.with_ctes(QA_BASE + O.logits_ctes("qa", W, True) + O.candidate_ctes(DC)[:3], f"""
