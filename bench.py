@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import sys
 import time
 
@@ -97,29 +98,73 @@ QUERIES = {
 }
 
 
-def run_once(spark, fn, d) -> float:
+def run_once(spark, fn, d, group: str) -> float:
+    spark.sparkContext.setJobGroup(group, group)
     t0 = time.perf_counter()
     fn(spark, d).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - t0
 
 
+def exchanges(spark, fn, d) -> int:
+    """Exchange operators (shuffles and broadcasts) in the physical plan before execution."""
+    plan = fn(spark, d)._jdf.queryExecution().executedPlan().toString()
+    return sum(1 for line in plan.split("\n") if "Exchange " in line and "Reused" not in line)
+
+
+def event_log_metrics(log_dir: str) -> dict[str, dict[str, int]]:
+    """Shuffle bytes written and bytes spilled per job group, from Spark's event log."""
+    stage_group: dict[int, str] = {}
+    out: dict[str, dict[str, int]] = {}
+    files = sorted(os.path.join(root, f) for root, _, names in os.walk(log_dir) for f in names
+                   if f.startswith("events_") or f.startswith("local-") or f.startswith("app-"))
+    for path in files:
+        with open(path) as fh:
+            for line in fh:
+                try:
+                    ev = json.loads(line)
+                except ValueError:
+                    continue
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    group = (ev.get("Properties") or {}).get("spark.jobGroup.id")
+                    for sid in ev.get("Stage IDs", []):
+                        stage_group[sid] = group
+                elif kind == "SparkListenerTaskEnd":
+                    group = stage_group.get(ev.get("Stage ID"))
+                    m = ev.get("Task Metrics") or {}
+                    if not group:
+                        continue
+                    acc = out.setdefault(group, {"shuffle_bytes": 0, "spill_bytes": 0})
+                    acc["shuffle_bytes"] += (m.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
+                    acc["spill_bytes"] += m.get("Memory Bytes Spilled", 0) + m.get("Disk Bytes Spilled", 0)
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
+    log_dir = tempfile.mkdtemp(prefix="spanlake-eventlog-")  # local bench scratch, read back below
     # two tasks per core after the id shuffle: token expansion varies per document
-    spark = local_session(cpus=cpus, app="spanlake-bench", shuffle_partitions=2 * int(cpus))
-    out = {}
+    spark = local_session(cpus=cpus, app="spanlake-bench", shuffle_partitions=2 * int(cpus), event_log_dir=log_dir)
+    out, n_exchanges = {}, {}
     for name, fn in QUERIES.items():
         if only and name not in only:
             continue
-        run_once(spark, fn, sf_dir)  # warm-up, discarded
-        out[name] = round(statistics.median(run_once(spark, fn, sf_dir) for _ in range(runs)), 3)
+        run_once(spark, fn, sf_dir, f"warmup:{name}")  # discarded
+        out[name] = round(statistics.median(run_once(spark, fn, sf_dir, f"timed:{name}") for _ in range(runs)), 3)
+        n_exchanges[name] = exchanges(spark, fn, sf_dir)
+    spark.stop()
+    ev = event_log_metrics(log_dir)
+    detail = {name: {"exchanges": n_exchanges[name],
+                     "shuffle_bytes_per_run": ev.get(f"timed:{name}", {}).get("shuffle_bytes", 0) // runs,
+                     "spill_bytes_per_run": ev.get(f"timed:{name}", {}).get("spill_bytes", 0) // runs}
+              for name in out}
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "sum_of_median_query_sec", "value": round(sum(out.values()), 3), "unit": "sec",
                       "queries": out, "sf": float(sf) if sf.replace(".", "").isdigit() else sf_dir,
-                      "cpus": int(cpus), "runs": runs, "window": [WCFG.max_len, WCFG.stride]}))
+                      "cpus": int(cpus), "runs": runs, "window": [WCFG.max_len, WCFG.stride], "plan": detail}))
 
 
 if __name__ == "__main__":

@@ -30,7 +30,8 @@ def local_session(cpus: int | str = "*", app: str = "spanlake", shuffle_partitio
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if event_log_dir:
-        b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
+        b = (b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
+             .config("spark.eventLog.compress", "false"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
