@@ -67,21 +67,19 @@ def all_occurrences(df: DataFrame, text_col: str = "answer_text", context_col: s
     The context is cut at each occurrence (literal ``replace`` + ``split``); the
     start of occurrence ``i`` is the length of the pieces before it plus ``i``
     answer lengths, a running sum over the exploded pieces (keyed by ``id``).
-    Adds ``answer_start_list array<bigint>`` (empty for an empty answer).
+    Every row yields at least one piece, so the per-``id`` aggregate covers all
+    rows without joining back.  Returns ``id, answer_start_list array<bigint>``
+    (empty for an empty or missing answer).
     """
-    parts = F.split(F.replace(F.col(context_col), F.col(text_col), F.lit(_SEP)), _SEP, -1)
+    needle, ctx = F.col(text_col), F.coalesce(F.col(context_col), F.lit(""))
+    parts = F.when(needle.isNull() | (needle == ""), F.array(ctx)).otherwise(
+        F.split(F.replace(ctx, needle, F.lit(_SEP)), _SEP, -1))
     x = df.select(id_col, text_col, F.size(parts).alias("_n"), F.posexplode(parts).alias("_i", "_part"))
     w = Window.partitionBy(id_col).orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("_run", F.sum(F.length("_part")).over(w))
     # the last piece follows the last occurrence
-    occ = x.where(F.col("_i") < F.col("_n") - 1).withColumn(
-        "_pos", (F.col("_run") + F.col("_i") * F.length(text_col)).cast("bigint"))
-    lists = occ.groupBy(id_col).agg(F.sort_array(F.collect_list("_pos")).alias("answer_start_list"))
-    out = df.join(lists, id_col, "left")
-    empty = F.array().cast("array<bigint>")
-    guard = (F.col(text_col) == "") | F.col(text_col).isNull()
-    return out.withColumn("answer_start_list",
-                          F.when(guard, empty).otherwise(F.coalesce("answer_start_list", empty)))
+    pos = F.when(F.col("_i") < F.col("_n") - 1, (F.col("_run") + F.col("_i") * F.length(text_col)).cast("bigint"))
+    return x.groupBy(id_col).agg(F.sort_array(F.collect_list(pos)).alias("answer_start_list"))
 
 
 def to_answers_struct(df: DataFrame, start_col: str = "answer_start", text_col: str = "answer_text") -> DataFrame:
