@@ -18,11 +18,11 @@ clipped to ``[0, n_windows - 1]``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.config import WindowConfig
-from spanlake.functions.text import TOKEN, lstrip, pieces
+from spanlake.functions.text import TOKEN, lstrip
 from spanlake.operators.tokens import tokenize
 
 

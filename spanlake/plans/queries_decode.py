@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.config import TEST_DECODE, TEST_WINDOW, DecodeConfig
+from spanlake.config import TEST_DECODE, TEST_WINDOW
 from spanlake.functions.text import jaccard
 from spanlake.operators import decode as D
-from spanlake.operators.metrics import mean_by_language, with_jaccard
 from spanlake.operators.tokens import longest_first, tokenize
 from spanlake.operators.windows import assembled_lengths, window_labels, window_spans, windowed_tokens
 from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
-from spanlake.plans.pipeline import eval_by_language, lexical_logits_for, lexical_predictions, partition_examples
+from spanlake.plans.pipeline import eval_by_language, lexical_logits_for, lexical_predictions
 from spanlake.session import shuffle_partitions
 from spanlake.sources.tables import table
 

@@ -16,12 +16,11 @@ from spanlake.operators import metrics as M
 from spanlake.operators import runs as R
 from spanlake.operators.align import keep_if_answer_in_context, relocate_answer
 from spanlake.operators.folds import MAIN_FOLD_SEED, stratified_kfold
-from spanlake.operators.windows import window_labels, windowed_tokens
 from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
 from spanlake.operators.scoring import lexical_logits
-from spanlake.plans.pipeline import lexical_logits_for, partition_examples
+from spanlake.plans.pipeline import lexical_logits_for
 from spanlake.session import shuffle_partitions
 from spanlake.sources.tables import table
 
