@@ -28,7 +28,7 @@ from spanlake.operators.ensemble import hard_vote  # noqa: E402
 from spanlake.operators.tokens import tokenize  # noqa: E402
 from spanlake.operators.windows import window_labels, windowed_tokens  # noqa: E402
 from spanlake.plans import fixtures as X  # noqa: E402
-from spanlake.plans.pipeline import eval_by_language, lexical_logits_for, lexical_predictions  # noqa: E402
+from spanlake.plans.composite import eval_by_language, lexical_logits_for, lexical_predictions  # noqa: E402
 from spanlake.plans.queries_eval import GRID_MAX, SWEEP_GRID  # noqa: E402
 from spanlake.session import local_session, shuffle_partitions  # noqa: E402
 from spanlake.sources.tables import table  # noqa: E402

@@ -13,7 +13,7 @@ from spanlake.operators.windows import assembled_lengths, window_labels, window_
 from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
-from spanlake.plans.pipeline import eval_by_language, lexical_logits_for, lexical_predictions
+from spanlake.plans.composite import eval_by_language, lexical_logits_for, lexical_predictions
 from spanlake.session import shuffle_partitions
 from spanlake.sources.tables import table
 

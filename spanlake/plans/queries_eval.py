@@ -20,7 +20,7 @@ from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
 from spanlake.operators.scoring import lexical_logits
-from spanlake.plans.pipeline import lexical_logits_for
+from spanlake.plans.composite import lexical_logits_for
 from spanlake.session import shuffle_partitions
 from spanlake.sources.tables import table
 

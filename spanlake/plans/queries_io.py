@@ -17,7 +17,7 @@ from spanlake.operators.windows import sequence_arrays, windowed_tokens
 from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
-from spanlake.plans.pipeline import lexical_predictions, partition_examples
+from spanlake.plans.composite import lexical_predictions, partition_examples
 from spanlake.plans.queries_prep import FOLDS_SQL, VALID_FOLD
 from spanlake.session import scratch_dir
 from spanlake.sources import files as S

@@ -191,3 +191,45 @@ def test_contains_join_equi_path_matches_broadcast(spark):
     fast = {(r["doc_id"], r["item_id"]) for r in contains_join(d, b).select("doc_id", "item_id").collect()}
     exact = {(r["doc_id"], r["item_id"]) for r in contains_join(d, b, broadcast_limit=0).select("doc_id", "item_id").collect()}
     assert fast == exact and len(fast) > 0
+
+
+def test_answer_straddling_two_windows_is_cls_in_both(spark):
+    # capacity 12, stride 4 -> windows [0,12) and [8,20); an answer over tokens 6..13 fits neither
+    ctx = " ".join(f"w{i:02d}" for i in range(20))
+    start, end = ctx.index("w06"), ctx.index("w13") + 3
+    ex = spark.createDataFrame([(1, ctx, "q", start, end)],
+                               "id long, context string, question string, start_char long, end_char long")
+    wt = windowed_tokens(ex, WindowConfig(16, 4, 3), keep=("start_char", "end_char"))
+    labels = {r["feature_idx"]: (r["start_position"], r["end_position"]) for r in window_labels(wt).collect()}
+    assert labels == {0: (0, 0), 1: (0, 0)}
+
+
+def test_short_answers_are_covered_and_labelled_spans_contain_them(spark):
+    """Every answer of at most `stride` tokens is covered by some window, and the
+    labelled token span's text contains the answer."""
+    from tests.conftest import SF_SMALL
+    from spanlake.plans import fixtures as X
+    cfg = WindowConfig(64, 16, 3)
+    ex = X.qa(spark, SF_SMALL).select("id", "context", "question", F.col("answer_start").alias("start_char"),
+                                      F.col("answer_end").alias("end_char"), "answer_text")
+    wt = windowed_tokens(ex.drop("answer_text"), cfg, keep=("start_char", "end_char"))
+    lab = window_labels(wt).where(F.col("start_position") != 0)
+    covered = lab.select("id").distinct().count()
+    assert covered == ex.count()
+    toks = wt.select("id", "feature_idx", "pos", "ts", "te")
+    spans = (lab.join(toks.withColumnRenamed("pos", "start_position").withColumnRenamed("te", "_te"),
+                      ["id", "feature_idx", "start_position"])
+             .join(toks.withColumnRenamed("pos", "end_position").withColumnRenamed("ts", "_ts"),
+                   ["id", "feature_idx", "end_position"])
+             .join(ex.select("id", "context", "answer_text"), "id"))
+    bad = spans.where(~F.substr("context", F.col("ts") + 1, F.col("te") - F.col("ts")).contains(F.col("answer_text")))
+    assert bad.count() == 0
+
+
+def test_stream_meter_equals_batch(spark):
+    from tests.conftest import SF_SMALL
+    from spanlake.sources.tables import table
+    from spanlake.streaming import meter as ST
+    streamed = ST.run_complete_to_table(ST.stream_meter(ST.file_stream(spark, SF_SMALL, "events")), spark, "t-meter")
+    batch = ST.stream_meter(table(spark, SF_SMALL, "events"))
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))

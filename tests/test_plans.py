@@ -3,7 +3,7 @@
 from spanlake.config import DecodeConfig, WindowConfig
 from spanlake.operators import folds as FO
 from spanlake.plans import fixtures as X
-from spanlake.plans.pipeline import lexical_predictions
+from spanlake.plans.composite import lexical_predictions
 from tests.conftest import SF_SMALL
 
 
