@@ -20,6 +20,8 @@ def spark():
 def duck():
     import duckdb
     con = duckdb.connect()
+    import tempfile
+    con.sql(f"SET temp_directory='{tempfile.mkdtemp(prefix='duck-')}'")
     con.sql("SET max_temp_directory_size='2GB'")
     for t in ("documents", "benchmark", "conversations", "labels", "embeddings", "events", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
