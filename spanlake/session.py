@@ -26,7 +26,7 @@ def local_session(cpus: int | str = "*", app: str = "spanlake", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("SPANLAKE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("SPANLAKE_DRIVER_MEMORY", _default_driver_memory()))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if event_log_dir:
@@ -38,6 +38,15 @@ def local_session(cpus: int | str = "*", app: str = "spanlake", shuffle_partitio
     return spark
 
 
+def _default_driver_memory() -> str:
+    """16g, or about 60% of physical memory on smaller hosts (local mode: the driver is the executor)."""
+    try:
+        total_mb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // (1024 * 1024)
+    except (ValueError, OSError, AttributeError):
+        return "16g"
+    return f"{max(1024, min(16 * 1024, int(total_mb * 0.6)))}m"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
     current = spark.conf.get("spark.checkpoint.dir", None)
