@@ -38,8 +38,9 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_from_documents(documents: DataFrame) -> DataFrame:
     """:func:`qa` over any documents frame (batch or streaming; row-local only)."""
     d = documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.col("text").alias("context"))
-    # count words without building the piece array (the filter runs below the projection)
-    d = d.where(F.regexp_count("context", F.lit(TOKEN)) >= MIN_WORDS)
+    # "at least MIN_WORDS words": an anchored pattern that stops after that many words
+    # (the filter runs on the scan, below the projection that builds the pieces)
+    d = d.where(F.col("context").rlike(rf"(?U)^\s*(?:\S+\s+){{{MIN_WORDS - 1}}}\S"))
     d = d.withColumn("_p", pieces("context")).withColumn("n_tok", F.size("_p"))
     k = F.floor(F.col("n_tok") / 2).cast("int")
     d = d.withColumn("k", k.cast("bigint"))
