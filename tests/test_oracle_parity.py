@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from spanlake.plans.catalog import oracle_sql, queries
 from tests.conftest import SF_SMALL
 
 NAMES = sorted(queries())
