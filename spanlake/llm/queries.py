@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanlake.llm import bpe
+from spanlake.llm import bpe, neardup, paragraphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,18 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+@register("op6_paragraph_dedup")
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = paragraphs.paragraph_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("dedup_paragraphs").alias("n_paragraphs"), F.size("dedup_removed").cast("long").alias("n_removed"),
+                      F.col("dedup_removed").alias("removed"), "text")
+
+
+@register("op8_neardup")
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), neardup.Similarity(shingle=3, percent=85))
+
+
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), rank_file())
