@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import bpe, neardup, paragraphs
+from spanlake.llm import bpe, fixity, mixing, neardup, paragraphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,78 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+OP3_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT source, count(*) AS n, CAST(floor(sqrt(count(*)) * 1000) AS BIGINT) AS share FROM documents GROUP BY source
+), weights AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS i,
+         greatest(1, CAST((1000 * share) // sum(share) OVER () AS BIGINT)) AS w FROM sizes
+), plan AS (SELECT *, CAST(sum(w) OVER () AS BIGINT) AS h FROM weights
+), edf AS (
+  SELECT CAST(-1 AS BIGINT) AS t, i, w, h, CAST(0 AS BIGINT) AS done, false AS runs FROM plan
+  UNION ALL
+  SELECT t + 1, i, w, h, done + CASE WHEN best = 1 THEN 1 ELSE 0 END, best = 1
+  FROM (SELECT *, row_number() OVER (ORDER BY ((done * h) // w > t + 1), ((done + 1) * h + w - 1) // w, i) AS best
+        FROM edf WHERE t + 1 < h)
+), slots AS (SELECT i, t, row_number() OVER (PARTITION BY i ORDER BY t) - 1 AS j FROM edf WHERE runs
+), ranked AS (
+  SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':7'), d.doc_id) - 1 AS r
+  FROM documents d
+)
+SELECT r.doc_id, r.source, r.r // 16 AS mix_block, ((r.r // 16) * p.h) // p.w AS mix_release,
+       (((r.r // 16) + 1) * p.h + p.w - 1) // p.w AS mix_deadline,
+       ((r.r // 16) // p.w) * p.h + s.t AS mix_slot,
+       (((r.r // 16) // p.w) * p.h + s.t) * 16 + r.r % 16 AS mix_key
+FROM ranked r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source JOIN slots s ON s.i = p.i AND s.j = (r.r // 16) % p.w
+"""
+
+
+@register("op3_pfair_mix", OP3_SQL)
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_key")
+
+
+def second_replica(pages: DataFrame) -> DataFrame:
+    """A replica of ``pages`` with stated damage: one altered byte, lost pages, and pages stored twice."""
+    hit = F.col("page_id") % 97 == 13
+    body = F.when(hit, F.concat(F.substring("html", 1, 9), F.lit("#"), F.substring(F.col("html"), F.lit(11), F.length("html")))).otherwise(F.col("html"))
+    kept = pages.select("page_id", "url", body.alias("html")).where("page_id % 211 <> 5")
+    return kept.unionByName(kept.where("page_id % 307 = 7"))
+
+
+OP9_SQL = """
+WITH damaged AS (
+  SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN substr(html, 1, 9) || '#' || substr(html, 11) ELSE html END AS html
+  FROM pages WHERE page_id % 211 <> 5
+), stores AS (
+  SELECT 'a' AS store, page_id, url, html FROM pages
+  UNION ALL SELECT 'b', page_id, url, html FROM damaged
+  UNION ALL SELECT 'b', page_id, url, html FROM damaged WHERE page_id % 307 = 7
+), recs AS (
+  SELECT store, page_id, coalesce(url, '') AS url, 'WARC/1.0' || nl || 'WARC-Type: response' || nl || 'WARC-Target-URI: ' || coalesce(url, '') || nl
+    || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(coalesce(html, '')) || nl || nl || coalesce(html, '') || nl || nl AS rec
+  FROM (SELECT *, chr(13) || chr(10) AS nl FROM stores)
+), facts AS (
+  SELECT store, page_id, url, strlen(rec) AS length, sha256(rec) AS digest, page_id >> 10 AS file FROM recs
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY store, file, page_id, url ORDER BY digest) AS copy,
+    coalesce(sum(length) OVER (PARTITION BY store, file ORDER BY page_id, url, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM facts
+), a AS (SELECT * FROM m WHERE store = 'a'), b AS (SELECT * FROM m WHERE store = 'b')
+SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.url, b.url) AS url, coalesce(a.copy, b.copy) AS copy,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'altered' END AS status,
+  coalesce(a.file, b.file) AS file, CAST(a."offset" AS BIGINT) AS "offset", a.length, a.digest, b.length AS found_length, b.digest AS found_digest
+FROM a FULL JOIN b ON a.file = b.file AND a.page_id = b.page_id AND a.url = b.url AND a.copy = b.copy
+WHERE a.digest IS DISTINCT FROM b.digest
+"""
+
+
+@register("op9_merkle_audit", OP9_SQL)
+def op9_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return fixity.audit_replicas(fixity.records(pages), fixity.records(second_replica(pages)))
+
+
 @register("op6_paragraph_dedup")
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = paragraphs.paragraph_dedup(read(spark, sf_dir, "documents"))
