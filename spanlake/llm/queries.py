@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import bpe, fixity, mixing, neardup, paragraphs
+from spanlake.llm import bpe, fixity, mixing, neardup, paragraphs, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +115,23 @@ def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("dedup_removed").alias("removed"), "text")
 
 
+KEEP_QUALITY = 0.7
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Quality scores learned without the held-out quarter of the labels."""
+    seen = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    return quality.score_quality(docs, seen)
+
+
+@register("op7_quality_votes")
+def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_scores(docs, read(spark, sf_dir, "labels"))
+    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score",
+                      (F.col("score") >= KEEP_QUALITY).cast("int").alias("predicted"))
+
+
 @register("op8_neardup")
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), neardup.Similarity(shingle=3, percent=85))
