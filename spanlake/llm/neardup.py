@@ -7,15 +7,18 @@ minhashes.  Two sets of similarity s miss every table with probability at most
 ``2 * (1 - s**a)**m``; with the default a=3, m=9 that is 4e-4 at s=0.85 and
 2e-5 at s=0.9.
 
-Links come from exact comparison only:
+Links come from exact comparison only, and no table of pairs is ever made:
 
 1. equal sets are one class (grouped by set fingerprint and size);
-2. in each table bucket every class is compared with the bucket's hub, a number
-   of pairs linear in the rows, however large the bucket;
-3. classes of a bucket that are still in different components are compared with
-   one another in blocks, first by the share of equal minhashes (one byte each;
-   the cut lies far below what linked sets show), then exactly;
-4. components of the links give each document's group.
+2. in each table bucket every class is compared with the bucket's hub by the
+   share of equal minhashes (the cut lies far below what linked sets show), and
+   the classes that differ from the hub among themselves, block by block; both
+   give a number of links linear in the rows, and their components are
+   candidate clusters;
+3. within a cluster, full sets are compared exactly, block against block inside
+   tasks, and each block returns a forest of links; in a cluster of many blocks
+   the rows linked to its first row need not meet each other;
+4. components of the exact links give each document's group.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from spanlake.llm import tables as TA
 from spanlake.llm import textbytes as TB
 
 U64 = np.uint64
-BLOCK = 1024  # rows of a block of a bucket that is compared pair by pair
+BLOCK = 512  # rows of a block that is compared pair by pair
 
 
 @dataclass(frozen=True)
@@ -119,68 +122,119 @@ def features(docs: DataFrame, carry: list[str], text_col: str, sim: Similarity,
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """Exact ``inter, total`` (union size) of the full shingle sets of ``a, b`` pairs; ``texts`` has ``uid, text``."""
+    """``a, b`` of those pairs whose full shingle sets are linked; ``texts`` has ``uid, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for c in (2, 3):
-                own: list[np.ndarray] = []
-                for lo, hi, data, offsets in TB.slices(batch.column(c)):
-                    values, at = TB.text_shingles(data, offsets, sim.shingle, sim.lower)
-                    own += [np.unique(values[at[i]:at[i + 1]]) for i in range(hi - lo)]
-                sides.append(own)
-            inter = np.fromiter((len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)), np.int64, batch.num_rows)
-            total = np.fromiter((len(x) + len(y) for x, y in zip(*sides, strict=True)), np.int64, batch.num_rows) - inter
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter), pa.array(total)], names=["a", "b", "inter", "total"])
+            left, right = (shingle_sets(batch.column(c), sim) for c in (2, 3))
+            inter = np.fromiter((len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)), np.int64, batch.num_rows)
+            total = np.fromiter((len(x) + len(y) for x, y in zip(left, right, strict=True)), np.int64, batch.num_rows) - inter
+            yield batch.select([0, 1]).filter(pa.array(inter * 100 >= total * sim.percent))
 
     left = texts.select(F.col("uid").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("uid").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long, inter long, total long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def linked(checked: DataFrame, sim: Similarity) -> DataFrame:
-    return checked.where(F.col("inter") * 100 >= F.col("total") * sim.percent).select("a", "b")
+def shingle_sets(column, sim: Similarity) -> list[np.ndarray]:
+    """Sorted distinct shingle fingerprints of every text of a column."""
+    out: list[np.ndarray] = []
+    for lo, hi, data, offsets in TB.slices(column):
+        values, at = TB.text_shingles(data, offsets, sim.shingle, sim.lower)
+        out += [np.unique(values[at[i]:at[i + 1]]) for i in range(hi - lo)]
+    return out
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, sim: Similarity, hashes: int) -> DataFrame:
-    """Pairs ``a, b`` of one bucket in different components that the bucket's hub left unchecked, by equal minhashes.
+def deal_blocks(rows: DataFrame, group: str, carry: list[str]) -> DataFrame:
+    """Rows dealt to pairs of blocks ``g`` so that any two rows of a group meet unless both are settled.
 
-    Rows in the hub's own component need no comparison with each other; all
-    other combinations are made block against block, never as rows.
+    ``settled`` marks rows that need not meet each other.  A block holds about
+    ``BLOCK`` rows; small groups are one block and their rows are dealt once.
     """
-    own = members.join(labels.select(F.col("node").alias("uid"), F.col("component").alias("c")), "uid", "left")
-    own = own.join(labels.select(F.col("node").alias("hub"), F.col("component").alias("hc")), "hub", "left")
-    own = own.withColumn("other", F.coalesce("c", "uid") != F.coalesce("hc", "hub")).withColumn("c", F.coalesce("c", "uid")).where("uid <> hub")
-    side = own.groupBy("key").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("same"))
-    side = side.where("others > 0 and others + same > 1")
-    side = side.select("key", F.ceil(F.col("others") / BLOCK).alias("no"), F.ceil(F.col("same") / BLOCK).alias("ns"))
-    own = own.join(side, "key").withColumn("blk", F.pmod(F.xxhash64("uid"), F.when(F.col("other"), F.col("no")).otherwise(F.col("ns"))))
+    side = rows.groupBy(group).agg(F.count_if(~F.col("settled")).alias("loose"), F.count_if("settled").alias("fixed")).where("loose > 0 and loose + fixed > 1")
+    side = side.select(F.col(group).alias("_of"), F.ceil(F.col("loose") / BLOCK).alias("nl"), F.ceil(F.col("fixed") / BLOCK).alias("nf"))
+    own = rows.join(side, F.col(group) == F.col("_of"))
+    own = own.withColumn("blk", F.pmod(F.xxhash64("uid"), F.when(F.col("settled"), F.col("nf")).otherwise(F.col("nl"))))
     span = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
     here = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    with_same = F.transform(span(F.col("ns")), lambda j: here(0, F.col("blk"), j))
-    with_other = F.transform(span(F.col("no")), lambda j: here(1, F.least("blk", j), F.greatest("blk", j)))
-    to = F.when(F.col("other"), F.concat(with_same, with_other)).otherwise(F.transform(span(F.col("no")), lambda i: here(0, i, F.col("blk"))))
-    dealt = own.select("key", "uid", "c", "other", F.explode(to).alias("t")).select(F.xxhash64("key", "t.kind", "t.i", "t.j").alias("g"), "uid", "c", "other")
-    dealt = dealt.join(sketches.select("uid", "n", "sketch"), "uid").select("g", "uid", "c", "other", "n", "sketch")
+    alone = (F.col("nl") == 1) & (F.col("nf") <= 1)
+    with_fixed = F.transform(span(F.col("nf")), lambda j: here(0, F.col("blk"), j))
+    with_loose = F.transform(span(F.col("nl")), lambda j: here(1, F.least("blk", j), F.greatest("blk", j)))
+    to = F.when(alone, F.array(here(1, F.lit(0).cast("long"), F.lit(0).cast("long"))))
+    to = to.when(~F.col("settled"), F.concat(with_fixed, with_loose)).otherwise(F.transform(span(F.col("nl")), lambda i: here(0, i, F.col("blk"))))
+    dealt = own.select(group, *carry, F.explode(to).alias("t")).select(F.xxhash64(group, "t.kind", "t.i", "t.j").alias("g"), *carry)
+    return dealt.repartition("g").sortWithinPartitions("g")
+
+
+def alike_links(failed: DataFrame, sketches: DataFrame, sim: Similarity, hashes: int) -> DataFrame:
+    """Links ``a, b`` that connect rows of one bucket (``key, uid``) with enough equal minhashes: a forest per block."""
     need = sim.agreement(hashes)
+    rows = failed.select("key", "uid").join(sketches.select("uid", "n", "sketch"), "uid").withColumn("settled", F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
         for group in TA.sorted_groups(batches):
-            if group.num_rows < 2:
-                continue
-            uid, c, n = (group.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 4))
-            other = group.column(3).to_numpy(zero_copy_only=False)
-            sk = np.frombuffer(b"".join(group.column(5).to_pylist()), np.uint8).reshape(len(uid), hashes)
-            for i in np.flatnonzero(other):
-                ok = (c != c[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * sim.percent) & (~other | (uid > uid[i]))
-                hit = np.flatnonzero(ok)
-                hit = hit[(sk[hit] == sk[i]).sum(axis=1) >= need]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(uid[hit], uid[i])), pa.array(np.minimum(uid[hit], uid[i]))], names=["a", "b"])
+            m = group.num_rows
+            uid, n = (group.column(i).to_numpy() for i in (1, 2))
+            sk = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint8).reshape(m, hashes)
+            trees = TA.Forest(m)
+            for i in range(m - 1):
+                fits = np.minimum(n[i + 1:], n[i]) * 100 >= np.maximum(n[i + 1:], n[i]) * sim.percent
+                hit = np.flatnonzero(fits) + i + 1
+                for j in hit[(sk[hit] == sk[i]).sum(axis=1) >= need].tolist():
+                    if trees.join(i, j):
+                        a.append(int(uid[i]))
+                        b.append(int(uid[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return deal_blocks(rows, "key", ["uid", "n", "sketch"]).mapInArrow(run, "a long, b long")
+
+
+def exact_links(rows: DataFrame, sim: Similarity) -> DataFrame:
+    """Links ``a, b`` that connect what is linked by full sets within a cluster: a forest per block.
+
+    ``rows`` has ``cluster, uid, text, settled``.  Intersection sizes of all
+    rows of a block come from products of 0/1 matrices over shingles that
+    occur more than once in it.
+    """
 
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for group in TA.sorted_groups(batches):
+            m = group.num_rows
+            if m < 2:
+                continue
+            uid = group.column(1).to_numpy()
+            for i, j in linked_pairs(shingle_sets(group.column(2), sim), sim.percent):
+                a.append(int(uid[i]))
+                b.append(int(uid[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return deal_blocks(rows, "cluster", ["uid", "text"]).mapInArrow(run, "a long, b long")
+
+
+def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A forest of row pairs that connects all rows linked by ``100 * intersection >= percent * union``."""
+    m = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, m)
+    row = np.repeat(np.arange(m), size)
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[which] > 1
+    number = np.cumsum(count > 1) - 1
+    row, col = row[shared], number[which[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    inter = np.zeros((m, m), np.float32)
+    width = max(256, (1 << 22) // m)
+    cuts = np.searchsorted(col, np.arange(0, (int(col[-1]) + 1 if len(col) else 0) + width, width))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        part = np.zeros((m, width), np.float32)
+        part[row[lo:hi], col[lo:hi] - k * width] = 1
+        inter += part @ part.T
+    inter = np.rint(inter).astype(np.int64)
+    i, j = np.nonzero(np.triu(inter * 100 >= (size[:, None] + size[None, :] - inter) * percent, 1))
+    trees = TA.Forest(m)
+    return [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if trees.join(x, y)]
 
 
 def class_components(classes: DataFrame, keys: DataFrame, text_of: Callable[[DataFrame], DataFrame], sim: Similarity, hashes: int) -> DataFrame:
@@ -190,18 +244,24 @@ def class_components(classes: DataFrame, keys: DataFrame, text_of: Callable[[Dat
     key``, the table keys; ``text_of(uids)`` gives ``uid, text``.
     """
     hubs = TA.written(keys.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
-    members = TA.written(keys.join(hubs, "key").select("key", "uid", "hub", "size"), "members")
-    texts = TA.written(text_of(members.select("uid").distinct()), "texts")
-    pairs = members.where("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct()
-    n_of = classes.select("uid", "n")
-    pairs = pairs.join(n_of.select(F.col("uid").alias("a"), F.col("n").alias("na")), "a").join(n_of.select(F.col("uid").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * sim.percent).select("a", "b")
-    links = TA.written(linked(overlaps(pairs, texts, sim), sim), "links")
-    found = TA.components(links)
-    more = TA.written(rest_pairs(members.where("size > 2"), found, classes, sim, hashes), "rest")
-    if more.isEmpty():
-        return found
-    return TA.components(links.unionByName(linked(overlaps(more, texts, sim), sim)))
+    members = TA.written(keys.join(hubs, "key").where("uid <> hub").select("key", "uid", "hub"), "members")
+    # candidate clusters: rows alike to their bucket's hub by minhashes, and the others of a bucket among themselves
+    sketch = lambda c: classes.select(F.col("uid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    pairs = members.select("uid", "hub").distinct().join(sketch("uid"), "uid").join(sketch("hub"), "hub")
+    fits = F.least("n_uid", "n_hub") * 100 >= F.greatest("n_uid", "n_hub") * sim.percent
+    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(hashes)), lambda i: F.substring("s_uid", i, 1) == F.substring("s_hub", i, 1)))
+    alike = TA.written(pairs.where(fits & (same >= sim.agreement(hashes))).select(F.col("uid").alias("a"), F.col("hub").alias("b")), "alike")
+    failed = members.join(alike, (F.col("uid") == F.col("a")) & (F.col("hub") == F.col("b")), "left_anti").select("key", "uid")
+    clusters = TA.components(alike.unionByName(alike_links(failed, classes, sim, hashes)))
+    clusters = TA.written(clusters.select(F.col("node").alias("uid"), F.col("component").alias("cluster")), "clusters")
+    texts = TA.written(text_of(clusters.select("uid")), "texts")
+    # rows of a cluster of many blocks that are linked to its first row are settled: they need not meet each other
+    large = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("cluster")
+    hung = clusters.join(large, "cluster", "left_semi").where("uid <> cluster").select(F.col("uid").alias("a"), F.col("cluster").alias("b"))
+    star = TA.written(overlaps(hung, texts, sim), "star")
+    rows = clusters.join(star.select(F.col("a").alias("uid"), F.lit(True).alias("s")), "uid", "left")
+    rows = rows.select("cluster", "uid", F.coalesce("s", F.lit(False)).alias("settled")).join(texts, "uid")
+    return TA.components(star.unionByName(exact_links(rows, sim)))
 
 
 def near_duplicates(docs: DataFrame, sim: Similarity, *, id_col: str = "doc_id", text_col: str = "text",

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import bpe, fixity, mixing, neardup, paragraphs, quality
+from spanlake.llm import bpe, fixity, mixing, neardup, paragraphs, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,6 +108,15 @@ def op9_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit_replicas(fixity.records(pages), fixity.records(second_replica(pages)))
 
 
+@register("op5_toxicity_chain")
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.train_chain(docs, labels, ["low_quality", "toxic"])
+    out = toxicity.score_chain(docs, chain)
+    return out.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"))
+
+
 @register("op6_paragraph_dedup")
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = paragraphs.paragraph_dedup(read(spark, sf_dir, "documents"))

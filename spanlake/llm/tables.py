@@ -45,26 +45,48 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of undirected ``a, b`` edges of longs.
 
-    Alternates large-star and small-star steps until the edges stop changing;
-    each round is a few equi-joins and minimum aggregates over the edges, cut
-    by a written table.  A node of very many edges is pre-aggregated before its
+    Alternates large-star and small-star steps until every component is a star;
+    each round is two equi-joins and minimum aggregates over the edges, cut by a
+    written table.  A node of very many edges is pre-aggregated before its
     shuffle and its join side can be split.  Null ends and self loops are
     ignored; no edges give no rows.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(max_rounds):
+        if _is_star_forest(e):
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
+        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(low.select("u", F.col("m").alias("v")).unionByName(hung).distinct(), "edges")
-        state = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _is_star_forest(e: DataFrame) -> bool:
+    """Whether every node has at most one smaller neighbour and no node has both smaller and larger ones."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
+class Forest:
+    """Union-find over row numbers inside a task; ``join`` tells whether the two were apart."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
