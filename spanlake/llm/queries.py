@@ -108,13 +108,16 @@ def op9_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit_replicas(fixity.records(pages), fixity.records(second_replica(pages)))
 
 
+TOXIC = 0.4
+
+
 @register("op5_toxicity_chain")
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = toxicity.train_chain(docs, labels, ["low_quality", "toxic"])
     out = toxicity.score_chain(docs, chain)
-    return out.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"))
+    return out.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC).cast("int").alias("toxic"))
 
 
 @register("op6_paragraph_dedup")

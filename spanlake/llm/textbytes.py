@@ -23,6 +23,8 @@ BASE = U64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U64(pow(int(BASE), -1, 2**64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NO_WORD = SPACE.copy()  # white space, controls and ASCII punctuation
+NO_WORD[[b for b in range(128) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -84,13 +86,13 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(U64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts, ends and row numbers of the words ``[^\\x20\\x09-\\x0D]+``; none crosses a row."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts, ends and row numbers of the words (by default ``[^\\x20\\x09-\\x0D]+``); none crosses a row."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~SPACE[data]
+    word = ~between[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     before = np.concatenate(([False], word[:-1])) & ~first[:n]
