@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import bpe, fixity, mixing, neardup, paragraphs, pivots, projections, quality, toxicity
+from spanlake.llm import bpe, fixity, mixing, neardup, paragraphs, pivots, projections, quality, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op1_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+@register("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(read(spark, sf_dir, "documents"))
+
+
 @register("op4_pivots", """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
