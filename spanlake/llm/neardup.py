@@ -175,6 +175,7 @@ def alike_links(failed: DataFrame, sketches: DataFrame, sim: Similarity, hashes:
         a, b = [], []
         for group in TA.sorted_groups(batches):
             m = group.num_rows
+            group = group.take(pa.array(np.argsort(group.column(1).to_numpy())))
             uid, n = (group.column(i).to_numpy() for i in (1, 2))
             sk = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint8).reshape(m, hashes)
             trees = TA.Forest(m)
@@ -182,9 +183,10 @@ def alike_links(failed: DataFrame, sketches: DataFrame, sim: Similarity, hashes:
                 fits = np.minimum(n[i + 1:], n[i]) * 100 >= np.maximum(n[i + 1:], n[i]) * sim.percent
                 hit = np.flatnonzero(fits) + i + 1
                 for j in hit[(sk[hit] == sk[i]).sum(axis=1) >= need].tolist():
-                    if trees.join(i, j):
-                        a.append(int(uid[i]))
-                        b.append(int(uid[j]))
+                    trees.join(i, j)
+            for i, j in trees.stars():
+                a.append(int(uid[i]))
+                b.append(int(uid[j]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return deal_blocks(rows, "key", ["uid", "n", "sketch"]).mapInArrow(run, "a long, b long")
@@ -204,6 +206,7 @@ def exact_links(rows: DataFrame, sim: Similarity) -> DataFrame:
             m = group.num_rows
             if m < 2:
                 continue
+            group = group.take(pa.array(np.argsort(group.column(1).to_numpy())))
             uid = group.column(1).to_numpy()
             for i, j in linked_pairs(shingle_sets(group.column(2), sim), sim.percent):
                 a.append(int(uid[i]))
@@ -214,7 +217,7 @@ def exact_links(rows: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A forest of row pairs that connects all rows linked by ``100 * intersection >= percent * union``."""
+    """Pairs of a row and its component's first row, over all rows linked by ``100 * intersection >= percent * union``."""
     m = len(sets)
     size = np.fromiter(map(len, sets), np.int64, m)
     row = np.repeat(np.arange(m), size)
@@ -234,7 +237,9 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     inter = np.rint(inter).astype(np.int64)
     i, j = np.nonzero(np.triu(inter * 100 >= (size[:, None] + size[None, :] - inter) * percent, 1))
     trees = TA.Forest(m)
-    return [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if trees.join(x, y)]
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        trees.join(x, y)
+    return trees.stars()
 
 
 def class_components(classes: DataFrame, keys: DataFrame, text_of: Callable[[DataFrame], DataFrame], sim: Similarity, hashes: int) -> DataFrame:
@@ -320,3 +325,13 @@ def group_rows(base: DataFrame, by_set: DataFrame, found: DataFrame, id_col: str
     out = out.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     kept = F.col("id").eqNullSafe(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, sim: Similarity, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input without the documents that ``near_duplicates`` does not keep (same columns and edge cases).
+
+    An id stays if any of its rows is kept; rows without an id count as one id.
+    """
+    groups = near_duplicates(docs, sim, id_col=id_col, text_col=text_col)
+    gone = groups.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("_gone")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")

@@ -75,7 +75,7 @@ def _is_star_forest(e: DataFrame) -> bool:
 
 
 class Forest:
-    """Union-find over row numbers inside a task; ``join`` tells whether the two were apart."""
+    """Union-find over row numbers inside a task; a tree's root is its smallest row."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -86,7 +86,10 @@ class Forest:
             x = self.up[x]
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.root(x), self.root(y)
         self.up[max(x, y)] = min(x, y)
-        return x != y
+
+    def stars(self) -> list[tuple[int, int]]:
+        """Every row that is not a root, with its root."""
+        return [(i, r) for i in range(len(self.up)) if (r := self.root(i)) != i]
