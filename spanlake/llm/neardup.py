@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from spanlake.llm import tables as TA
 from spanlake.llm import textbytes as TB
+from spanlake.session import shuffle_partitions
 
 U64 = np.uint64
 BLOCK = 512  # rows of a block that is compared pair by pair
@@ -163,7 +164,8 @@ def deal_blocks(rows: DataFrame, group: str, carry: list[str]) -> DataFrame:
     to = F.when(alone, F.array(here(1, F.lit(0).cast("long"), F.lit(0).cast("long"))))
     to = to.when(~F.col("settled"), F.concat(with_fixed, with_loose)).otherwise(F.transform(span(F.col("nl")), lambda i: here(0, i, F.col("blk"))))
     dealt = own.select(group, *carry, F.explode(to).alias("t")).select(F.xxhash64(group, "t.kind", "t.i", "t.j").alias("g"), *carry)
-    return dealt.repartition("g").sortWithinPartitions("g")
+    # an explicit number: the work of a partition is far larger than its bytes suggest
+    return dealt.repartition(shuffle_partitions(rows), "g").sortWithinPartitions("g")
 
 
 def alike_links(failed: DataFrame, sketches: DataFrame, sim: Similarity, hashes: int) -> DataFrame:
@@ -228,7 +230,7 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     inter = np.zeros((m, m), np.float32)
-    width = max(256, (1 << 22) // m)
+    width = min(int(col[-1]) + 1 if len(col) else 1, max(256, (1 << 22) // m))
     cuts = np.searchsorted(col, np.arange(0, (int(col[-1]) + 1 if len(col) else 0) + width, width))
     for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         part = np.zeros((m, width), np.float32)
