@@ -22,11 +22,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from spanlake.config import DecodeConfig, WindowConfig  # noqa: E402
 from spanlake.operators import decode as D  # noqa: E402
-from spanlake.operators.align import all_occurrences  # noqa: E402
 from spanlake.operators.augment import normalize_synonyms, synonym_replacement  # noqa: E402
 from spanlake.operators.ensemble import hard_vote  # noqa: E402
 from spanlake.operators.tokens import tokenize  # noqa: E402
 from spanlake.operators.windows import window_labels, windowed_tokens  # noqa: E402
+from spanlake.plans import catalog  # noqa: E402
 from spanlake.plans import fixtures as X  # noqa: E402
 from spanlake.plans.composite import eval_by_language, lexical_logits_for, lexical_predictions  # noqa: E402
 from spanlake.plans.queries_eval import GRID_MAX, SWEEP_GRID  # noqa: E402
@@ -76,8 +76,7 @@ def q_hard_vote(spark, d):
 
 
 def q_occurrence_lists(spark, d):
-    qa = X.qa(spark, d).select("id", "context", F.regexp_extract("answer_text", r"(?U)\S+", 0).alias("needle"))
-    return all_occurrences(by_id(qa), text_col="needle")
+    return catalog.queries()["occurrence_lists"](spark, d)
 
 
 def q_synonym_replace(spark, d):

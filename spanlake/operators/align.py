@@ -6,7 +6,7 @@ unchanged on streaming DataFrames (ST2).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import lstrip
@@ -14,7 +14,6 @@ from spanlake.functions.text import lstrip
 # Repair classes, in the order the shifts are tried.
 REPAIR_CLASSES = ("exact", "off_by_1", "off_by_2")
 UNMATCHED = "unmatched"
-_SEP = "\u0001"
 
 
 def _slice_eq(context: Column, start: Column, text: Column) -> Column:
@@ -64,22 +63,25 @@ def all_occurrences(df: DataFrame, text_col: str = "answer_text", context_col: s
                     id_col: str = "id") -> DataFrame:
     """A2: all non-overlapping, left-to-right start offsets of the answer in the context.
 
-    The context is cut at each occurrence (literal ``replace`` + ``split``); the
-    start of occurrence ``i`` is the length of the pieces before it plus ``i``
-    answer lengths, a running sum over the exploded pieces (keyed by ``id``).
-    Every row yields at least one piece, so the per-``id`` aggregate covers all
-    rows without joining back.  Returns ``id, answer_start_list array<bigint>``
+    The context is split at the answer taken literally; occurrence ``i`` starts
+    where the pieces before it and ``i`` answers end.  Row-local: one output row
+    per input row, no shuffle.  Returns ``id, answer_start_list array<bigint>``
     (empty for an empty or missing answer).
     """
     needle, ctx = F.col(text_col), F.coalesce(F.col(context_col), F.lit(""))
-    parts = F.when(needle.isNull() | (needle == ""), F.array(ctx)).otherwise(
-        F.split(F.replace(ctx, needle, F.lit(_SEP)), _SEP, -1))
-    x = df.select(id_col, text_col, F.size(parts).alias("_n"), F.posexplode(parts).alias("_i", "_part"))
-    w = Window.partitionBy(id_col).orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("_run", F.sum(F.length("_part")).over(w))
+    literal = F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    parts = F.when(needle.isNull() | (needle == ""), F.array(ctx)).otherwise(F.split(ctx, literal, -1))
+    size = F.length(needle).cast("bigint")
+
+    def step(acc: Column, part: Column) -> Column:
+        here = acc["at"] + F.length(part)
+        return F.struct((here + size).alias("at"), F.concat(acc["found"], F.array(here)).alias("found"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("found"))
     # the last piece follows the last occurrence
-    pos = F.when(F.col("_i") < F.col("_n") - 1, (F.col("_run") + F.col("_i") * F.length(text_col)).cast("bigint"))
-    return x.groupBy(id_col).agg(F.sort_array(F.collect_list(pos)).alias("answer_start_list"))
+    found = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda acc: acc["found"])
+    hits = F.when(needle.isNull() | (needle == ""), F.array().cast("array<bigint>")).otherwise(found)
+    return df.select(id_col, hits.alias("answer_start_list"))
 
 
 def to_answers_struct(df: DataFrame, start_col: str = "answer_start", text_col: str = "answer_text") -> DataFrame:

@@ -76,10 +76,13 @@ def back_translate(examples: DataFrame, memory: DataFrame, prob_pct: int, seed:
     """X4 (re-aimed): each field goes "via" another language and back with probability
     ``prob_pct``% (seeded hash per id and field); the round trip is a join to a
     translation-memory table ``(id, field, via_lang, back_text)``; fields without a
-    memory row pass through unchanged."""
+    memory row pass through unchanged.  Where the memory knows several languages
+    for an example, one is chosen by seeded hash."""
     mem = memory.groupBy("id", "via_lang").agg(
         *[F.max(F.when(F.col("field") == f, F.col("back_text"))).alias(f"_m_{f}") for f in ("context", "question",
                                                                                            "answer")])
+    mine = F.struct("via_lang", *[f"_m_{f}" for f in ("context", "question", "answer")])
+    mem = mem.groupBy("id").agg(F.min_by(mine, F.struct(hash_unit("id", "via_lang", F.lit(seed)), "via_lang")).alias("_m")).select("id", "_m.*")
     j = examples.join(mem, "id", "left")
     out = j
     for f, col in (("context", "context"), ("question", "question"), ("answer", "answer_text")):

@@ -22,6 +22,7 @@ from spanlake.functions.text import order_key
 
 MAIN_FOLD_SEED = 9353
 EXTERNAL_FOLD = -1
+BINS = 4096
 
 
 def global_rank(df: DataFrame, order: list[Column | str], strata: list[str] | None = None, out: str = "rank",
@@ -40,9 +41,14 @@ def global_rank(df: DataFrame, order: list[Column | str], strata: list[str] | No
     counts = b.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
-    # the offsets table has at most (#strata x 16^digits) rows: small enough to broadcast
-    j = b.join(F.broadcast(offsets), [*strata, "_bucket"])
-    return j.withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_bucket", "_local", "_off")
+    # the offsets table has at most (#strata x 16^digits) rows: small enough to broadcast; a NULL stratum is a stratum
+    same = F.col("_bucket") == F.col("_o_bucket")
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    offsets = offsets.select(F.col("_bucket").alias("_o_bucket"), "_off", *[F.col(c).alias(f"_o_{c}") for c in strata])
+    j = b.join(F.broadcast(offsets), same)
+    return (j.withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
+            .drop("_bucket", "_local", "_off", "_o_bucket", *[f"_o_{c}" for c in strata]))
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, by: str = "language", seed: int = MAIN_FOLD_SEED,
@@ -104,21 +110,32 @@ def epoch_batches(df: DataFrame, epoch: int, seed: int, batch_size: int, keys: l
             .drop("_rk", "_okey"))
 
 
-def rank_by_range(df: DataFrame, order: list[Column], out: str = "rank", n: int | None = None) -> DataFrame:
-    """1-based global rank by any total order, without a single-partition window.
+def nth_value(df: DataFrame, col: str, n: int, descending: bool = False) -> tuple[float | int, int] | None:
+    """The exact ``n``-th smallest (largest) value of a numeric column, and how many rows come strictly before it.
 
-    Rows are range-partitioned on ``order`` (Spark samples the bounds) and
-    sorted inside each partition; a row's rank is the number of rows in the
-    earlier partitions (a table of one row per partition) plus its position
-    inside its own partition.  ``order`` must be a total order (end with a
-    unique key) so that recomputing a lost partition gives the same ranks.
+    Counts rows in ``BINS`` equal ranges and goes on inside the range that
+    holds row ``n`` until that range is one value: a few aggregates of at most
+    ``BINS`` rows each, whatever the size of the table.  NULL and NaN are not
+    counted; fewer than ``n`` rows give None.
     """
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
-    stats = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    run = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
-    j = r.join(F.broadcast(offsets), "_pid")
-    return j.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("bigint")).drop(
-        "_pid", "_mid", "_m0", "_off")
+    x = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull() & ~F.isnan(F.col("x").cast("double")))
+    before = 0
+    lo, hi, total = x.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
+    if n < 1 or total < n:
+        return None
+    while lo != hi:
+        width = (float(hi) - float(lo)) / BINS
+        part = x.where(F.col("x").between(F.lit(lo), F.lit(hi)))
+        b = F.least(F.floor((F.col("x").cast("double") - float(lo)) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        rows = part.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        rows.sort(key=lambda r: r["b"], reverse=descending)
+        if len(rows) == 1 and (rows[0]["lo"], rows[0]["hi"]) == (lo, hi):  # neighbouring doubles: two values left
+            first, other = (hi, lo) if descending else (lo, hi)
+            ahead = part.where(F.col("x") == F.lit(first)).count()
+            return (first, before) if before + ahead >= n else (other, before + ahead)
+        for r in rows:
+            if before + r["n"] >= n:
+                lo, hi = r["lo"], r["hi"]
+                break
+            before += r["n"]
+    return lo, before

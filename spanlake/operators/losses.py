@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.operators.folds import rank_by_range
+from spanlake.operators.folds import nth_value
 
 SMOOTH = 1e-4
 
@@ -116,34 +116,59 @@ def dice_binary(df: DataFrame, p: str, y: str, mask: str | None = None, alpha: C
     return df.groupBy(*(group or [])).agg(loss.alias("loss"))
 
 
-def dice_multiclass(df: DataFrame, logits: str, label: str, k: int, smooth: float = SMOOTH) -> DataFrame:
-    """Per row ``sum_c 1 - (2 p_ic y_ic + s) / (P_c + Y_c + s)`` with softmax ``p`` and one-hot ``y``.
+def dice_multiclass(df: DataFrame, logits: str, label: str, k: int, smooth: float = SMOOTH, alpha: float = 0.0,
+                    square: bool = False, mask: str | None = None) -> DataFrame:
+    """Adds ``loss = sum_c 1 - (2 p'_ic y_ic + s) / (P_c + Y_c + s)`` to every row.
 
-    ``P_c``/``Y_c`` are class totals over all rows (a ``k``-row table, joined
-    back by broadcast since ``k`` is a fixed parameter).  Returns per-row
-    ``loss``; reduce with ``avg`` (mean) or ``sum``.
+    ``p`` is the softmax of ``logits``, ``p' = (1-p)^alpha * p``, ``y`` the one-hot
+    ``label``; ``mask`` (0/1) multiplies both; ``P_c``/``Y_c`` are class totals
+    over all rows (of squares with ``square``), ``2 k`` sums in one aggregate
+    read as a scalar subquery.  Rows are never grouped, so equal rows stay
+    apart; reduce ``loss`` with ``avg`` (mean) or ``sum``, or keep it (none).
     """
-    x = df.select("*", F.posexplode(F.arrays_zip(softmax(F.col(logits)).alias("p"),
-                                                 one_hot(F.col(label), k).alias("y"))).alias("c", "_z"))
-    x = x.withColumn("p", F.col("_z.p")).withColumn("y", F.col("_z.y")).drop("_z")
-    tot = x.groupBy("c").agg(F.sum("p").alias("tot_p"), F.sum("y").alias("tot_y"))
-    j = x.join(F.broadcast(tot), "c")
-    term = F.lit(1.0) - (F.lit(2.0) * F.col("p") * F.col("y") + smooth) / (F.col("tot_p") + F.col("tot_y") + smooth)
-    keys = [c for c in df.columns if c not in (logits,)]
-    return j.groupBy(*keys).agg(F.sum(term).alias("loss"))
+    m = F.col(mask).cast("double") if mask else F.lit(1.0)
+    p = F.transform(softmax(F.col(logits)), lambda v: F.pow(F.lit(1.0) - v * m, F.lit(alpha)) * v * m)
+    y = F.transform(one_hot(F.col(label), k), lambda v: v * m)
+    x = df.withColumn("_p", p).withColumn("_y", y)
+    power = (lambda c: c * c) if square else (lambda c: c)
+    tot = x.agg(F.array(*(F.sum(power(F.col("_p")[c])) + F.sum(power(F.col("_y")[c])) for c in range(k))).alias("t"))
+    x = x.withColumn("_t", tot.scalar())
+    terms = F.zip_with(F.arrays_zip("_p", "_y"), "_t", lambda z, t: F.lit(1.0) - (F.lit(2.0) * z["_p"] * z["_y"] + smooth) / (t + smooth))
+    return x.withColumn("loss", F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)).drop("_p", "_y", "_t")
 
 
 def hard_negatives(df: DataFrame, is_pos: Column, score: str, ratio: float, key: str) -> DataFrame:
     """G16 (OHEM): keep every positive and the ``floor(n_pos * ratio)`` highest-scoring negatives.
 
-    Adds ``kept``.  Negatives are ranked globally by ``(score desc, key)``
-    with a range-partitioned rank (no single task holds all negatives); the
-    cut-off count is one scalar.
+    Adds ``kept``.  The cut-off score is found exactly from grouped counts
+    (``folds.nth_value``); all negatives above it stay, and of those equal to it
+    the ones with the smallest (numeric, unique) keys.  No rank over all rows.
+    """
+    d = df.withColumn("_pos", F.coalesce(is_pos, F.lit(False)))
+    neg = d.where(~F.col("_pos"))
+    k = int(d.where("_pos").count() * ratio)
+    cut = nth_value(neg, score, k, descending=True)
+    if k < 1:
+        keep = F.lit(False)
+    elif cut is None:
+        keep = F.lit(True)
+    else:
+        value, above = cut
+        last, _ = nth_value(neg.where(F.col(score) == F.lit(value)), key, k - above)
+        keep = (F.col(score) > F.lit(value)) | ((F.col(score) == F.lit(value)) & (F.col(key) <= F.lit(last)))
+    return d.withColumn("kept", F.col("_pos") | F.coalesce(keep, F.lit(False))).drop("_pos")
+
+
+def hard_negatives_by_class(df: DataFrame, logits: str, label: str, k: int, ratio: float, key: str) -> DataFrame:
+    """G16, multi-class: adds ``kept_0 .. kept_{k-1}``.
+
+    Class ``c`` keeps its positives (label ``c``) and the
+    ``floor(n_pos * ratio / k)`` other rows with the highest probability of
+    ``c`` among those whose arg-max is ``c``.
     """
-    d = df.withColumn("_pos", is_pos)
-    n_pos = d.where("_pos").count()
-    k = int(n_pos * ratio)
-    neg = rank_by_range(d.where(~F.col("_pos")), [F.desc(score), F.asc(key)], out="_rk")
-    neg = neg.withColumn("kept", F.col("_rk") <= k).drop("_rk")
-    pos = d.where("_pos").withColumn("kept", F.lit(True))
-    return pos.unionByName(neg).drop("_pos")
+    out = df.withColumn("_p", softmax(F.col(logits)))
+    for c in range(k):
+        mine = out.where((F.col(label) == c) | (argmax("_p") == c)).withColumn("_s", F.col("_p")[c])
+        kept = hard_negatives(mine, F.col(label) == c, "_s", ratio / k, key).where("kept").select(F.col(key).alias("_k"), F.lit(True).alias(f"kept_{c}"))
+        out = out.join(kept, F.col(key) == F.col("_k"), "left").drop("_k").withColumn(f"kept_{c}", F.coalesce(f"kept_{c}", F.lit(False)))
+    return out.drop("_p")

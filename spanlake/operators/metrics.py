@@ -93,10 +93,10 @@ def running_meter(df: DataFrame, key: str, seq: str, val: str = "val", n: str =
     tot = b.groupBy(key, "_b").agg(F.sum("_vn").alias("_ts"), F.sum(n).alias("_tc"), F.max(val).alias("_tmx"),
                                    F.min(val).alias("_tmn"), F.count(F.lit(1)).alias("_tk"))
     prev = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    pre = tot.select(key, "_b", F.sum("_ts").over(prev).alias("_ps"), F.sum("_tc").over(prev).alias("_pc"),
+    pre = tot.select(F.col(key).alias("_key"), F.col("_b").alias("_pb"), F.sum("_ts").over(prev).alias("_ps"), F.sum("_tc").over(prev).alias("_pc"),
                      F.max("_tmx").over(prev).alias("_pmx"), F.min("_tmn").over(prev).alias("_pmn"),
                      F.sum("_tk").over(prev).alias("_pk"))
-    j = loc.join(pre, [key, "_b"])
+    j = loc.join(pre, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_pb")))  # a NULL key is a key
     s_ = F.coalesce("_ps", F.lit(0)) + F.col("_s")
     c_ = F.coalesce("_pc", F.lit(0)) + F.col("_c")
     if exact:
@@ -117,10 +117,17 @@ def running_meter(df: DataFrame, key: str, seq: str, val: str = "val", n: str =
 def log_every(df: DataFrame, seq: str, every: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Keep progress rows whose 0-based index is a multiple of ``every``, and the last one.
 
-    ``df`` has a dense 0-based index column ``seq`` (per ``keys``); a row is the
-    last one when no row has the next index (an equi join on the successor,
-    not a window over one partition).
+    ``df`` has a dense 0-based index column ``seq`` (per ``keys``).  Rows are
+    looked at in blocks of ``every``: the first of a block is a progress row,
+    and the largest index per key (one row per key, from the blocks' own
+    maxima) is the last one, so no window spans a whole key.
     """
-    nxt = df.select(*keys, (F.col(seq) - 1).alias(seq)).withColumn("_has_next", F.lit(True))
-    j = df.join(nxt, [*keys, seq], "left")
-    return j.where((F.col(seq) % every == 0) | F.col("_has_next").isNull()).drop("_has_next")
+    block = Window.partitionBy(*keys, F.floor(F.col(seq) / every)).orderBy(F.desc(seq))
+    ends = df.withColumn("_end", F.row_number().over(block) == 1).where((F.col(seq) % every == 0) | F.col("_end"))
+    # a block's last row stays if the next block has no first row: at most two rows per block take part
+    firsts = ends.where(F.col(seq) % every == 0).select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col(seq) - 1).alias("_before"))
+    same = F.col(seq) == F.col("_before")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    last = ends.join(firsts, same, "left")
+    return last.where((F.col(seq) % every == 0) | F.col("_before").isNull()).select(*df.columns)

@@ -66,7 +66,9 @@ def lexical_logits(examples: DataFrame, cfg: WindowConfig, include_special: bool
         F.regexp_extract_all(F.col("question"), F.lit(r"(?U)\S+"), 0), F.lower)))
     g = with_geometry(ex, cfg)
     toks = tokenize(g, "id", "context", keep=("q_len", "n_ctx", "capacity", "step", "n_windows", "_qset", *keep),
-                    with_piece=True)
+                    with_piece=True, outer=True)
+    # an example without context tokens still has one window, of CLS and question rows only
+    toks = toks.withColumn("_empty", F.col("pos").isNull()).withColumn("pos", F.coalesce("pos", F.lit(0)))
     toks = toks.withColumn("_f", F.array_contains(F.col("_qset"), F.lower("tok")).cast("int"))
     doc = Window.partitionBy("id").orderBy("pos")
     for j in range(1, NEIGHBOURS + 1):
@@ -80,9 +82,9 @@ def lexical_logits(examples: DataFrame, cfg: WindowConfig, include_special: bool
     wt = wt.withColumn("_cs", fwd).withColumn("_ce", bwd)
     # -1 = the context token itself; 0..Q = CLS and question positions (first token of a window only)
     if include_special:
-        kinds = F.when(p == F.col("win_start"), F.sequence(F.lit(-1), F.col("q_len"))).otherwise(F.array(F.lit(-1)))
+        kinds = F.when(F.col("_empty"), F.sequence(F.lit(0), F.col("q_len"))).when(p == F.col("win_start"), F.sequence(F.lit(-1), F.col("q_len"))).otherwise(F.array(F.lit(-1)))
     else:
-        kinds = F.array(F.lit(-1))
+        kinds = F.when(F.col("_empty"), F.array().cast("array<int>")).otherwise(F.array(F.lit(-1)))
     wt = wt.select("*", F.explode(kinds).alias("_k"))
     k = F.col("_k")
     q = F.col("q_len")

@@ -13,16 +13,19 @@ from spanlake.functions.text import TOKEN, pieces
 
 
 def tokenize(df: DataFrame, id_col: str = "id", text_col: str = "context", keep: tuple[str, ...] = (),
-             with_piece: bool = False) -> DataFrame:
+             with_piece: bool = False, outer: bool = False) -> DataFrame:
     """one row per token: ``id, pos, tok, ts, te`` (+ ``keep`` columns).
 
     The running sum of the whitespace-prefixed piece lengths is each token's
     end offset.  The window is keyed by ``id``; partition the input by ``id``
     first (``repartition``) so that the shuffle moves whole texts, not tokens.
+    With ``outer`` a text without tokens gives one row of NULLs.
     """
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the row tag keeps the offsets of rows that repeat an id apart
+    w = Window.partitionBy(id_col, "_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        df.select(id_col, *keep, F.posexplode(pieces(text_col)).alias("pos", "piece"))
+        df.withColumn("_row", F.monotonically_increasing_id())
+        .select(id_col, *keep, "_row", (F.posexplode_outer if outer else F.posexplode)(pieces(text_col)).alias("pos", "piece"))
         .withColumn("te", F.sum(F.length("piece")).over(w).cast("int"))
         .withColumn("tok", F.regexp_extract("piece", TOKEN, 0))
         .select(id_col, *keep, "pos", "tok", (F.col("te") - F.length("tok")).alias("ts"), "te",

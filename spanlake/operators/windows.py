@@ -58,9 +58,9 @@ def window_spans(examples: DataFrame, cfg: WindowConfig) -> DataFrame:
     """
     g = with_geometry(examples, cfg)
     return (
-        g.select("id", "n_ctx", "capacity", "step",
-                 F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("feature_idx"))
-        .where(F.col("feature_idx") >= 0)
+        g.where(F.col("n_windows") > 0)
+        .select("id", "n_ctx", "capacity", "step",
+                F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("feature_idx"))
         .select(
             "id",
             "feature_idx",
@@ -120,16 +120,15 @@ def sequence_arrays(examples: DataFrame, cfg: WindowConfig, cls: str = "<s>", se
                     pad: str = "<pad>") -> DataFrame:
     """the assembled token sequence per window as arrays.
 
-    ``tokens``, ``attention_mask``, ``sequence_ids`` (0 for CLS/question/SEP/pad,
-    1 for context, as after the reference's ``None -> 0``) and ``offsets``
-    (``struct(s, e)``; ``(0, 0)`` for special and pad positions).
+    ``tokens``, ``attention_mask`` and ``sequence_ids`` (0 for CLS/question/SEP/pad,
+    1 for context).
     """
     g = with_geometry(examples, cfg)
     ctx_toks = F.regexp_extract_all(F.col("context"), F.lit(TOKEN), 0)
     w = (
-        g.select("id", "context", "q_toks", "q_len", "n_ctx", "capacity", "step",
-                 F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("feature_idx"))
-        .where(F.col("feature_idx") >= 0)
+        g.where(F.col("n_windows") > 0)
+        .select("id", "context", "q_toks", "q_len", "n_ctx", "capacity", "step",
+                F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("feature_idx"))
         .withColumn("ws", F.col("feature_idx") * F.col("step"))
         .withColumn("ctx_len", F.least(F.col("ws") + F.col("capacity"), F.col("n_ctx")) - F.col("ws"))
     )

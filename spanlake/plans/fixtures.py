@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import TOKEN, pieces
 from spanlake.sources.tables import table
 
-MIN_WORDS = 12
+SPAN_WORDS = 7  # words that the question (five) and the answer inside it need around the middle
 
 
 def _tok(pcs: Column, i: Column) -> Column:
@@ -25,12 +25,14 @@ def _end(pcs: Column, i: Column) -> Column:
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One labelled example per document of at least 12 words.
+    """One example per document.
 
     The answer is the three middle words (tokens ``k..k+2``, ``k = n div 2``);
     the question is those plus one word on each side, so a lexical scorer finds
     the neighbourhood but not the exact span.  ``claimed_start`` is the true
     start shifted by ``id % 4`` (input for the offset repair operators).
+    Documents of fewer than ``SPAN_WORDS`` words become examples without an
+    answer (P12): an empty question, and NULL answer columns.
     """
     return qa_from_documents(table(spark, sf_dir, "documents"))
 
@@ -38,9 +40,6 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_from_documents(documents: DataFrame) -> DataFrame:
     """:func:`qa` over any documents frame (batch or streaming; row-local only)."""
     d = documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.col("text").alias("context"))
-    # "at least MIN_WORDS words": an anchored pattern that stops after that many words
-    # (the filter runs on the scan, below the projection that builds the pieces)
-    d = d.where(F.col("context").rlike(rf"(?U)^\s*(?:\S+\s+){{{MIN_WORDS - 1}}}\S"))
     d = d.withColumn("_p", pieces("context")).withColumn("n_tok", F.size("_p"))
     k = F.floor(F.col("n_tok") / 2).cast("int")
     d = d.withColumn("k", k.cast("bigint"))
@@ -49,10 +48,11 @@ def qa_from_documents(documents: DataFrame) -> DataFrame:
     end_k = _end(p, kc)
     start = end_k - F.length(_tok(p, kc))
     end = end_k + F.length(F.element_at(p, kc + 2)) + F.length(F.element_at(p, kc + 3))
-    question = F.concat_ws(" ", *[_tok(p, kc + j) for j in (-1, 0, 1, 2, 3)])
+    has = F.col("n_tok") >= SPAN_WORDS
+    question = F.when(has, F.concat_ws(" ", *[_tok(p, kc + j) for j in (-1, 0, 1, 2, 3)])).otherwise("")
     out = (
-        d.withColumn("answer_start", start.cast("bigint"))
-        .withColumn("answer_end", end.cast("bigint"))
+        d.withColumn("answer_start", F.when(has, start.cast("bigint")))
+        .withColumn("answer_end", F.when(has, end.cast("bigint")))
         .withColumn("question", question)
         .withColumn("answer_text", F.substr("context", F.col("answer_start") + 1, F.col("answer_end") - F.col("answer_start")))
         .withColumn("claimed_start", F.col("answer_start") + F.col("id") % 4)
@@ -61,32 +61,36 @@ def qa_from_documents(documents: DataFrame) -> DataFrame:
                       "answer_text", "claimed_start")
 
 
-BROADCAST_PASSAGES = 100_000
+GRAM = 4
 
 
-def contains_join(docs: DataFrame, passages: DataFrame, broadcast_limit: int = BROADCAST_PASSAGES) -> DataFrame:
-    """``docs (doc_id, text) x passages (item_id, btext)`` on ``contains(text, btext)``.
+def contains_join(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``docs (doc_id, text) x passages (item_id, btext)`` on ``contains(text, btext)``, by equi-joins.
 
-    A passage list of at most ``broadcast_limit`` rows (counted first) is
-    broadcast and matched without moving the documents.  Beyond that bound the
-    join is an exact equi-join: a passage of three or more words can only occur
-    where its second word (white space on both sides) is a whole word of the
-    document, so candidates join on that word and are then verified with
-    ``contains``; shorter passages, which have no such word, keep the
-    broadcast path.
+    A passage of three or more words can only occur where each of its inner
+    words (white space on both sides) is a whole word of the document, so it is
+    keyed on the inner word that the fewest documents hold; shorter passages are
+    keyed on their first characters.  Candidates are verified with
+    ``contains``.  A key that many documents hold is left to the skew join.
     """
-    cond = F.col("text").contains(F.col("btext"))
-    if passages.count() <= broadcast_limit:
-        return docs.join(F.broadcast(passages), cond)
     words = F.regexp_extract_all(F.col("btext"), F.lit(TOKEN), 0)
-    p = passages.withColumn("_key", F.when(F.size(words) >= 3, F.element_at(words, 2)))
-    long_p, short_p = p.where(F.col("_key").isNotNull()), p.where(F.col("_key").isNull()).drop("_key")
-    doc_words = docs.select("doc_id", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.col("text"), F.lit(TOKEN), 0))).alias("_key")).distinct()
-    cand = doc_words.join(long_p, "_key").select("doc_id", "item_id", "btext")
-    by_key = cand.join(docs, "doc_id").where(cond)
-    short = docs.join(F.broadcast(short_p), cond)
-    return by_key.unionByName(short.select(*by_key.columns))
+    p = passages.where(F.col("btext").isNotNull()).withColumn("_w", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    inner = p.where(F.size("_w") > 0).select("item_id", "btext", F.explode(F.array_distinct("_w")).alias("_key"))
+    doc_words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(TOKEN), 0))).alias("_key"))
+    known = doc_words.join(inner.select("_key").distinct(), "_key", "left_semi")
+    held = known.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    rare = inner.join(held, "_key", "left").groupBy("item_id", "btext").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))).alias("_r"))
+    long_p = rare.where(F.col("_r.n") > 0).select("item_id", "btext", F.col("_r.key").alias("_key"))
+    short_p = p.where(F.size("_w") == 0).select("item_id", "btext", F.substring("btext", 1, GRAM).alias("_key"))
+    # documents are cut into grams only if there is a short passage at all
+    cut = docs.where(short_p.select(F.lit(1)).exists())
+    at = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
+    sizes = F.array(*[F.lit(n) for n in range(GRAM + 1)])
+    grams = F.flatten(F.transform(at, lambda i: F.transform(sizes, lambda n: F.substr(F.col("text"), i, n))))
+    doc_grams = cut.select("doc_id", F.explode(F.array_distinct(grams)).alias("_key"))
+    cand = known.join(long_p, "_key").unionByName(doc_grams.join(short_p, "_key")).select("doc_id", "item_id", "btext")
+    return cand.join(docs, "doc_id").where(F.col("text").contains(F.col("btext")))
 
 
 def qa_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +99,7 @@ def qa_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("btext"))
     j = contains_join(d, b)
     return j.select(
-        (F.col("doc_id") * 100000 + F.col("item_id")).alias("id"),
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.col("item_id").cast("string")).alias("id"),
         F.col("lang").alias("language"),
         F.col("text").alias("context"),
         F.col("btext").alias("answer_text"),
@@ -103,6 +107,9 @@ def qa_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TURNS = 1_000_000  # turns of a conversation that the numeric id has room for
+
+
 def qa_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn (question) followed by an assistant turn (context)."""
     c = table(spark, sf_dir, "conversations")
@@ -110,7 +117,7 @@ def qa_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = c.where(F.col("role") == "assistant").select(F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"),
                                                      F.col("text").alias("context"))
     j = u.join(a, (F.col("conv_id") == F.col("a_conv")) & (F.col("a_turn") == F.col("turn") + 1))
-    return j.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "question", "context")
+    return j.select((F.col("conv_id") * TURNS + F.col("turn")).alias("id"), "question", "context")
 
 
 N_MODELS = 5
@@ -122,12 +129,12 @@ def _offsets(pcs: Column, i: Column) -> tuple[Column, Column]:
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five models' predicted spans per ``qa`` example (ties and majorities both occur).
+    """Five models' predicted spans per ``qa`` example with an answer (ties and majorities both occur).
 
     ``id, member, start_tok, end_tok, score, text, language, answer_text``;
     the model axis is an ``explode`` of a fixed sequence (no join).
     """
-    q = qa(spark, sf_dir).withColumn("_p", pieces("context"))
+    q = qa(spark, sf_dir).where(F.col("answer_start").isNotNull()).withColumn("_p", pieces("context"))
     m = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("member"))
     idb, mb = F.col("id"), F.col("member").cast("bigint")
     s = F.col("k") - 1 + (idb * 31 + mb * 17 + (idb % 5) * mb * mb) % 3
@@ -141,19 +148,19 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "language", "answer_text", "context")
 
 
-HISTORY_EPOCHS = 12
+RUN_EVENTS = 64
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run history: one run per event type, the first 12 events as epochs.
+    """Run history: a run is an event type and a block of ``RUN_EVENTS`` event ids; every event is an epoch of its run.
 
-    ``row_number() <= 12`` per run is planned as a window group limit (partial
-    limits before the shuffle), so a run with most events is not one task.
+    ``run`` is ``<type>-<block>``; epochs are numbered in event order.  Runs are
+    small and many, so no event type is one task.
     """
     from pyspark.sql import Window
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), "event_id", "value")
-    w = Window.partitionBy("run").orderBy("event_id")
-    h = e.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= HISTORY_EPOCHS)
+    block = F.floor(F.col("event_id") / RUN_EVENTS)
+    e = table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", block.cast("string")).alias("run"), "event_id", "value")
+    h = e.withColumn("_rn", F.row_number().over(Window.partitionBy("run").orderBy("event_id")))
     return h.select(
         "run", (F.col("_rn") - 1).cast("int").alias("epoch"),
         (((F.col("event_id") * 37) % 100) / F.lit(100.0).cast("double")).alias("jaccard"),

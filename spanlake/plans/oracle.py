@@ -26,13 +26,13 @@ tok AS (
 
 QA = r"""
 qa0 AS (
-  SELECT doc_id AS id, max(lang) AS language, max(text) AS context, max(n) AS n_tok, max(k) AS k,
-    max(CASE WHEN pos = k THEN ts END) AS answer_start,
-    max(CASE WHEN pos = k + 2 THEN te END) AS answer_end,
-    max(CASE WHEN pos = k - 1 THEN tok END) || ' ' || max(CASE WHEN pos = k THEN tok END) || ' ' ||
+  SELECT d.doc_id AS id, max(d.lang) AS language, max(d.text) AS context, coalesce(max(n), 0) AS n_tok, coalesce(max(k), 0) AS k,
+    max(CASE WHEN n >= 7 AND pos = k THEN ts END) AS answer_start,
+    max(CASE WHEN n >= 7 AND pos = k + 2 THEN te END) AS answer_end,
+    coalesce(max(CASE WHEN n >= 7 AND pos = k - 1 THEN tok END) || ' ' || max(CASE WHEN pos = k THEN tok END) || ' ' ||
     max(CASE WHEN pos = k + 1 THEN tok END) || ' ' || max(CASE WHEN pos = k + 2 THEN tok END) || ' ' ||
-    max(CASE WHEN pos = k + 3 THEN tok END) AS question
-  FROM tok WHERE n >= 12 GROUP BY doc_id
+    max(CASE WHEN pos = k + 3 THEN tok END), '') AS question
+  FROM documents d LEFT JOIN tok ON tok.doc_id = d.doc_id GROUP BY d.doc_id
 ),
 qa AS (
   SELECT id, language, context, CAST(n_tok AS BIGINT) AS n_tok, k, answer_start, answer_end, question,
@@ -43,14 +43,14 @@ qa AS (
 
 QA_CONV = r"""
 qa_conv AS (
-  SELECT u.conv_id * 1000 + u.turn AS id, u.text AS question, a.text AS context
+  SELECT u.conv_id * 1000000 + u.turn AS id, u.text AS question, a.text AS context
   FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'
 )"""
 
 QA_BENCH = r"""
 qa_bench AS (
-  SELECT d.doc_id * 100000 + b.item_id AS id, d.lang AS language, d.text AS context, b.text AS answer_text,
+  SELECT CAST(d.doc_id AS VARCHAR) || ':' || CAST(b.item_id AS VARCHAR) AS id, d.lang AS language, d.text AS context, b.text AS answer_text,
          CAST(instr(d.text, b.text) - 1 AS BIGINT) AS answer_start
   FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 )"""
@@ -166,10 +166,10 @@ def with_ctes(ctes: list[str], select: str) -> str:
 
 
 PREDS = r"""
-ktok AS (SELECT doc_id, pos, ts, te FROM tok WHERE n >= 12 AND pos BETWEEN k - 1 AND k + 3),
+ktok AS (SELECT doc_id, pos, ts, te FROM tok WHERE n >= 7 AND pos BETWEEN k - 1 AND k + 3),
 pv AS (
   SELECT q.id, m.member, q.k - 1 + ((q.id * 31 + m.member * 17 + (q.id % 5) * m.member * m.member) % 3) AS s
-  FROM qa q CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) t(member)) m
+  FROM (SELECT * FROM qa WHERE answer_start IS NOT NULL) q CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) t(member)) m
 ),
 preds AS (
   SELECT pv.id, CAST(pv.member AS INTEGER) AS member, pv.s AS start_tok, pv.s + 2 AS end_tok,
@@ -184,9 +184,8 @@ HISTORY = r"""
 history AS (
   SELECT run, CAST(epoch AS INTEGER) AS epoch, ((event_id * 37) % 100) / CAST(100 AS DOUBLE) AS jaccard,
          value AS val_loss, CAST(10 + event_id % 7 AS BIGINT) AS seconds
-  FROM (SELECT event_type AS run, event_id, value,
-               row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS epoch FROM events) h
-  WHERE epoch < 12
+  FROM (SELECT event_type || '-' || CAST(event_id // 64 AS VARCHAR) AS run, event_id, value,
+               row_number() OVER (PARTITION BY event_type, event_id // 64 ORDER BY event_id) - 1 AS epoch FROM events) h
 )"""
 
 STOP = r"""

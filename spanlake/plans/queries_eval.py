@@ -320,35 +320,43 @@ WITH x AS (
     SELECT vec_id, label, c, v, m, sum(exp(v - m)) OVER (PARTITION BY vec_id) AS z FROM (
       SELECT vec_id, label, c, v, max(v) OVER (PARTITION BY vec_id) AS m FROM (
         SELECT vec_id, label, CAST(unnest(range(0, {N_CLASSES})) AS INTEGER) AS c,
-               CAST(unnest(embedding[1:{N_CLASSES}]) AS DOUBLE) AS v FROM embeddings) e0) e1) e2
+               unnest([list_sum([CAST(embedding[j + 1] AS DOUBLE) for j in range(0, len(embedding)) if j % {N_CLASSES} = i])
+                       for i in range(0, {N_CLASSES})]) AS v FROM embeddings) e0) e1) e2
 ),
 tot AS (SELECT c, sum(p) AS tot_p, sum(y) AS tot_y FROM x GROUP BY c),
 per AS (SELECT vec_id, sum(1 - (2 * p * y + 0.0001) / (tot_p + tot_y + 0.0001)) AS loss FROM x JOIN tot USING (c) GROUP BY vec_id)
 SELECT 'mean' AS reduction, round(avg(loss), 6) AS loss FROM per
 UNION ALL SELECT 'sum', round(sum(loss), 6) FROM per""")
 def q_dice_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Softmax over the first ten embedding values vs the label, per-label Dice, mean and sum."""
-    emb = table(spark, sf_dir, "embeddings")
-    x = emb.select("vec_id", "label", F.slice("embedding", 1, N_CLASSES).cast("array<double>").alias("logits"))
+    """Softmax over the embedding folded into ten class scores vs the label, per-label Dice, mean and sum."""
+    x = _class_scores(table(spark, sf_dir, "embeddings"))
     per = L.dice_multiclass(x, "logits", "label", N_CLASSES)
-    return (per.agg(F.round(F.avg("loss"), 6).alias("loss")).select(F.lit("mean").alias("reduction"), "loss")
-            .unionByName(per.agg(F.round(F.sum("loss"), 6).alias("loss")).select(F.lit("sum").alias("reduction"),
-                                                                                 "loss")))
+    both = per.agg(F.avg("loss").alias("mean"), F.sum("loss").alias("sum"))
+    return both.select(F.explode(F.create_map(F.lit("mean"), F.round("mean", 6), F.lit("sum"), F.round("sum", 6))).alias("reduction", "loss"))
+
+
+def _class_scores(emb: DataFrame) -> DataFrame:
+    """``vec_id, label, logits``: class ``c`` scores the sum of all embedding values at places ``c`` modulo the classes."""
+    v = F.col("embedding").cast("array<double>")
+    fold = F.transform(F.sequence(F.lit(0), F.lit(N_CLASSES - 1)), lambda c: F.aggregate(
+        F.filter(v, lambda x, j: j % N_CLASSES == c), F.lit(0.0), lambda a, x: a + x))
+    return emb.select("vec_id", "label", fold.alias("logits"))
 
 
 OHEM_RATIO = 3.0
 
 
 @register("hard_negatives", f"""
-WITH s AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings),
+WITH s AS (SELECT vec_id, label, list_sum(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS score FROM embeddings),
 k AS (SELECT CAST(floor(count(*) * {OHEM_RATIO}) AS BIGINT) AS k FROM s WHERE label = 0)
 SELECT vec_id, label, label = 0 OR rk <= (SELECT k FROM k) AS kept FROM (
   SELECT *, CASE WHEN label = 0 THEN NULL ELSE row_number() OVER (PARTITION BY label = 0 ORDER BY score DESC, vec_id) END
          AS rk FROM s) r""")
 def q_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G16 + T3: all positives (label 0) and the 3x as many highest-scoring negatives."""
+    """G16 + T3: all positives (label 0) and the 3x as many highest-scoring negatives (score over the whole vector)."""
     emb = table(spark, sf_dir, "embeddings")
-    s = emb.select("vec_id", "label", F.col("embedding")[0].cast("double").alias("score"))
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x * 64))
+    s = emb.select("vec_id", "label", total.alias("score"))
     return L.hard_negatives(s, F.col("label") == 0, "score", OHEM_RATIO, "vec_id").select("vec_id", "label", "kept")
 
 

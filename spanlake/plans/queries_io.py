@@ -135,11 +135,11 @@ def q_model_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
    FROM pred p WHERE p.id IN (SELECT id FROM folded WHERE kfold = {VALID_FOLD})
    GROUP BY GROUPING SETS ((p.language), ())"""))
 def q_valid_fold_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J10 + P1 + M4: predictions semi-joined to the held-out fold, then per-language means."""
+    """J10 + P1 + M4: examples semi-joined to the held-out fold, decoded, then per-language means."""
     ex = X.qa(spark, sf_dir)
     _, valid = FO.split_by_fold(FO.stratified_kfold(ex, 5), VALID_FOLD)
-    preds = lexical_predictions(ex, W, DC, keep=("language", "answer_text"))
-    return mean_by_language(with_jaccard(preds.join(valid.select("id"), "id", "left_semi")))
+    held = ex.join(valid.select("id"), "id", "left_semi")  # the fold first: only its examples are decoded
+    return mean_by_language(with_jaccard(lexical_predictions(held, W, DC, keep=("language", "answer_text"))))
 
 
 @register("eval_one_language", O.with_ctes(

@@ -114,8 +114,9 @@ def q_answer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("occurrence_lists", O.with_ctes(QA_BASE + [r"""
 occ AS (
-  SELECT id, needle, string_split(replace(context, needle, chr(1)), chr(1)) AS parts
-  FROM (SELECT id, context, regexp_extract(answer_text, '\S+') AS needle FROM qa) q
+  SELECT id, needle, CASE WHEN needle = '' THEN [context] ELSE string_split(context, needle) END AS parts FROM (
+    SELECT id, context, coalesce(answer_text, '') AS needle FROM qa
+    UNION ALL SELECT -1 - id, context, regexp_extract(coalesce(answer_text, ''), '\S+') FROM qa) q
 )"""], """
 SELECT id, CAST(len(parts) - 1 AS INTEGER) AS n_occ,
   array_to_string(list_transform(range(1, len(parts)),
@@ -123,10 +124,11 @@ SELECT id, CAST(len(parts) - 1 AS INTEGER) AS n_occ,
   AS positions
 FROM occ"""))
 def q_occurrence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2 with the first answer word as needle (common words occur many times)."""
-    qa = X.qa(spark, sf_dir).select("id", "context", F.regexp_extract("answer_text", r"(?U)\S+", 0).alias("needle"))
-    part = qa.repartition(shuffle_partitions(qa), "id")
-    occ = A.all_occurrences(part, text_col="needle")
+    """A2: the answer in its context, and (ids ``-1 - id``) its first word, which may occur many times."""
+    first = F.regexp_extract("answer_text", r"(?U)\S+", 0)
+    each = F.explode(F.array(F.struct(F.col("id").alias("id"), F.col("answer_text").alias("needle")), F.struct((-1 - F.col("id")).alias("id"), first.alias("needle"))))
+    qa = X.qa(spark, sf_dir).select("context", each.alias("x")).select("x.*", "context")
+    occ = A.all_occurrences(qa, text_col="needle")
     return occ.select("id", F.size("answer_start_list").alias("n_occ"),
                       F.array_join(F.col("answer_start_list").cast("array<string>"), ",").alias("positions"))
 
@@ -222,10 +224,8 @@ def q_external_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN coalesce(kfold, -1) = {VALID_FOLD} THEN 'valid' ELSE 'train' END AS split, count(*) AS n
 FROM combined GROUP BY 1"""))
 def q_train_valid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, valid = FO.split_by_fold(_combined(spark, sf_dir), VALID_FOLD)
-    t = train.groupBy(F.lit("train").alias("split")).agg(F.count(F.lit(1)).alias("n"))
-    v = valid.groupBy(F.lit("valid").alias("split")).agg(F.count(F.lit(1)).alias("n"))
-    return t.unionByName(v)
+    split = F.when(F.coalesce("kfold", F.lit(FO.EXTERNAL_FOLD)) == VALID_FOLD, "valid").otherwise("train")
+    return _combined(spark, sf_dir).groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("unique_ids", O.with_ctes(QA_BASE + [O.QA_BENCH, FOLDS_SQL, EXT_SQL],

@@ -5,7 +5,9 @@ Library operators never create a session; only entry points do.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -48,15 +50,26 @@ def _default_driver_memory() -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a scratch one only in local mode, when unset (tests).
+
+    On a cluster a folder that one machine sees would lose data, so an unset
+    ``spark.checkpoint.dir`` is an error there.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
+    if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="spanlake-ckpt-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", current)
+    if current not in _CHECKPOINT_DIRS:
         spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="spanlake-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+        _CHECKPOINT_DIRS.add(current)
+    return current
+
+
+_CHECKPOINT_DIRS: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

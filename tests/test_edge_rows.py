@@ -5,14 +5,17 @@ from pyspark.sql import functions as F
 from spanlake.config import DecodeConfig, WindowConfig
 from spanlake.functions.text import jaccard
 from spanlake.operators import align as A
+from spanlake.operators import augment as AU
 from spanlake.operators import decode as D
 from spanlake.operators import ensemble as E
 from spanlake.operators import folds as FO
+from spanlake.operators import losses as L
 from spanlake.operators import metrics as M
 from spanlake.operators import runs as R
 from spanlake.operators.scoring import lexical_logits
 from spanlake.operators.tokens import longest_first, tokenize
-from spanlake.operators.windows import window_labels, window_spans, windowed_tokens
+from spanlake.operators.windows import sequence_arrays, window_labels, window_spans, windowed_tokens
+from spanlake.plans import fixtures as X
 
 
 def _jac(spark, a, b):
@@ -160,12 +163,80 @@ def test_global_rank_matches_row_number(spark):
     assert bad == 0
 
 
-def test_rank_by_range_matches_row_number(spark):
-    from pyspark.sql import Window
-    df = spark.range(0, 2000).withColumn("s", (F.col("id") * 7919 % 101).cast("double"))
-    r = FO.rank_by_range(df, [F.desc("s"), F.asc("id")], out="rk", n=5)
-    ref = df.withColumn("rk2", F.row_number().over(Window.orderBy(F.desc("s"), F.asc("id"))))
-    assert r.join(ref, ["id", "s"]).where(F.col("rk") != F.col("rk2")).count() == 0
+def test_hard_negatives_keep_exactly_the_right_rows(spark):
+    n = 300_000
+    df = (spark.range(0, n, numPartitions=7).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
+          .withColumn("s", F.floor(F.col("id") * 7919 % 5003 / 3).cast("double")).withColumn("other", F.md5(F.col("id").cast("string"))))
+    out = L.hard_negatives(df, F.col("y") == 1, "s", 2.5, "id")
+    assert out.where("kept and y = 0").count() == 75_000 and out.where("y = 1 and not kept").count() == 0
+    worst = out.where("kept and y = 0").agg(F.min("s")).first()[0]
+    assert out.where((F.col("y") == 0) & ~F.col("kept") & (F.col("s") > worst)).count() == 0
+    tie = out.where((F.col("y") == 0) & (F.col("s") == worst))
+    assert tie.where("kept").agg(F.max("id")).first()[0] < tie.where("not kept").agg(F.min("id")).first()[0]
+
+
+def test_hard_negatives_few_rows(spark):
+    df = spark.createDataFrame([(1, 1, 0.5), (2, 0, 0.1), (3, 0, 0.1), (4, 0, None), (5, None, 0.9)], "id long, y int, s double")
+    out = {r["id"]: r["kept"] for r in L.hard_negatives(df, F.col("y") == 1, "s", 2.0, "id").collect()}
+    assert out == {1: True, 2: True, 3: False, 4: False, 5: True}
+    by = L.hard_negatives_by_class(spark.createDataFrame([(1, 0, [2.0, 0.0]), (2, 1, [3.0, 0.0]), (3, 1, [1.0, 0.0]), (4, 1, [0.0, 1.0])],
+                                                         "id long, label int, x array<double>"), "x", "label", 2, 2.0, "id")
+    assert {r["id"]: (r["kept_0"], r["kept_1"]) for r in by.collect()} == {1: (True, False), 2: (True, True), 3: (False, True), 4: (False, True)}
+
+
+def test_dice_multiclass_keeps_equal_rows(spark):
+    df = spark.createDataFrame([([1.0, 0.0], 0), ([1.0, 0.0], 0), ([0.0, 2.0], 1)], "x array<double>, y int")
+    out = [r["loss"] for r in L.dice_multiclass(df, "x", "y", 2).orderBy("y").collect()]
+    assert len(out) == 3 and out[0] == out[1]
+    masked = L.dice_multiclass(df.withColumn("m", F.col("y") * 0), "x", "y", 2, alpha=1.0, square=True, mask="m").collect()
+    assert all(abs(r["loss"]) < 1e-9 for r in masked)
+
+
+def test_null_strata_and_keys_stay(spark):
+    df = spark.range(0, 20).select(F.col("id"), F.when(F.col("id") % 4 != 0, F.lit("x")).alias("language"))
+    assert FO.stratified_kfold(df, 5).count() == 20
+    m = spark.createDataFrame([("a", 1, 2.0, 1), (None, 2, 3.0, 1)], "k string, seq long, val double, n int")
+    assert M.running_meter(m, "k", "seq").count() == 2
+
+
+def test_no_window_when_the_question_leaves_no_room(spark):
+    ex = spark.createDataFrame([(1, " ".join(["q"] * 60), "a b c")], "id long, question string, context string")
+    cfg = WindowConfig(max_len=64, stride=16)
+    assert window_spans(ex, cfg).count() == 0 and sequence_arrays(ex, cfg).count() == 0
+
+
+def test_occurrences_take_any_character_literally(spark):
+    df = spark.createDataFrame([(1, "x\u0001ab y", "ab"), (2, "a\\Eb a\\Eb", "a\\Eb"), (3, "a.b axb", "a.b"), (1, "ab", "ab")],
+                               "id long, context string, answer_text string")
+    out = sorted((r["id"], r["answer_start_list"]) for r in A.all_occurrences(df).collect())
+    assert out == [(1, [0]), (1, [2]), (2, [0, 5]), (3, [0])]
+
+
+def test_back_translation_chooses_one_language(spark):
+    ex = spark.createDataFrame([(1, "c", "q", "a")], "id long, context string, question string, answer_text string")
+    mem = spark.createDataFrame([(1, f, v, f + v) for f in ("context", "question", "answer") for v in ("de", "fr")],
+                                "id long, field string, via_lang string, back_text string")
+    out = AU.back_translate(ex, mem, 100, 1).collect()
+    assert len(out) == 1 and {out[0][c][-2:] for c in ("context", "question", "answer_text")} == {out[0]["via_lang"]}
+
+
+def test_null_score_of_an_empty_context(spark):
+    ex = spark.createDataFrame([(1, "a b", ""), (2, "a", "x a")], "id long, question string, context string")
+    out = D.null_score(lexical_logits(ex, WindowConfig(max_len=64, stride=16))).collect()
+    assert {r["id"] for r in out} == {1, 2}
+
+
+def test_repeated_ids_keep_their_own_offsets(spark):
+    rows = tokenize(spark.createDataFrame([(1, "aa b"), (1, "c dd")], "id long, context string")).collect()
+    assert sorted((r["tok"], r["ts"], r["te"]) for r in rows) == [("aa", 0, 2), ("b", 3, 4), ("c", 0, 1), ("dd", 2, 4)]
+
+
+def test_contains_join_matches_brute_force(spark):
+    docs = [(1, "the red fox ran far"), (2, "red fox"), (3, "a fox"), (4, None), (5, "")]
+    pas = [(1, "the red fox"), (2, "fox"), (3, "re"), (4, "red fox"), (5, "x"), (6, "no such text here"), (7, "")]
+    out = X.contains_join(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(pas, "item_id long, btext string"))
+    want = sorted((d, p) for d, t in docs for p, b in pas if t is not None and b in t)
+    assert sorted((r["doc_id"], r["item_id"]) for r in out.collect()) == want
 
 
 def test_longest_first_ties(spark):
@@ -180,7 +251,7 @@ def test_question_trim_unicode(spark):
     assert A.trim_question(df).first()["question"] == "q x"
 
 
-def test_contains_join_equi_path_matches_broadcast(spark):
+def test_contains_join_on_tables_matches_brute_force(spark):
     from spanlake.plans.fixtures import contains_join
     from spanlake.sources.tables import table
     from tests.conftest import SF_SMALL
@@ -189,7 +260,8 @@ def test_contains_join_equi_path_matches_broadcast(spark):
     extra = spark.createDataFrame([(900001, "a"), (900002, "the the")], "item_id long, btext string")
     b = b.unionByName(extra)
     fast = {(r["doc_id"], r["item_id"]) for r in contains_join(d, b).select("doc_id", "item_id").collect()}
-    exact = {(r["doc_id"], r["item_id"]) for r in contains_join(d, b, broadcast_limit=0).select("doc_id", "item_id").collect()}
+    texts, passages = d.select("doc_id", "text").collect(), b.collect()
+    exact = {(r["doc_id"], p["item_id"]) for r in texts for p in passages if p["btext"] in r["text"]}
     assert fast == exact and len(fast) > 0
 
 

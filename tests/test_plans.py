@@ -19,9 +19,14 @@ def test_decode_has_one_exchange_on_id(spark):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_history_top_n_is_a_window_group_limit(spark):
-    p = _plan(X.history(spark, SF_SMALL))
-    assert "WindowGroupLimit" in p and "Partial" in p
+def test_history_keeps_every_event(spark):
+    from spanlake.sources.tables import table
+    assert X.history(spark, SF_SMALL).count() == table(spark, SF_SMALL, "events").count()
+
+
+def test_relocate_has_no_nested_loop(spark):
+    p = _plan(X.qa_bench(spark, SF_SMALL))
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
 
 
 def test_fold_offsets_are_broadcast(spark):
