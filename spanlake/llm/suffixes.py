@@ -290,4 +290,6 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept"] if with_text else [])
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return rows.mapInArrow(finish, schema)
+    out = TA.written(rows.mapInArrow(finish, schema), "deduped")
+    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    return out
