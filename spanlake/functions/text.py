@@ -67,3 +67,16 @@ def hash_unit(*parts) -> Column:
 def order_key(*parts) -> Column:
     """Seeded shuffle key: md5 hex string of the ':'-joined parts."""
     return F.md5(F.concat_ws(":", *[col(p).cast("string") for p in parts]))
+
+
+def fold_of_path(path) -> Column:
+    """The fold number at the end of a model path (any number of digits, an optional final slash); NULL without one."""
+    return F.regexp_extract(col(path), r"(\d+)/?$", 1).try_cast("int")
+
+
+def progress_line(epoch, seen, total, loss) -> Column:
+    """A progress line of a training log: padded epoch, rows seen of the total, percentage, loss."""
+    width = F.length(col(total).cast("string"))
+    share = F.format_string("%3.0f", F.lit(100.0) * col(seen) / col(total))
+    return F.concat(F.lit("Epoch: "), F.lpad(col(epoch).cast("string"), 2, "0"), F.lit(" ["), F.lpad(col(seen).cast("string"), width, F.lit(" ")), F.lit("/"),
+                    col(total).cast("string"), F.lit(" ("), share, F.lit("%)], Train Loss: "), F.format_string("%4.5f", col(loss)))

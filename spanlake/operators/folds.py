@@ -96,6 +96,19 @@ def id_uniqueness(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(id_col).alias("n_distinct"))
 
 
+def require_unique_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """The input, or an error when it is read if an id repeats (counted per id, partial counts first)."""
+    seen = df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_c"))
+    fine = F.when(F.col("_c") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("repeated id: "), F.coalesce(F.col("_id").cast("string"), F.lit("NULL")))).cast("boolean"))
+    return df.join(seen.where(fine).select("_id"), F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+
+
+def first_by_id(df: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
+    """One row per id, the first in ``order`` (a total order); row number is limited before the shuffle."""
+    w = Window.partitionBy(id_col).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+
+
 def epoch_batches(df: DataFrame, epoch: int, seed: int, batch_size: int, keys: list[str]) -> DataFrame:
     """F10 + W6: per-epoch shuffle without replacement and consecutive batches.
 

@@ -69,19 +69,24 @@ def window_score_stats(logits: DataFrame, scale: float = 1000.0, with_labels: bo
 
 
 def _at(arr: str, pos: Column, side: str) -> Column:
-    return F.aggregate(F.filter(arr, lambda x: x["pos"] == pos), F.lit(0.0), lambda acc, x: acc + x[side])
+    """Score at a position; NULL where the window has no such position."""
+    return F.get(F.filter(arr, lambda x: x["pos"] == pos), F.lit(0))[side]
 
 
-def span_cross_entropy(stats: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def span_cross_entropy(stats: DataFrame, labels: DataFrame | None = None, ignore_index: int | None = None) -> DataFrame:
     """G12 per window: ``ce = 0.5 * CE(start) + 0.5 * CE(end)``, ``CE = lse(x) - x[label]``.
 
     Labels come from ``stats`` (``with_labels``) or a separate label table
     joined on ``(id, feature_idx)``.  Adds ``ce_s, ce_e, loss``; average
-    ``loss`` over rows for the batch mean.
+    ``loss`` over rows for the batch mean.  A label equal to ``ignore_index``, or
+    at no position of the window, gives NULL, which averages leave out.
     """
     j = stats if labels is None else stats.join(labels, ["id", "feature_idx"])
     ce_s = F.col("lse_s") - _at("_a", F.col("start_position"), "xs")
     ce_e = F.col("lse_e") - _at("_a", F.col("end_position"), "xe")
+    if ignore_index is not None:
+        ce_s = F.when(F.col("start_position") != ignore_index, ce_s)
+        ce_e = F.when(F.col("end_position") != ignore_index, ce_e)
     return j.withColumn("ce_s", ce_s).withColumn("ce_e", ce_e).withColumn("loss", 0.5 * F.col("ce_s") + 0.5 * F.col("ce_e"))
 
 
@@ -100,14 +105,15 @@ def distance_weighted(ce: DataFrame, neg_weight: float = 1.0, pos_weight: float
 
 
 def dice_binary(df: DataFrame, p: str, y: str, mask: str | None = None, alpha: Column | float = 0.0,
-                square: bool = False, smooth: float = SMOOTH, group: list[str] | None = None) -> DataFrame:
+                square: bool = False, smooth: float = SMOOTH, group: list[str] | None = None, with_logits: bool = False) -> DataFrame:
     """``1 - (2 sum(p'y) + s) / (sum(p') + sum(y) + s)`` with ``p' = (1-p)^alpha * p``.
 
     ``mask`` multiplies both inputs first; ``square`` uses sums of squares in
-    the denominator.  One aggregate (per ``group``).
+    the denominator; ``with_logits`` applies the sigmoid to ``p`` first.  One
+    aggregate (per ``group``).
     """
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    pm = F.col(p).cast("double") * m
+    pm = (sigmoid(F.col(p).cast("double")) if with_logits else F.col(p).cast("double")) * m
     ym = F.col(y).cast("double") * m
     a = alpha if isinstance(alpha, Column) else F.lit(alpha)
     pp = F.pow(F.lit(1.0) - pm, a) * pm

@@ -475,7 +475,7 @@ aug AS (
     CASE WHEN {_bt_apply('answer')} AND id % 5 = 0 THEN answer_text || ' x' ELSE answer_text END AS answer_text
   FROM folded
 )"""], """
-SELECT id, via_lang, contains(context, answer_text) AS kept,
+SELECT id, via_lang, coalesce(contains(context, answer_text), FALSE) AS kept,
        CASE WHEN contains(context, answer_text) THEN CAST(instr(context, answer_text) - 1 AS BIGINT) END AS answer_start,
        kfold
 FROM aug"""))

@@ -105,7 +105,7 @@ def _altered(qa: DataFrame) -> DataFrame:
 
 
 @register("answer_containment", O.with_ctes(QA_BASE, """
-SELECT id, contains(context, CASE WHEN id % 5 = 0 THEN answer_text || ' x' ELSE answer_text END) AS kept FROM qa"""))
+SELECT id, coalesce(contains(context, CASE WHEN id % 5 = 0 THEN answer_text || ' x' ELSE answer_text END), FALSE) AS kept FROM qa"""))
 def q_answer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     qa = _altered(X.qa(spark, sf_dir))
     kept, rejected = A.keep_if_answer_in_context(qa)
@@ -134,7 +134,7 @@ def q_occurrence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("answers_struct", O.with_ctes(QA_BASE + [O.QA_CONV], """
-SELECT 'd' || CAST(id AS VARCHAR) AS id, 1 AS n_answers, CAST(answer_start AS INTEGER) AS first_start,
+SELECT 'd' || CAST(id AS VARCHAR) AS id, CASE WHEN answer_start IS NULL THEN 0 ELSE 1 END AS n_answers, CAST(answer_start AS INTEGER) AS first_start,
        answer_text AS first_text FROM qa
 UNION ALL
 SELECT 'c' || CAST(id AS VARCHAR) AS id, 0 AS n_answers, CAST(NULL AS INTEGER) AS first_start,

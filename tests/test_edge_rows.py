@@ -305,3 +305,30 @@ def test_stream_meter_equals_batch(spark):
     streamed = ST.run_complete_to_table(ST.stream_meter(ST.file_stream(spark, SF_SMALL, "events")), spark, "t-meter")
     batch = ST.stream_meter(table(spark, SF_SMALL, "events"))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_unique_ids_are_required_or_made(spark):
+    import pytest
+    df = spark.createDataFrame([(1, 2), (1, 1), (2, 5)], "id long, v long")
+    assert sorted((r["id"], r["v"]) for r in FO.first_by_id(df, ["v"]).collect()) == [(1, 1), (2, 5)]
+    assert FO.require_unique_ids(df.where("v <> 2")).count() == 2
+    with pytest.raises(Exception, match="repeated id: 1"):
+        FO.require_unique_ids(df).collect()
+
+
+def test_path_fold_and_progress_line(spark):
+    from spanlake.functions.text import fold_of_path, progress_line
+    df = spark.createDataFrame([("m/fold12", 1, 50, 1000, 0.25), ("m/", 11, 1000, 1000, 1.5)], "p string, e int, s int, t int, l double")
+    out = df.select(fold_of_path("p").alias("f"), progress_line("e", "s", "t", "l").alias("x")).collect()
+    assert [r["f"] for r in out] == [12, None]
+    assert out[0]["x"] == "Epoch: 01 [  50/1000 (  5%)], Train Loss: 0.25000"
+
+
+def test_dice_with_logits_and_ignored_labels(spark):
+    df = spark.createDataFrame([(0.0, 1), (0.0, 0)], "p double, y int")
+    assert abs(L.dice_binary(df, "p", "y", with_logits=True).first()["loss"] - (1 - 1.0001 / 2.0001)) < 1e-9
+    st = spark.createDataFrame([(1, 0, [(0, 1.0, 2.0)], 1.5, 2.5, 0, 0), (2, 0, [(0, 1.0, 2.0)], 1.5, 2.5, 7, 0)],
+                               "id long, feature_idx int, _a array<struct<pos:int,xs:double,xe:double>>, lse_s double, lse_e double, start_position int, end_position int")
+    out = {r["id"]: (r["ce_s"], r["ce_e"]) for r in L.span_cross_entropy(st).collect()}
+    assert out == {1: (0.5, 0.5), 2: (None, 0.5)}
+    assert L.span_cross_entropy(st, ignore_index=0).where("ce_e is not null").count() == 0
