@@ -131,7 +131,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_i
             return s
 
         SE.expand(bound, leaves, limit, scores, ids, best)
-        return best.found()
+        return best.found(q["least"].to_numpy())
 
     def route(nearest_only: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,18 +142,18 @@ def top_products(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_i
                     qr = distances(lifted(qx, True), pivots)[:, number // rings]
                     gap = np.maximum(np.maximum(low - qr, qr - high), 0)
                     if nearest_only:
-                        far = np.full(len(qx), np.inf)
+                        far, worst = np.full(len(qx), np.inf), np.full(len(qx), NONE)
                         row, cell = np.arange(len(qx)), np.lexsort((np.broadcast_to(number, qr.shape), qr, gap), axis=1)[:, 0]
                     else:
                         worst = part.column(2).fill_null(int(NONE)).to_numpy()
                         far = far_from(qx, worst)
                         row, cell = np.nonzero(gap <= (far + slack)[:, None])
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(number[cell]), part.column(0).take(take), part.column(1).take(take), pa.array(qr[row, cell]), pa.array(far[row])],
-                                                     names=["cell", "id", "vec", "qr", "far"])
+                    yield pa.RecordBatch.from_arrays([pa.array(number[cell]), part.column(0).take(take), part.column(1).take(take), pa.array(qr[row, cell]), pa.array(far[row]), pa.array(worst[row])],
+                                                     names=["cell", "id", "vec", "qr", "far", "least"])
         return run
 
-    schema = "cell int, id long, vec array<double>, qr double, far double"
+    schema = "cell int, id long, vec array<double>, qr double, far double, least long"
     home = asks.mapInArrow(route(True), schema)
     first = SE.ranked(SE.blocked_search(data, home, counts, SE.cell_counts(home), block, search, T.LongType()), k)
     kth = TA.written(first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth")), "kth")

@@ -164,10 +164,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
             return s
 
         SE.expand(bound, leaves, limit, scores, ids, best)
-        return best.found()
+        return best.found(q["least"].to_numpy())
 
     # first the query's own cell, for a first k-th distance; then all cells that the test does not exclude
-    home = asks.withColumn("far", F.lit(float("inf")))
+    home = asks.withColumns({"far": F.lit(float("inf")), "least": F.lit(float("-inf"))})
     home = home.join(spark.createDataFrame([(int(c),) for c in number], "cell int"), "cell", "left_semi")
     first = SE.ranked(SE.blocked_search(data, home, counts, SE.cell_counts(home), block, search, T.DoubleType()), k)
     kth = TA.written(first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth")), "kth")
@@ -183,7 +183,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
                 far = np.where(np.isnan(far), np.inf, np.maximum(far, 0))
                 row, cell = np.nonzero(box_distance(qy, low, high) <= (ratio * far * (1 + 1e-9))[:, None])
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(number[cell]), *(part.column(i).take(take) for i in (1, 2, 3)), pa.array(far[row])], names=["cell", "id", "vec", "proj", "far"])
+                least = np.where(np.isnan(worst), -np.inf, worst)   # the final k-th score is no smaller
+                yield pa.RecordBatch.from_arrays([pa.array(number[cell]), *(part.column(i).take(take) for i in (1, 2, 3)), pa.array(far[row]), pa.array(least[row])],
+                                                 names=["cell", "id", "vec", "proj", "far", "least"])
 
-    routed = asks.mapInArrow(route, schema + ", far double")
+    routed = asks.mapInArrow(route, schema + ", far double, least double")
     return SE.ranked(SE.blocked_search(data, routed, counts, SE.cell_counts(routed), block, search, T.DoubleType()), k)

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,13 +58,13 @@ def sample_matrix(vectors: DataFrame) -> np.ndarray:
 
 def blocked_search(data: DataFrame, queries: DataFrame, counts: dict[int, int], asked: dict[int, int], block: int,
                    search: Callable[[dict, dict], tuple[np.ndarray, np.ndarray, np.ndarray]], score_type: T.DataType) -> DataFrame:
-    """``query_id, vec_id, score`` of the best rows that each block of queries finds in each block of its cell.
+    """``query_id, ids, scores`` (one row, with lists) of the best that each query finds in each block of its cells.
 
     ``data``: ``cell, id`` and its columns; ``queries``: ``cell, id`` and its
     columns, one row per cell to visit; ``counts`` and ``asked`` give the rows of
     either per cell (bounded tables: one entry per cell).  ``search(data,
-    queries)`` gets dictionaries of Arrow columns and returns query row numbers,
-    vector ids and scores.
+    queries)`` gets dictionaries of Arrow columns and returns query row numbers
+    (ascending), vector ids and scores.
     """
     nd = {c: -(-n // block) for c, n in counts.items()}
     nq = {c: -(-n // QUERY_BLOCK) for c, n in asked.items() if c in nd}
@@ -92,9 +92,12 @@ def blocked_search(data: DataFrame, queries: DataFrame, counts: dict[int, int],
             if not q.num_rows or not d.num_rows:
                 continue
             row, vec_id, score = search(dict(zip(names, d.columns, strict=True)), dict(zip(names, q.columns, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(q.column(2).to_numpy()[row]), pa.array(vec_id), pa.array(score)], names=["query_id", "vec_id", "score"])
+            own = np.unique(row)
+            at = pa.array(np.append(np.searchsorted(row, own), len(row)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(q.column(2).to_numpy()[own]), pa.ListArray.from_arrays(at, pa.array(vec_id)),
+                                              pa.ListArray.from_arrays(at, pa.array(score))], names=["query_id", "ids", "scores"])
 
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", score_type)])
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(score_type))])
     return both.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
 
 
@@ -122,8 +125,9 @@ class Best:
     def worst(self) -> np.ndarray:
         return self.score[:, -1]
 
-    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, col = np.nonzero(self.ids < np.iinfo(np.int64).max)
+    def found(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query rows, ids and scores of what reaches each query's ``least`` score."""
+        row, col = np.nonzero((self.ids < np.iinfo(np.int64).max) & (self.score >= least[:, None]))
         return row, self.ids[row, col], self.score[row, col]
 
 
@@ -154,6 +158,18 @@ def cell_counts(df: DataFrame) -> dict[int, int]:
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best over all blocks (repeated rows of a vector count once)."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    score_type = found.schema["scores"].dataType.elementType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in TA.sorted_groups(batches):
+            ids, score = (group.column(i).flatten().to_numpy() for i in (1, 2))
+            order = np.lexsort((ids, -score))
+            ids, score = ids[order], score[order]
+            new = np.append(True, (ids[1:] != ids[:-1]) | (score[1:] != score[:-1]))
+            ids, score = ids[new][:k], score[new][:k]
+            query = np.full(len(ids), group.column(0)[0].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.arange(1, len(ids) + 1, dtype=np.int32)), pa.array(ids), pa.array(score)],
+                                             names=["query_id", "rank", "vec_id", "score"])
+
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", score_type)])
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, schema)
