@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from spanlake.llm import tables as TA
 from spanlake.llm import textbytes as TB
-from spanlake.session import scratch_dir
+from spanlake.session import scratch_dir, shuffle_partitions
 
 LENGTH = 100
 PERIOD, COVER = 57, (0, 1, 6, 15, 22, 26, 45, 55)   # a perfect difference set: every difference modulo 57 occurs
@@ -70,7 +70,8 @@ def packed_segments(docs: DataFrame, id_col: str, text_col: str, total: int) ->
     segs = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "ids array<long>, lens array<long>, body binary")
     segs = segs.select(F.monotonically_increasing_id().alias("seg"), "*")
     name = f"segments_{uuid.uuid4().hex}"
-    parts = max(1, min(4096, -(-total // SCAN_BYTES)))
+    # at least as many buckets as shuffle partitions, or Spark shuffles this side of the joins with the replies after all
+    parts = max(shuffle_partitions(docs), min(4096, -(-total // SCAN_BYTES)))
     segs.write.format("parquet").option("compression", "zstd").option("path", scratch_dir(spark, "segments")).bucketBy(parts, "seg").saveAsTable(name)
     return spark.table(name), name
 
