@@ -90,8 +90,7 @@ class Voters:
     power: float
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        x = weighted(counts, self.weight) @ self.axes
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return unit(weighted(counts, self.weight) @ self.axes)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Similarity-weighted share of label 1 among each row's nearest labelled vectors (0.5 without any)."""
@@ -107,18 +106,23 @@ class Voters:
         return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Damped counts times term weights; each kind of term has length 1 so that none drowns the others."""
-    x = np.log1p(counts) * weight
+    """Damped counts times term weights, in place; each kind of term has length 1 so that none drowns the others."""
+    x = np.log1p(counts, out=counts)
+    x *= weight
     for a, b, share in ((0, SHAPES, 1.0), (SHAPES, SHAPES + WORDS, 0.4), (SHAPES + WORDS, TERMS, 1.0)):
         x[:, a:b] *= share / np.maximum(np.linalg.norm(x[:, a:b], axis=1, keepdims=True), 1e-12)
     return x
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, rank: int, neighbours: int, power: float) -> Voters:
-    """Fit on the sample's counts: idf-like weights, then a randomised truncated SVD with a fixed seed."""
+    """Fit on the sample's counts (overwritten): idf-like weights, then a randomised truncated SVD with a fixed seed."""
     n = len(counts)
-    seen = (counts > 0).sum(axis=0)
+    seen = np.count_nonzero(counts, axis=0)
     weight = (np.log((1 + n) / (1 + seen)) + 0.2).astype(np.float32)
     x = weighted(counts, weight)
     rank = min(rank, max(1, n), TERMS)
@@ -128,8 +132,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, rank: int, neighbours: int, powe
         basis = x @ (x.T @ np.linalg.qr(basis)[0])
     _, _, vt = np.linalg.svd(np.linalg.qr(basis)[0].T @ x, full_matrices=False)
     axes = np.ascontiguousarray(vt[:rank].T)
-    out = Voters(weight, axes, np.zeros((0, rank), np.float32), labels.astype(np.float64), neighbours, power)
-    return Voters(weight, axes, out.latent(counts), out.labels, neighbours, power)
+    return Voters(weight, axes, unit(x @ axes), labels.astype(np.float64), neighbours, power)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int,
@@ -150,11 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
                      pa.ListArray.from_arrays(pa.array(at), pa.array(c[r, t]))], names=["label", "term", "amount"])
 
     got = rows.mapInArrow(run, "label int, term array<int>, amount array<float>").toArrow()
-    counts = np.zeros((got.num_rows, TERMS), np.float32)
-    for i, (t, a) in enumerate(zip(got.column("term"), got.column("amount"), strict=True)):
-        counts[i, t.values.to_numpy()] = a.values.to_numpy()
-    order = np.lexsort((counts @ np.arange(TERMS, dtype=np.float64), got.column("label").to_numpy()))
-    return fit(counts[order], got.column("label").to_numpy()[order], rank, neighbours, power)
+    rows = [(t.values.to_numpy(), a.values.to_numpy()) for t, a in zip(got.column("term"), got.column("amount"), strict=True)]
+    label = got.column("label").to_numpy()
+    order = np.lexsort(([float(t @ a.astype(np.float64)) for t, a in rows], label))  # the same order however the rows arrive
+    counts = np.zeros((len(rows), TERMS), np.float32)
+    for i, j in enumerate(order):
+        counts[i, rows[j][0]] = rows[j][1]
+    return fit(counts, label[order], rank, neighbours, power)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
