@@ -12,8 +12,9 @@ Links come from exact comparison only, and no table of pairs is ever made:
 1. equal sets are one class (grouped by set fingerprint and size);
 2. in each table bucket every class is compared with the bucket's hub by the
    share of equal minhashes (the cut lies far below what linked sets show), and
-   the classes that differ from the hub among themselves, block by block; both
-   give a number of links linear in the rows, and their components are
+   the classes that differ from the hub among themselves, block by block; those
+   still outside the hub's component then meet all that is alike to the hub;
+   each gives a number of links linear in the rows, and their components are
    candidate clusters;
 3. within a cluster, full sets are compared exactly, block against block inside
    tasks, and each block returns a forest of links; in a cluster of many blocks
@@ -146,13 +147,15 @@ def shingle_sets(column, sim: Similarity) -> list[np.ndarray]:
     return out
 
 
-def deal_blocks(rows: DataFrame, group: str, carry: list[str]) -> DataFrame:
+def deal_blocks(rows: DataFrame, group: str, carry: list[str], cross: bool = False) -> DataFrame:
     """Rows dealt to pairs of blocks ``g`` so that any two rows of a group meet unless both are settled.
 
+    With ``cross`` only a settled row and one that is not need to meet.
+
     ``settled`` marks rows that need not meet each other.  A block holds about
     ``BLOCK`` rows; small groups are one block and their rows are dealt once.
     """
-    side = rows.groupBy(group).agg(F.count_if(~F.col("settled")).alias("loose"), F.count_if("settled").alias("fixed")).where("loose > 0 and loose + fixed > 1")
+    side = rows.groupBy(group).agg(F.count_if(~F.col("settled")).alias("loose"), F.count_if("settled").alias("fixed")).where("loose > 0 and fixed > 0" if cross else "loose > 0 and loose + fixed > 1")
     side = side.select(F.col(group).alias("_of"), F.ceil(F.col("loose") / BLOCK).alias("nl"), F.ceil(F.col("fixed") / BLOCK).alias("nf"))
     own = rows.join(side, F.col(group) == F.col("_of"))
     own = own.withColumn("blk", F.pmod(F.xxhash64("uid"), F.when(F.col("settled"), F.col("nf")).otherwise(F.col("nl"))))
@@ -162,16 +165,20 @@ def deal_blocks(rows: DataFrame, group: str, carry: list[str]) -> DataFrame:
     with_fixed = F.transform(span(F.col("nf")), lambda j: here(0, F.col("blk"), j))
     with_loose = F.transform(span(F.col("nl")), lambda j: here(1, F.least("blk", j), F.greatest("blk", j)))
     to = F.when(alone, F.array(here(1, F.lit(0).cast("long"), F.lit(0).cast("long"))))
-    to = to.when(~F.col("settled"), F.concat(with_fixed, with_loose)).otherwise(F.transform(span(F.col("nl")), lambda i: here(0, i, F.col("blk"))))
+    to = to.when(~F.col("settled"), with_fixed if cross else F.concat(with_fixed, with_loose)).otherwise(F.transform(span(F.col("nl")), lambda i: here(0, i, F.col("blk"))))
     dealt = own.select(group, *carry, F.explode(to).alias("t")).select(F.xxhash64(group, "t.kind", "t.i", "t.j").alias("g"), *carry)
     # an explicit number: the work of a partition is far larger than its bytes suggest
     return dealt.repartition(shuffle_partitions(rows), "g").sortWithinPartitions("g")
 
 
 def alike_links(failed: DataFrame, sketches: DataFrame, sim: Similarity, hashes: int) -> DataFrame:
-    """Links ``a, b`` that connect rows of one bucket (``key, uid``) with enough equal minhashes: a forest per block."""
+    """Links ``a, b`` that connect rows of one bucket (``key, uid``) with enough equal minhashes: a forest per block.
+
+    If there is a column ``settled``, only rows that differ in it need to meet.
+    """
     need = sim.agreement(hashes)
-    rows = failed.select("key", "uid").join(sketches.select("uid", "n", "sketch"), "uid").withColumn("settled", F.lit(False))
+    settled = F.col("settled") if "settled" in failed.columns else F.lit(False)
+    rows = failed.select("key", "uid", settled.alias("settled")).join(sketches.select("uid", "n", "sketch"), "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -191,7 +198,7 @@ def alike_links(failed: DataFrame, sketches: DataFrame, sim: Similarity, hashes:
                 b.append(int(uid[j]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return deal_blocks(rows, "key", ["uid", "n", "sketch"]).mapInArrow(run, "a long, b long")
+    return deal_blocks(rows, "key", ["uid", "n", "sketch"], "settled" in failed.columns).mapInArrow(run, "a long, b long")
 
 
 def exact_links(rows: DataFrame, sim: Similarity) -> DataFrame:
@@ -259,7 +266,16 @@ def class_components(classes: DataFrame, keys: DataFrame, text_of: Callable[[Dat
     same = F.size(F.filter(F.sequence(F.lit(1), F.lit(hashes)), lambda i: F.substring("s_uid", i, 1) == F.substring("s_hub", i, 1)))
     alike = TA.written(pairs.where(fits & (same >= sim.agreement(hashes))).select(F.col("uid").alias("a"), F.col("hub").alias("b")), "alike")
     failed = members.join(alike, (F.col("uid") == F.col("a")) & (F.col("hub") == F.col("b")), "left_anti").select("key", "uid")
-    clusters = TA.components(alike.unionByName(alike_links(failed, classes, sim, hashes)))
+    failed = TA.written(failed, "failed")
+    clusters = TA.written(TA.components(alike.unionByName(alike_links(failed, classes, sim, hashes))), "candidates")
+    # rows that are still outside their hub's cluster meet what is alike to the hub, once a hub, not once a bucket
+    home = lambda c: clusters.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    outside = failed.join(members, ["key", "uid"]).select("uid", "hub").distinct().join(home("uid"), "uid", "left").join(home("hub"), "hub", "left")
+    outside = TA.written(outside.where(~F.col("c_uid").eqNullSafe(F.col("c_hub")) | F.col("c_uid").isNull()).select(F.col("hub").alias("key"), "uid"), "outside")
+    beside = alike.select(F.col("b").alias("key"), F.col("a").alias("uid")).join(outside.select("key").distinct(), "key", "left_semi")
+    cross = outside.withColumn("settled", F.lit(False)).unionByName(beside.withColumn("settled", F.lit(True)))
+    joined = clusters.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    clusters = TA.components(joined.unionByName(alike_links(cross, classes, sim, hashes)))
     clusters = TA.written(clusters.select(F.col("node").alias("uid"), F.col("component").alias("cluster")), "clusters")
     texts = TA.written(text_of(clusters.select("uid")), "texts")
     # rows of a cluster of many blocks that are linked to its first row are settled: they need not meet each other
