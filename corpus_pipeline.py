@@ -2,7 +2,9 @@
 
 Each stage works on all that the stage before kept, is written as Parquet under
 the shared checkpoint folder and read again, so a lost executor repeats part of
-one stage only.  All stages but the last return the columns of ``documents``.
+one stage only.  All stages but the last return the columns of ``documents``; the
+last returns ``mix_key`` beside its own columns, so that the order of the mix
+does not hang on how files are read.
 """
 
 from __future__ import annotations
@@ -40,8 +42,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
-    return bpe.encode_documents(docs, Q.rank_file())
+    """Token counts and digests of the encoded and decoded texts; sort by ``mix_key`` for the mixed order."""
+    rows = mixing.mix_sources(docs)  # the same rows have the same keys again
+    rows = rows.select(F.struct("doc_id", "mix_key").alias("place"), "text")
+    out = bpe.encode_documents(rows, Q.rank_file(), id_col="place")
+    return out.select("place.doc_id", *out.columns[1:], "place.mix_key")
 
 
 STAGES = [

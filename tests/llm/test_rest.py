@@ -207,3 +207,14 @@ def test_pipeline_stage_by_stage(spark):
     run = [r.asDict() for r in P.run(spark, SF).collect()]
     assert sorted(map(str, run)) == sorted(map(str, enc))
     assert math.isfinite(len(run))
+
+
+def test_pipeline_rows_carry_the_mix(spark, docs_of):
+    import corpus_pipeline as P
+
+    docs = docs_of([(i, f"text {i}") for i in range(120)], ["a"] * 80 + ["b"] * 30 + ["c"] * 10)
+    want = {r["doc_id"]: r["mix_key"] for r in mixing.mix_sources(docs).collect()}
+    mixed = P.mixing_stage(spark, docs, SF)
+    out = P.encoding_stage(spark, mixed.repartition(7), SF)
+    assert {r["doc_id"]: r["mix_key"] for r in out.collect()} == want and len(set(want.values())) == 120
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "mix_key"]
