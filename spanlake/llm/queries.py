@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import bpe, fixity, mixing, neardup, paragraphs, pivots, projections, quality, suffixes, toxicity
+from spanlake.llm import (alignment, bpe, collocations, fixity, mixing, neardup, paragraphs, pivots, projections, quality, suffixes, tokencounts,
+                          toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,10 +31,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def rank_file() -> str:
-    """The public vocabulary used by the queries; a parameter of the operator itself."""
+def tokenizer_file(name: str) -> str:
+    """A public vocabulary used by the queries; a parameter of the operators themselves."""
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return public_tokenizers.path(name)
+
+
+def rank_file() -> str:
+    return tokenizer_file("byte_bpe_multi_50k.tiktoken")
 
 
 @register("op1_projections")
@@ -178,3 +183,52 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), rank_file())
+
+
+@register("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT lang, p, row_number() OVER () AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), lists AS (
+  SELECT lang, piece, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), r1 AS (SELECT lang, piece, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM lists
+), f1 AS (SELECT lang, w AS phrase, count(*) AS f FROM r1 GROUP BY ALL
+), r2 AS (SELECT a.lang, a.piece, a.pos, a.w AS w1, b.w AS w2 FROM r1 a JOIN r1 b ON a.piece = b.piece AND b.pos = a.pos + 1
+), f2 AS (SELECT lang, w1, w2, w1 || ' ' || w2 AS phrase, count(*) AS f FROM r2 GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (
+  SELECT a.lang, a.w1, a.w2, b.w2 AS w3, a.w1 || ' ' || a.w2 || ' ' || b.w2 AS phrase, count(*) AS f
+  FROM r2 a JOIN r2 b ON a.piece = b.piece AND b.pos = a.pos + 1 GROUP BY ALL HAVING count(*) >= 10
+), parts AS (SELECT lang, phrase, f FROM f1 UNION ALL SELECT lang, phrase, f FROM f2
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL
+), cuts AS (
+  SELECT f2.lang, f2.phrase, f2.f AS a, 1 AS k, w1 AS x, w2 AS y FROM f2 LEFT JOIN longer l ON l.lang = f2.lang AND l.phrase = f2.phrase
+  WHERE l.f IS NULL OR 100 * l.f < 50 * f2.f
+  UNION ALL SELECT lang, phrase, f, 1, w1, w2 || ' ' || w3 FROM f3
+  UNION ALL SELECT lang, phrase, f, 2, w1 || ' ' || w2, w3 FROM f3
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, p.f AS l, q.f AS r,
+         CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(p.f AS HUGEINT) * q.f) AS BIGINT) AS score
+  FROM cuts c JOIN parts p ON p.lang = c.lang AND p.phrase = c.x JOIN parts q ON q.lang = c.lang AND q.phrase = c.y
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), n AS (SELECT lang, count(*) AS n FROM r1 GROUP BY lang
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@register("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), max_words=3, min_count=10, inside_percent=50, top=2000)
+
+
+@register("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))

@@ -19,6 +19,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOT_KEYS = 1024
+
+
+def lookup(rows: DataFrame, values: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``values`` (one row per key) without a hot task.
+
+    ``weight`` says how many rows have the key.  The ``HOT_KEYS`` heaviest keys,
+    a fixed number, are broadcast; no key of the rest has more than a
+    ``1 / HOT_KEYS`` part of all rows and they meet by a plain equi-join.  Both
+    sides are read twice: pass written tables.
+    """
+    hot = values.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
+    hot = written(hot, "hot")
+    names = F.broadcast(hot.select(*keys))
+    rest = rows.join(names, keys, "left_anti").join(values.join(names, keys, "left_anti"), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
     """Rows of one group at a time, from batches sorted by a non-null long ``column``."""
     held: list[pa.RecordBatch] = []
