@@ -33,6 +33,7 @@ from spanlake.session import shuffle_partitions
 
 BLOCK_BYTES = 4 << 20    # bytes of text whose pairs are counted together
 SHIFT = 32               # a pair is a long: A id in the upper half, B id in the lower one
+KEPT_CHUNKS = 1 << 18    # chunks whose ids a task remembers; beyond that it starts anew
 FACTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -80,10 +81,63 @@ class Pair:
         n = max(len(entries), self.b.get_piece_size())
         self.names = [Vocabulary([b"%d%s" % (i, end) for i in range(n)]) for end in (b",", b"|", b";")]
 
-    def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        a = self.a.encode_batch_fast([" " + t if t else "" for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, add_bos=False, add_eos=False) if texts else []
-        return pa.array([x.ids for x in a], pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))
+        self.by_chunk = self.separable(json.loads(a_file))
+        self.forget()
+
+    def separable(self, a_spec: dict) -> bool:
+        """Whether no token of either side crosses a chunk's start (see ``chunks``)."""
+        pre = a_spec.get("pre_tokenizer") or {}
+        a_ok = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not a_spec.get("normalizer")
+        pieces = (self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        return bool(a_ok) and not any("▁" in p for p in pieces)
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids, self.sizes = [np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int64)] * 2
+
+    def ask(self, texts: list[str]) -> list[list]:
+        """Both libraries' ids of texts that begin with the added space."""
+        a = self.a.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [[x.ids for x in a], self.b.encode([t[1:] for t in texts], add_bos=False, add_eos=False, num_threads=1) if texts else []]
+
+    def encode(self, full: np.ndarray, at: np.ndarray) -> list[pa.ListArray]:
+        """Ids of both sides of the texts ``full[at[i]:at[i + 1]]``, each with its added space; empty ones have none."""
+        starts = chunks(full, at) if self.by_chunk else at[:-1][np.diff(at) > 0]
+        ends = np.append(starts[1:], len(full)) if len(starts) else starts
+        kinds, first, which = np.unique(TB.span_hash(TB.prefix_sums(full), starts, ends), return_index=True, return_inverse=True)
+        if len(self.known) > KEPT_CHUNKS or not self.by_chunk:
+            self.forget()
+        new = [i for i, h in enumerate(kinds.tolist()) if h not in self.known]
+        raw = full.tobytes()
+        asked = self.ask([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        base, out = len(self.known), []
+        self.known.update(zip(kinds[new].tolist(), range(base, base + len(new)), strict=True))
+        entry = np.fromiter(map(self.known.__getitem__, kinds.tolist()), np.int64, len(kinds))[which]
+        for side, ids in enumerate(asked):
+            lists = pa.array(ids, pa.list_(pa.int32()))
+            self.ids[side] = np.concatenate((self.ids[side], lists.flatten().to_numpy()))
+            self.sizes[side] = np.concatenate((self.sizes[side], lists.value_lengths().to_numpy()))
+            n = self.sizes[side][entry]
+            flat = self.ids[side][TB.gather_ranges((np.cumsum(self.sizes[side]) - self.sizes[side])[entry], n)]
+            total = np.concatenate(([0], np.cumsum(n)))
+            out.append(pa.ListArray.from_arrays(pa.array(total[np.searchsorted(starts, at)], pa.int32()), pa.array(flat, pa.int32())))
+        return out
+
+
+def chunks(full: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Starts of chunks: texts, and single spaces before a printable ASCII character.
+
+    A byte-level pre-tokenizer begins a match there, and a piece vocabulary
+    without a space mark behind another character cannot join over it, so the
+    tokens of a text are those of its chunks.
+    """
+    n = len(full)
+    cut = np.zeros(n + 1, bool)
+    space = full == 32
+    cut[1:n - 1] = space[1:-1] & ~space[:-2] & (full[2:] > 32) & (full[2:] < 127) if n > 2 else False
+    cut[at] = True
+    cut[n] = False
+    return np.flatnonzero(cut)
 
 
 def piece_bytes(model, i: int) -> bytes:
@@ -118,13 +172,11 @@ def flattened(lists: pa.ListArray, vocab: Vocabulary, good: np.ndarray) -> pa.Ta
 def align(pair: Pair, data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], list[str], pa.Table]:
     """Facts and group digests of a slice of texts, and its links ``text, ab, m`` (times a text links the pair)."""
     n = len(offsets) - 1
-    raw = data.tobytes()
-    texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    a, b = pair.encode(texts)
     some = np.diff(offsets) > 0
     want_at = offsets + np.concatenate(([0], np.cumsum(some)))
     want = np.full(int(want_at[-1]), 32, np.uint8)
     want[TB.gather_ranges(want_at[:-1] + some, np.diff(offsets))] = data
+    a, b = pair.encode(want, want_at)
     good = some.copy()
     for lists, vocab in ((a, pair.a_bytes), (b, pair.b_bytes)):
         good &= same_bytes(vocab, lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy(), want, want_at)

@@ -217,6 +217,26 @@ def test_alignment_leaves_out_what_the_tokens_do_not_spell():
     assert set(links["text"].to_pylist()) == {0, 2}
 
 
+def test_chunks_encode_as_whole_texts(bytelevel, pieces, monkeypatch):
+    """Ids of texts put together from cached chunks are those of the libraries on whole texts."""
+    r = random.Random(11)
+    chars = list("ab'stremvdl  \n\t\r\x85\xa0 é漢1²٣😀.,!_\x1c​Ḁ\u2003\u3000-") + ["  ", " a", " 's", " \n", "\xa0 x"]
+    texts = ["".join(r.choice(chars) for _ in range(r.randint(1, 40))) for _ in range(3000)] + ["", " ", "  ", "   x", "x ", "x" * 600, "a  b   c"]
+    pair = alignment.Pair(open(A_FILE, "rb").read(), open(B_FILE, "rb").read())
+    assert pair.by_chunk
+    want = [bytelevel.encode(" " + t, add_special_tokens=False).ids if t else [] for t in texts], [pieces.encode(t) if t else [] for t in texts]
+    for kept, chunked in ((1 << 18, True), (100, True), (5, False)):
+        monkeypatch.setattr(alignment, "KEPT_CHUNKS", kept)
+        pair.by_chunk = chunked
+        got = [], []
+        for lo in range(0, len(texts), 500):
+            full = [(" " + t if t else "").encode() for t in texts[lo:lo + 500]]
+            lists = pair.encode(alignment.np.frombuffer(b"".join(full), alignment.np.uint8), alignment.np.array([0, *byte_ends(full)]))
+            for out, part in zip(got, lists):
+                out.extend(part.to_pylist())
+        assert got == want
+
+
 def test_alignment_query_and_empty_table(spark, docs_of, bytelevel, pieces):
     rows = [(r["doc_id"], r["text"]) for r in Q.read(spark, SF, "documents").collect()]
     assert sorted(tuple(r) for r in Q.op13_alignment(spark, SF).collect()) == aligned(rows, bytelevel, pieces)
