@@ -4,8 +4,8 @@ A task encodes a slice of texts with both tokenizers into Arrow lists, flattens
 them with their parent indices, and gets every token's end by a cumulative sum
 that starts anew at each text.  A hash join on (text, end) gives the offsets
 where tokens of both sides end; running counts of these number the groups.
-Tokens are counted by group and id, the sides are joined on the group, and
-products of their counts, summed by text and id pair, are the links.
+The sides are joined on the group (in large groups after repeated ids are
+counted), and products of their counts, summed by text and id pair, are the links.
 
 Over the corpus, ``Table.group_by`` counts in how many texts of a block a pair
 is linked, Spark sums these partial counts, finds each A id's highest (at most
@@ -33,7 +33,7 @@ from spanlake.session import shuffle_partitions
 
 BLOCK_BYTES = 4 << 20    # bytes of text whose pairs are counted together
 SHIFT = 32               # a pair is a long: A id in the upper half, B id in the lower one
-KEPT_CHUNKS = 1 << 18    # chunks whose ids a task remembers; beyond that it starts anew
+KEPT_CHUNKS = 1 << 19    # chunks whose ids a task remembers; beyond that it starts anew
 FACTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -189,7 +189,10 @@ def align(pair: Pair, data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str,
         ends[both[col].to_numpy()] = 1
         group = np.cumsum(ends) - ends
         groups.append(group)
-        sides.append(pa.table({"group": pa.array(group), "id": t["id"]}).group_by(["group", "id"], use_threads=False).aggregate([([], "count_all")]))
+        sides.append(pa.table({"group": pa.array(group), "id": t["id"], "c": pa.array(np.ones(t.num_rows, np.int64))}))
+    sizes = [np.bincount(g, minlength=both.num_rows) for g in groups]
+    if int(sizes[0] @ sizes[1]) > 2 * sum(map(len, groups)):  # large groups: count repeated ids before they meet
+        sides = [t.group_by(["group", "id"], use_threads=False).aggregate([("c", "sum")]) for t in sides]
     links = sides[0].rename_columns(["group", "a", "ca"]).join(sides[1].rename_columns(["group", "b", "cb"]), "group", join_type="inner", use_threads=False)
     text = group_text[links["group"].to_numpy()] if links.num_rows else np.zeros(0, np.int64)
     ab = pc.add(pc.multiply(links["a"], 1 << SHIFT), links["b"])
