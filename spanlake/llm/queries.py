@@ -154,8 +154,7 @@ def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_paragraph_dedup")
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = paragraphs.paragraph_dedup(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("dedup_paragraphs").alias("n_paragraphs"), F.size("dedup_removed").cast("long").alias("n_removed"),
-                      F.col("dedup_removed").alias("removed"), "text")
+    return out.select("doc_id", "text", F.col("dedup_removed").alias("n_removed"), F.col("dedup_words").alias("n_words"), F.col("dedup_spans").alias("spans"))
 
 
 KEEP_QUALITY = 0.7
