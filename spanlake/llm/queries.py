@@ -70,26 +70,28 @@ def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 WITH RECURSIVE sizes AS (
   SELECT source, count(*) AS n, CAST(floor(sqrt(count(*)) * 1000) AS BIGINT) AS share FROM documents GROUP BY source
-), weights AS (
-  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS i,
-         greatest(1, CAST((1000 * share) // sum(share) OVER () AS BIGINT)) AS w FROM sizes
-), plan AS (SELECT *, CAST(sum(w) OVER () AS BIGINT) AS h FROM weights
+), shares AS (SELECT source, greatest(1, CAST((1000 * share) // sum(share) OVER () AS BIGINT)) AS share FROM sizes
+), common AS (SELECT list_reduce(list(share), lambda a, b: gcd(a, b)) AS g FROM shares
+), plan AS (
+  SELECT source, share // g AS w, count(*) OVER (PARTITION BY share) AS m, row_number() OVER (PARTITION BY share ORDER BY source NULLS FIRST) - 1 AS p,
+         dense_rank() OVER (ORDER BY share DESC) AS c, CAST(sum(share // g) OVER () AS BIGINT) AS h FROM shares, common
+), classes AS (SELECT c, any_value(w * m) AS w, any_value(h) AS h FROM plan GROUP BY c
 ), edf AS (
-  SELECT CAST(-1 AS BIGINT) AS t, i, w, h, CAST(0 AS BIGINT) AS done, false AS runs FROM plan
+  SELECT CAST(-1 AS BIGINT) AS t, c, w, h, CAST(0 AS BIGINT) AS done, false AS runs FROM classes
   UNION ALL
-  SELECT t + 1, i, w, h, done + CASE WHEN best = 1 THEN 1 ELSE 0 END, best = 1
-  FROM (SELECT *, row_number() OVER (ORDER BY ((done * h) // w > t + 1), ((done + 1) * h + w - 1) // w, i) AS best
+  SELECT t + 1, c, w, h, done + CASE WHEN best = 1 THEN 1 ELSE 0 END, best = 1
+  FROM (SELECT *, row_number() OVER (ORDER BY ((done * h) // w > t + 1), ((done + 1) * h + w - 1) // w, c) AS best
         FROM edf WHERE t + 1 < h)
-), slots AS (SELECT i, t, row_number() OVER (PARTITION BY i ORDER BY t) - 1 AS j FROM edf WHERE runs
+), slots AS (SELECT c, t, row_number() OVER (PARTITION BY c ORDER BY t) - 1 AS j FROM edf WHERE runs
 ), ranked AS (
   SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':7'), d.doc_id) - 1 AS r
   FROM documents d
 )
 SELECT r.doc_id, r.source, r.r // 16 AS mix_block, ((r.r // 16) * p.h) // p.w AS mix_release,
        (((r.r // 16) + 1) * p.h + p.w - 1) // p.w AS mix_deadline,
-       ((r.r // 16) // p.w) * p.h + s.t AS mix_slot,
-       (((r.r // 16) // p.w) * p.h + s.t) * 16 + r.r % 16 AS mix_key
-FROM ranked r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source JOIN slots s ON s.i = p.i AND s.j = (r.r // 16) % p.w
+       (((r.r // 16) * p.m + p.p) // (p.m * p.w)) * p.h + s.t AS mix_slot,
+       ((((r.r // 16) * p.m + p.p) // (p.m * p.w)) * p.h + s.t) * 16 + r.r % 16 AS mix_key
+FROM ranked r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source JOIN slots s ON s.c = p.c AND s.j = ((r.r // 16) * p.m + p.p) % (p.m * p.w)
 """
 
 

@@ -24,30 +24,66 @@ def edf(weights):
     return out
 
 
+def check_mix(out, shares, block):
+    """Every block in its window, one block a slot, and less than one block off the given shares at every slot."""
+    total = sum(shares.values())
+    sizes = Counter(x["source"] for x in out)
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    slots = {}
+    for x in out:
+        k, w = x["mix_block"], shares[x["source"]]
+        assert k * total // w <= x["mix_slot"] < -(-(k + 1) * total // w)
+        assert x["mix_release"] <= x["mix_slot"] < x["mix_deadline"] and x["mix_key"] // block == x["mix_slot"]
+        slots.setdefault(x["mix_slot"], set()).add((x["source"], k))
+    assert all(len(s) == 1 for s in slots.values()) and len({x["mix_key"] for x in out}) == len(out)
+    given = Counter()
+    for t in sorted(slots):
+        (s, k), = slots[t]
+        assert k == given[s]
+        given[s] += 1
+        if len(shares) < 50 or t % 97 == 0:
+            for n, w in shares.items():
+                if given[n] < blocks[n]:
+                    assert abs(given[n] * total - (t + 1) * w) < total
+    assert given == blocks
+    return slots
+
+
 def test_mix_follows_edf_and_deviates_less_than_a_block(spark, docs_of):
     r = random.Random(3)
     source = [r.choice(["a"] * 10 + ["b"] * 4 + ["c", None]) for _ in range(900)]
     docs = docs_of([(i, "x") for i in range(900)], source)
-    targets = spark.createDataFrame([("a", 50), ("b", 30), ("c", 20), (None, 17)], "source string, share long")
-    out = mixing.mix_sources(docs, targets, block_docs=4, period=117).collect()
-    assert len(out) == 900 and len({x["mix_key"] for x in out}) == 900 and "_mx_w" not in out[0].asDict()
-    slots = {}
-    for x in out:
-        assert x["mix_release"] <= x["mix_slot"] < x["mix_deadline"] and x["mix_key"] // 4 == x["mix_slot"]
-        slots.setdefault(x["mix_slot"], set()).add(x["source"])
-    assert all(len(s) == 1 for s in slots.values())
-    names, weights = [None, "a", "b", "c"], [17, 50, 30, 20]
+    shares = {"a": 50, "b": 30, "c": 20, None: 17}
+    targets = spark.createDataFrame([(s, 3 * w) for s, w in shares.items()], "source string, share long")
+    out = mixing.mix_sources(docs, targets, block_docs=4).collect()
+    assert len(out) == 900 and "_mx_w" not in out[0].asDict()
+    slots = check_mix(out, shares, 4)
+    names, weights = zip(*sorted(shares.items(), key=lambda x: -x[1]))
     run = edf(weights)
-    sizes = Counter(source)
-    blocks = {s: -(-sizes[s] // 4) for s in names}
-    given = Counter()
-    for t in range(max(slots) + 1):
-        s = names[run[t % 117]]
-        if given[s] < blocks[s]:
-            assert slots[t] == {s}
-        given[s] += 1
-        for n, w in zip(names, weights):
-            assert abs(given[n] - (t + 1) * w / 117) < 1
+    assert all(next(iter(s))[0] == names[run[t % 117]] for t, s in slots.items())
+
+
+@pytest.mark.parametrize("small,large", [(2000, 2000), (200, 200), (601, 7919)])
+def test_mix_of_many_small_sources_keeps_the_given_shares(spark, small, large):
+    rows = spark.range(3 * large).select(F.col("id").alias("doc_id"), F.lit("big").alias("source"))
+    rows = rows.unionByName(spark.range(3 * small).select((F.col("id") + 10**6).alias("doc_id"), F.concat(F.lit("s"), F.col("id") % small).alias("source")))
+    targets = spark.createDataFrame([("big", large)], "source string, share long")
+    out = mixing.mix_sources(rows, targets, block_docs=1).collect()
+    assert len(out) == 3 * (small + large)
+    check_mix(out, {"big": large} | {f"s{i}": 1 for i in range(small)}, 1)
+
+
+def test_mix_of_many_different_shares(spark):
+    shares = {f"s{i}": i + 1 for i in range(60)}
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 60).alias("source"))
+    targets = spark.createDataFrame(list(shares.items()), "source string, share long")
+    check_mix(mixing.mix_sources(rows, targets, block_docs=2).collect(), shares, 2)
+
+
+def test_mix_refuses_endless_schedules(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 10)
+    with pytest.raises(Exception, match="steps"):
+        mixing.mix_sources(docs_of([(i, "x") for i in range(640)], ["a"] * 320 + ["b"] * 320), spark.createDataFrame([("a", 7), ("b", 9)], "source string, share long"))
 
 
 def test_mix_defaults_and_edges(spark, docs_of):
