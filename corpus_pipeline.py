@@ -29,7 +29,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove paragraphs that repeat an earlier one; ``n_chars`` follows the text."""
+    """Remove passages that repeat an earlier place; ``n_chars`` follows the text."""
     out = paragraphs.paragraph_dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -43,10 +43,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded texts; sort by ``mix_key`` for the mixed order."""
-    rows = mixing.mix_sources(docs)  # the same rows have the same keys again
-    rows = rows.select(F.struct("doc_id", "mix_key").alias("place"), "text")
-    out = bpe.encode_documents(rows, Q.rank_file(), id_col="place")
-    return out.select("place.doc_id", *out.columns[1:], "place.mix_key")
+    rows = docs.select(F.struct("doc_id", "source").alias("of"), "text")
+    out = TA.written(bpe.encode_documents(rows, Q.rank_file(), id_col="of"), "encoded")
+    out = mixing.mix_sources(out.select("of.doc_id", "of.source", *out.columns[1:]))  # the same rows have the same keys again; no text travels
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "mix_key")
 
 
 STAGES = [
