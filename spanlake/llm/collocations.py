@@ -34,6 +34,7 @@ PIECE_END[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BETWEEN = PIECE_END.copy()
 BETWEEN[[0x20, 0x09]] = True
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 27   # a semi-join bitmap is at most 16 MB
+PROBES = (1, 33)                        # bits of a fingerprint where its two places in a bitmap begin
 BITMAP_ROWS = 1 << 15                   # bits of one aggregated bitmap (fixed by Spark's bitmap functions)
 GROUP_ROWS = 1 << 21                    # fingerprints that a task holds before it passes counts on
 TOP_PARTS = 64                          # parts of a language that are ranked by themselves first
@@ -94,15 +95,18 @@ class Bitmap:
         return bool(self.has(np.array([h], np.int64))[0])
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = (h.view(U64) >> U64(1)) & U64(8 * len(self.bits) - 1)   # a power of two
-        return (self.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)
+        ok = np.ones(len(h), bool)
+        for shift in PROBES:
+            at = (h.view(U64) >> U64(shift)) & U64(8 * len(self.bits) - 1)   # a power of two
+            ok &= (self.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)
+        return ok
 
 
 def bitmap_of(keys: DataFrame) -> Bitmap:
     """Bitmap of the longs ``h`` of a table, built by Spark; at most ``MAX_BITS`` bits reach the driver."""
-    size = min(MAX_BITS, max(MIN_BITS, 1 << (16 * keys.count()).bit_length()))
-    place = F.shiftrightunsigned("h", 1).bitwiseAND(F.lit(size - 1)) + 1
-    parts = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    size = min(MAX_BITS, max(MIN_BITS, 1 << (32 * keys.count()).bit_length()))
+    places = F.array(*[F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(size - 1)) + 1 for shift in PROBES])
+    parts = keys.select(F.explode(places).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     bits = np.zeros(size // 8, np.uint8)
     for r in parts.toLocalIterator():  # at most size / 32768 rows of 4 KB
         lo = (r["b"] - 1) * BITMAP_ROWS // 8
@@ -110,6 +114,24 @@ def bitmap_of(keys: DataFrame) -> Bitmap:
     return Bitmap(bits)
 
 
+def counted(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """``h, c``: how often each fingerprint occurs, in portions of about ``GROUP_ROWS`` different ones."""
+    held, size = [], 0
+
+    def merged() -> pa.RecordBatch:
+        h, c = summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], names=["h", "c"])
+
+    for h in parts:
+        held.append(summed(h, np.ones(len(h), np.int64)))
+        size += len(held[-1][0])
+        if size > GROUP_ROWS:
+            yield merged()
+            held, size = [], 0
+    if held:
+        yield merged()
+
+
 def extended(occ: pa.Table, phrases: pa.Table, keep: Bitmap) -> tuple[np.ndarray, ...]:
     """Merge-join of the semi-joined relation with itself: ``piece, at, first code, next code, h`` of phrases one word longer."""
     good = keep.has(phrases["h"].to_numpy())
@@ -156,18 +178,8 @@ def longer(relation: DataFrame, keep: Bitmap, min_count: int) -> DataFrame:
     sent = blocks.sparkSession.sparkContext.broadcast(keep.bits)
 
     def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for body in batch.column(0):
-                held.append(summed(h := extended(*unpack(body.as_py()), Bitmap(sent.value))[4], np.ones(len(h), np.int64)))
-                size += len(held[-1][0])
-                if size > GROUP_ROWS:
-                    h, c = summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-                    held, size = [], 0
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], names=["h", "c"])
-        if held:
-            h, c = summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], names=["h", "c"])
+        keep = Bitmap(sent.value)
+        yield from counted(extended(*unpack(body.as_py()), keep)[4] for batch in batches for body in batch.column(0))
 
     often = blocks.mapInArrow(by_hash, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
     some = blocks.sparkSession.sparkContext.broadcast(bitmap_of(TA.written(often.select("h"), "often")).bits)
