@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.functions.arrays import prefix_sums
+
 from spanlake.functions.text import lstrip
 
 # Repair classes, in the order the shifts are tried.
@@ -71,15 +73,10 @@ def all_occurrences(df: DataFrame, text_col: str = "answer_text", context_col: s
     needle, ctx = F.col(text_col), F.coalesce(F.col(context_col), F.lit(""))
     literal = F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     parts = F.when(needle.isNull() | (needle == ""), F.array(ctx)).otherwise(F.split(ctx, literal, -1))
-    size = F.length(needle).cast("bigint")
-
-    def step(acc: Column, part: Column) -> Column:
-        here = acc["at"] + F.length(part)
-        return F.struct((here + size).alias("at"), F.concat(acc["found"], F.array(here)).alias("found"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("found"))
-    # the last piece follows the last occurrence
-    found = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda acc: acc["found"])
+    # the last piece follows the last occurrence; occurrence i ends where the pieces up to it and i answers end
+    size = F.length(needle)
+    ends = prefix_sums(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda part: F.length(part) + size))
+    found = F.transform(ends, lambda e: (e - size).cast("bigint"))
     hits = F.when(needle.isNull() | (needle == ""), F.array().cast("array<bigint>")).otherwise(found)
     return df.select(id_col, hits.alias("answer_start_list"))
 

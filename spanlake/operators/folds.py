@@ -15,8 +15,11 @@ order, which is what the oracle computes.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.functions.text import order_key
 
@@ -41,12 +44,12 @@ def global_rank(df: DataFrame, order: list[Column | str], strata: list[str] | No
     counts = b.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
-    # the offsets table has at most (#strata x 16^digits) rows: small enough to broadcast; a NULL stratum is a stratum
+    # the offsets have at most (#strata x 16^digits) rows; Spark broadcasts them if that is small; a NULL stratum is a stratum
     same = F.col("_bucket") == F.col("_o_bucket")
     for c in strata:
         same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     offsets = offsets.select(F.col("_bucket").alias("_o_bucket"), "_off", *[F.col(c).alias(f"_o_{c}") for c in strata])
-    j = b.join(F.broadcast(offsets), same)
+    j = b.join(offsets, same)
     return (j.withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
             .drop("_bucket", "_local", "_off", "_o_bucket", *[f"_o_{c}" for c in strata]))
 
@@ -123,32 +126,68 @@ def epoch_batches(df: DataFrame, epoch: int, seed: int, batch_size: int, keys: l
             .drop("_rk", "_okey"))
 
 
-def nth_value(df: DataFrame, col: str, n: int, descending: bool = False) -> tuple[float | int, int] | None:
+def nth_value(df: DataFrame, col: str, n: int, descending: bool = False) -> tuple | None:
     """The exact ``n``-th smallest (largest) value of a numeric column, and how many rows come strictly before it.
 
-    Counts rows in ``BINS`` equal ranges and goes on inside the range that
-    holds row ``n`` until that range is one value: a few aggregates of at most
-    ``BINS`` rows each, whatever the size of the table.  NULL and NaN are not
-    counted; fewer than ``n`` rows give None.
+    Counts rows in ``BINS`` ranges and goes on inside the range that holds row
+    ``n`` until that range is one value: a few aggregates of at most ``BINS``
+    rows each, whatever the size of the table.  Whole numbers and decimals are
+    binned by exact integer arithmetic (keys beyond 2^53 too), floating-point
+    numbers by their value, with the infinities as ranges of their own.  NULL and
+    NaN are not counted; fewer than ``n`` rows give None.  Runs its aggregates
+    when called.
     """
-    x = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull() & ~F.isnan(F.col("x").cast("double")))
-    before = 0
+    kind = df.select(col).schema[0].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+        return _nth_double(x, n, descending)
+    digits = kind.scale if isinstance(kind, T.DecimalType) else 0
+    x = df.select((F.col(col) * F.lit(10 ** digits).cast(f"decimal({digits + 1},0)")).cast("decimal(38,0)").alias("x") if digits
+                  else F.col(col).cast("decimal(38,0)").alias("x")).where(F.col("x").isNotNull())
+    found = _nth_whole(x, n, descending)
+    if found is None:
+        return None
+    value = Decimal(found[0]).scaleb(-digits) if isinstance(kind, T.DecimalType) else found[0]
+    return value, found[1]
+
+
+def _in_order(rows: list, n: int, before: int, descending: bool):
+    """The counted range that holds row ``n``, and how many rows lie before it."""
+    for r in sorted(rows, key=lambda r: r["lo"], reverse=descending):
+        if before + r["n"] >= n:
+            return r, before
+        before += r["n"]
+    return None, before
+
+
+def _nth_whole(x: DataFrame, n: int, descending: bool) -> tuple[int, int] | None:
     lo, hi, total = x.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
     if n < 1 or total < n:
         return None
+    lo, hi, before = int(lo), int(hi), 0
+    big = lambda v: F.lit(Decimal(v)).cast("decimal(38,0)")
+    while lo != hi:
+        width = -(-(hi - lo + 1) // BINS)
+        start = F.col("x") - big(lo)
+        bins = x.where(F.col("x").between(big(lo), big(hi))).groupBy(((start - start % big(width)).cast("decimal(38,0)")).alias("b"))
+        r, before = _in_order(bins.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), n, before, descending)
+        lo, hi = int(r["lo"]), int(r["hi"])
+    return lo, before
+
+
+def _nth_double(x: DataFrame, n: int, descending: bool) -> tuple[float, int] | None:
+    whole = F.when(F.abs("x") == float("inf"), F.col("x")).otherwise(F.lit(0.0))
+    r, before = _in_order(x.groupBy(whole.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), n, 0, descending)
+    if n < 1 or r is None:
+        return None
+    lo, hi = r["lo"], r["hi"]
     while lo != hi:
-        width = (float(hi) - float(lo)) / BINS
         part = x.where(F.col("x").between(F.lit(lo), F.lit(hi)))
-        b = F.least(F.floor((F.col("x").cast("double") - float(lo)) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
-        rows = part.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        rows.sort(key=lambda r: r["b"], reverse=descending)
-        if len(rows) == 1 and (rows[0]["lo"], rows[0]["hi"]) == (lo, hi):  # neighbouring doubles: two values left
-            first, other = (hi, lo) if descending else (lo, hi)
-            ahead = part.where(F.col("x") == F.lit(first)).count()
-            return (first, before) if before + ahead >= n else (other, before + ahead)
-        for r in rows:
-            if before + r["n"] >= n:
-                lo, hi = r["lo"], r["hi"]
-                break
-            before += r["n"]
+        scale = 2.0 ** -14 if max(abs(lo), abs(hi)) > 1e300 else 1.0  # a difference that would pass the largest double
+        width = (hi * scale - lo * scale) / BINS
+        b = F.least(F.floor((F.col("x") * scale - lo * scale) / width), F.lit(BINS - 1)) if width > 0 else F.col("x")
+        r, before = _in_order(part.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), n, before, descending)
+        if (r["lo"], r["hi"]) == (lo, hi):  # the range does not get finer: its few values are counted one by one
+            r, before = _in_order(part.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumns({"lo": F.col("x"), "hi": F.col("x")}).collect(), n, before, descending)
+        lo, hi = r["lo"], r["hi"]
     return lo, before

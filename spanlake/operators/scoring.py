@@ -66,11 +66,11 @@ def lexical_logits(examples: DataFrame, cfg: WindowConfig, include_special: bool
         F.regexp_extract_all(F.col("question"), F.lit(r"(?U)\S+"), 0), F.lower)))
     g = with_geometry(ex, cfg)
     toks = tokenize(g, "id", "context", keep=("q_len", "n_ctx", "capacity", "step", "n_windows", "_qset", *keep),
-                    with_piece=True, outer=True)
+                    with_piece=True, outer=True, with_row=True)
     # an example without context tokens still has one window, of CLS and question rows only
     toks = toks.withColumn("_empty", F.col("pos").isNull()).withColumn("pos", F.coalesce("pos", F.lit(0)))
     toks = toks.withColumn("_f", F.array_contains(F.col("_qset"), F.lower("tok")).cast("int"))
-    doc = Window.partitionBy("id").orderBy("pos")
+    doc = Window.partitionBy("id", "_row").orderBy("pos")  # rows that repeat an id are texts of their own
     for j in range(1, NEIGHBOURS + 1):
         toks = toks.withColumn(f"_a{j}", F.lead("_f", j, 0).over(doc)).withColumn(f"_b{j}", F.lag("_f", j, 0).over(doc))
     wt = explode_windows(toks.where(F.col("n_windows") > 0))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.config import TEST_DECODE, TEST_WINDOW
-from spanlake.functions.text import jaccard
+from spanlake.functions.text import jaccard, pieces
 from spanlake.operators import decode as D
-from spanlake.operators.tokens import longest_first, tokenize
-from spanlake.operators.windows import assembled_lengths, window_labels, window_spans, windowed_tokens
+from spanlake.operators.tokens import char_to_token, longest_first, tokenize
+from spanlake.operators.windows import assembled_lengths, label_windows, window_spans
 from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
@@ -111,11 +111,8 @@ GROUP BY w.id, w.fid, q.answer_start, q.answer_end""")
 
 @register("window_labels", LABEL_SQL)
 def q_window_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ex = X.qa(spark, sf_dir)
-    part = ex.select("id", "context", "question", F.col("answer_start").alias("start_char"),
-                     F.col("answer_end").alias("end_char")).repartition(shuffle_partitions(ex), "id")
-    wt = windowed_tokens(part, W, keep=("start_char", "end_char"))
-    return window_labels(wt)
+    ex = X.qa(spark, sf_dir).select("id", "context", "question", F.col("answer_start").alias("start_char"), F.col("answer_end").alias("end_char"))
+    return label_windows(ex, W)
 
 
 @register("longest_first", O.with_ctes([O.QA_CONV], r"""
@@ -156,15 +153,9 @@ def q_char_to_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer characters -> sequence positions of a ``[CLS] context [SEP] question [SEP]``
     encoding truncated longest-first to 512; positions cut off map to the sentinel 512."""
     ex = longest_first(X.qa(spark, sf_dir), C2T_BUDGET, "context", "question")
-    part = ex.select("id", "context", F.col("a_kept").alias("ctx_kept"), "answer_start",
-                     (F.col("answer_end") - 1).alias("answer_last")).repartition(shuffle_partitions(ex), "id")
-    t = tokenize(part, "id", "context", keep=("ctx_kept", "answer_start", "answer_last"))
-
-    def hit(c: str) -> F.Column:
-        inside = (F.col("ts") <= F.col(c)) & (F.col(c) < F.col("te")) & (F.col("pos") < F.col("ctx_kept"))
-        return F.coalesce(F.min(F.when(inside, F.col("pos") + 1)), F.lit(C2T_BUDGET)).cast("int")
-
-    return t.groupBy("id").agg(hit("answer_start").alias("start_token"), hit("answer_last").alias("end_token"))
+    ex = ex.where(F.size(pieces("context")) > 0).withColumn("answer_last", F.col("answer_end") - 1)
+    t = char_to_token(ex, ["answer_start", "answer_last"], C2T_BUDGET - 1, kept="a_kept")
+    return t.select("id", (F.col("answer_start_token") + 1).cast("int").alias("start_token"), (F.col("answer_last_token") + 1).cast("int").alias("end_token"))
 
 
 # --- scores, top-n, candidates --------------------------------------------------

@@ -1,5 +1,6 @@
 """Layers 2 and 3: properties and defect regressions on hand-written rows (FIXTURES.md §4)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanlake.config import DecodeConfig, WindowConfig
@@ -14,7 +15,7 @@ from spanlake.operators import metrics as M
 from spanlake.operators import runs as R
 from spanlake.operators.scoring import lexical_logits
 from spanlake.operators.tokens import longest_first, tokenize
-from spanlake.operators.windows import sequence_arrays, window_labels, window_spans, windowed_tokens
+from spanlake.operators.windows import label_windows, sequence_arrays, window_labels, window_spans, windowed_tokens
 from spanlake.plans import fixtures as X
 
 
@@ -286,8 +287,12 @@ def test_short_answers_are_covered_and_labelled_spans_contain_them(spark):
                                       F.col("answer_end").alias("end_char"), "answer_text")
     wt = windowed_tokens(ex.drop("answer_text"), cfg, keep=("start_char", "end_char"))
     lab = window_labels(wt).where(F.col("start_position") != 0)
-    covered = lab.select("id").distinct().count()
-    assert covered == ex.count()
+    answered = ex.where("start_char is not null")
+    assert lab.select("id").distinct().count() == answered.count()
+    none = window_labels(wt).join(ex.where("start_char is null"), "id", "left_semi")
+    assert none.where("start_position <> 0 or end_position <> 0").count() == 0 and none.count() > 0
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(label_windows(ex, cfg)) == rows(window_labels(wt).select("id", "feature_idx", "start_position", "end_position"))
     toks = wt.select("id", "feature_idx", "pos", "ts", "te")
     spans = (lab.join(toks.withColumnRenamed("pos", "start_position").withColumnRenamed("te", "_te"),
                       ["id", "feature_idx", "start_position"])
@@ -332,3 +337,72 @@ def test_dice_with_logits_and_ignored_labels(spark):
     out = {r["id"]: (r["ce_s"], r["ce_e"]) for r in L.span_cross_entropy(st).collect()}
     assert out == {1: (0.5, 0.5), 2: (None, 0.5)}
     assert L.span_cross_entropy(st, ignore_index=0).where("ce_e is not null").count() == 0
+
+
+# --- row-local pass, exact selection, occurrences ----------------------------------
+
+def test_repeated_ids_are_scored_by_themselves(spark):
+    rows = [(1, "alpha beta gamma", "beta"), (1, "delta epsilon zeta", "zeta")]
+    ex = spark.createDataFrame(rows, "id long, context string, question string")
+    lg = lexical_logits(ex, WindowConfig(32, 8, 3)).where("is_context").collect()
+    assert len(lg) == 6 and {r["te"] for r in lg} <= {5, 10, 16, 13, 18}
+    hits = {r["tok"]: r["start_logit"] // 1000 for r in lg}
+    # a word's score counts the question's words in it and behind it, of its own row only
+    assert hits == {"alpha": 1, "beta": 1, "gamma": 0, "delta": 1, "epsilon": 1, "zeta": 1}
+
+
+def test_token_arrays_of_long_and_odd_texts(spark):
+    import re
+    from spanlake.functions.arrays import SUM_BLOCK
+    from spanlake.operators.tokens import with_tokens
+    texts = ["", None, "  a\u2003b\n c ", "x " * (3 * SUM_BLOCK + 5), "\u00e9t\u00e9 \U0001f600 z"] + ["w" * (i % 5 + 1) + " y" * i for i in (SUM_BLOCK - 1, SUM_BLOCK, SUM_BLOCK + 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, context string")
+    want = [(i, k, m[0], m.start(), m.end()) for i, t in enumerate(texts) for k, m in enumerate(re.finditer(r"\S+", t or ""))]
+    assert sorted((r["id"], r["pos"], r["tok"], r["ts"], r["te"]) for r in tokenize(df).collect()) == want
+    rows = with_tokens(df).orderBy("id").collect()
+    assert [(r["id"], k, *x) for r in rows for k, x in enumerate(zip(r["toks"] or [], r["ts"] or [], r["te"] or []))] == want
+
+
+def test_char_to_token_searches_the_row(spark):
+    from spanlake.operators.tokens import char_to_token
+    text = "ab  cde f"
+    df = spark.createDataFrame([(c, text) for c in [*range(-1, 11), None]] + [(0, ""), (0, None)], "c int, context string").withColumn("n", F.lit(2))
+    got = [r["c_token"] for r in char_to_token(df, ["c"], 99).collect()]
+    assert got == [99, 0, 0, 99, 99, 1, 1, 1, 99, 2, 99, 99, 99, 99, 99]
+    assert [r["c_token"] for r in char_to_token(df, ["c"], 99, kept="n").collect()].count(2) == 0
+    assert char_to_token(df, ["c"], 99).columns == ["c", "context", "n", "c_token"]
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "decimal(20,2)"])
+def test_nth_value_is_exact(spark, kind):
+    import random
+    from decimal import Decimal
+    r = random.Random(5)
+    inf = float("inf")
+    values = {"long": [2**60 + i for i in range(9)] + [-2**63, 2**63 - 1, 0, 0, -1] + [r.randint(-10**18, 10**18) for _ in range(200)],
+              "double": [1.0, 2.0, 3.0, 4.0, inf, inf, -inf, 1e308, -1.7e308, 5e-324, 0.0, 1.0000000000000002, 1.0] + [r.gauss(0, 1) for _ in range(200)],
+              "decimal(20,2)": [Decimal("123456789012345678.25"), Decimal("123456789012345678.26"), Decimal("-0.01"), Decimal("0.00")] * 3}[kind]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], f"x {kind}")
+    for down in (False, True):
+        ranked = sorted(values, reverse=down)
+        for n in [1, 2, 3, 5, 9, len(values) // 2, len(values) - 1, len(values)]:
+            want = ranked[n - 1]
+            assert FO.nth_value(df, "x", n, down) == (want, sum(v > want if down else v < want for v in values))
+        assert FO.nth_value(df, "x", len(values) + 1, down) is None and FO.nth_value(df, "x", 0, down) is None
+    assert FO.nth_value(df.where("x is null"), "x", 1) is None
+
+
+def test_hard_negatives_with_snowflake_keys_and_infinite_scores(spark):
+    rows = [(2**60 + i, 0, 1.0) for i in range(9)] + [(2**60 + 20 + i, 1, 0.0) for i in range(4)] + [(5, 0, float("-inf")), (6, 0, None)]
+    df = spark.createDataFrame(rows, "k long, y int, s double")
+    kept = {r["k"] for r in L.hard_negatives(df, F.col("y") == 1, "s", 1.0, "k").where("kept").collect()}
+    assert kept == {2**60 + i for i in range(4)} | {2**60 + 20 + i for i in range(4)}
+    up = df.withColumn("s", F.when(F.col("k") == 5, float("inf")).otherwise(F.col("s")))
+    kept = {r["k"] for r in L.hard_negatives(up, F.col("y") == 1, "s", 0.5, "k").where("kept and y = 0").collect()}
+    assert kept == {5, 2**60}
+
+
+def test_many_occurrences_in_one_text(spark):
+    df = spark.createDataFrame([(1, "ab." * 20000, "ab"), (2, "aaaaa", "aa"), (3, "\\E.*\\Q", "\\E"), (4, "x", ""), (5, None, "x")], "id long, context string, answer_text string")
+    got = {r["id"]: r["answer_start_list"] for r in A.all_occurrences(df).collect()}
+    assert got == {1: list(range(0, 60000, 3)), 2: [0, 2], 3: [0], 4: [], 5: []}
