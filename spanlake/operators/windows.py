@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.config import WindowConfig
-from spanlake.functions.arrays import first_above
+from spanlake.functions.arrays import first_above, span
 from spanlake.functions.text import TOKEN, lstrip
 from spanlake.operators.tokens import tokenize, with_tokens
 
@@ -185,10 +185,11 @@ def label_windows(examples: DataFrame, cfg: WindowConfig) -> DataFrame:
     example by binary search, a window only shifts and clips them, so nothing is
     exploded to tokens, shuffled or grouped, and rows that repeat an id stay apart.
     """
-    g = with_tokens(with_geometry(examples, cfg)).where(F.col("n_windows") > 0)
+    g = with_tokens(with_geometry(examples, cfg))
     g = g.withColumns({"_s": first_above(F.col("ts"), F.col("start_char")) - 1, "_e": first_above(F.col("te"), F.col("end_char") - 1)})
     w = g.select("id", "start_char", "end_char", "q_len", "n_ctx", "capacity", "step", "ts", "te", "_s", "_e",
-                 F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("feature_idx"))
+                 # outer: a filter that Spark infers from a plain explode would be computed again below, from the raw texts
+                 F.explode_outer(span(F.lit(0), F.col("n_windows"))).alias("feature_idx"))
     w = w.withColumn("ws", F.col("feature_idx") * F.col("step")).withColumn("we", F.least(F.col("ws") + F.col("capacity"), F.col("n_ctx"))).where("we > ws")
     covered = (F.col("start_char").isNotNull() & (F.get("ts", F.col("ws")) <= F.col("start_char")) & (F.get("te", F.col("we") - 1) >= F.col("end_char")))
     at = lambda i: F.when(covered, F.col("q_len") + 2 + i - F.col("ws")).otherwise(F.lit(0)).cast("int")
