@@ -217,12 +217,12 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     and repeated or null ids all count; an empty table gives no rows; no column
     but the two named ones is read.
     """
-    relation = TA.written(occurrences(docs, text_col, lang_col), "words")
+    relation = TA.written(occurrences(docs, text_col, lang_col), "words", "zstd")
     sizes = relation.where("text is not null").groupBy("lang").agg(F.sum("c").alias("n"))
     counts = []
     for k in range(1, max_words + 1):
         if k > 1:
-            relation = TA.written(longer(relation, bitmap_of(counts[-1]), min_count), f"phrases_{k}")
+            relation = TA.written(longer(relation, bitmap_of(counts[-1]), min_count), f"phrases_{k}", "zstd")
         found = relation.where("text is not null").groupBy("lang", "text").agg(F.sum("c").alias("c"), F.max("h").alias("h"))
         counts.append(TA.written(found.where(F.col("c") >= min_count).withColumn("k", F.lit(k)), f"frequent_{k}"))
     every = counts[0]

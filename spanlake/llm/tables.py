@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from spanlake.session import scratch_dir
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet under the shared checkpoint folder and read again (cuts the lineage)."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
