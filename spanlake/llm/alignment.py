@@ -20,6 +20,7 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -33,7 +34,9 @@ from spanlake.session import shuffle_partitions
 
 BLOCK_BYTES = 4 << 20    # bytes of text whose pairs are counted together
 SHIFT = 32               # a pair is a long: A id in the upper half, B id in the lower one
+END_BITS = 40            # a document's end key is a long: its number in the slice, then the byte where a token ends
 KEPT_CHUNKS = 1 << 19    # chunks whose ids a task remembers; beyond that it starts anew
+TOGETHER = 256           # chunks that the libraries are asked about as one text
 FACTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -55,6 +58,35 @@ class Vocabulary:
     def joined(self, ids: np.ndarray) -> np.ndarray:
         return self.flat[TB.gather_ranges(self.first[ids], self.length[ids])]
 
+    def cut(self, ids: np.ndarray, text: bytes, ends: np.ndarray) -> np.ndarray | None:
+        """How many ids belong to each part of ``text`` (parts end at ``ends``); None if the ids do not spell the parts."""
+        have = np.cumsum(self.length[ids])
+        if not len(ids) or have[-1] != len(text) or self.joined(ids).tobytes() != text:
+            return None
+        last = np.searchsorted(have, ends)
+        return np.diff(last + 1, prepend=0) if (have[last] == ends).all() else None
+
+
+class Grown:
+    """An array that grows at its end; room is doubled, so that all growth together copies each value about twice."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1 << 10, kind), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[:self.size]
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.size + len(more)
+        if need > len(self.room):
+            self.room = np.concatenate((self.values, np.zeros(max(need, 2 * len(self.room)) - self.size, self.room.dtype)))
+        self.room[self.size:need] = more
+        self.size = need
+
 
 class Pair:
     """Both tokenizers inside a task."""
@@ -93,37 +125,83 @@ class Pair:
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.ids, self.sizes = [np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int64)] * 2
+        self.ids, self.sizes, self.firsts = ([Grown(t), Grown(t)] for t in (np.int32, np.int64, np.int64))
 
     def ask(self, texts: list[str]) -> list[list]:
         """Both libraries' ids of texts that begin with the added space."""
         a = self.a.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [[x.ids for x in a], self.b.encode([t[1:] for t in texts], add_bos=False, add_eos=False, num_threads=1) if texts else []]
 
+    def ask_chunks(self, full: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both sides the ids of chunks, end to end in their order, and how many each has.
+
+        Up to ``TOGETHER`` successive plain chunks are asked about as one text,
+        whose ids are cut at the chunks' ends.  Where a side's ids do not spell
+        that text, or one passes over an end, its chunks are asked about singly.
+        """
+        second = full[np.minimum(starts + 1, len(full) - 1)]
+        plain = self.by_chunk & (ends - starts > 1) & (full[starts] == 32) & (second > 32) & (second < 127) & (full[ends - 1] != 32)
+        length = ends - starts
+        laid = full[TB.gather_ranges(starts, length)].tobytes()
+        at = np.concatenate(([0], np.cumsum(length)))
+        joins = np.append(False, plain[1:] & plain[:-1]) if len(plain) else plain
+        place = np.arange(len(plain))
+        joins &= (place - np.maximum.accumulate(np.where(joins, 0, place))) % TOGETHER > 0
+        runs = np.append(np.flatnonzero(~joins), len(plain)).tolist()
+        texts = [laid[at[lo]:at[hi]] for lo, hi in zip(runs[:-1], runs[1:], strict=True)]
+        asked = self.ask([t.decode() for t in texts])
+        ids, sizes = ([], []), ([], [])
+        for r, text in enumerate(texts):
+            lo, hi = runs[r], runs[r + 1]
+            own = [np.asarray(x[r], np.int32) for x in asked]
+            cut = [np.array([len(x)]) if hi - lo == 1 else v.cut(x, text, at[lo + 1:hi + 1] - at[lo])
+                   for v, x in zip((self.a_bytes, self.b_bytes), own, strict=True)]
+            if any(c is None for c in cut):
+                single = self.ask([laid[at[i]:at[i + 1]].decode() for i in range(lo, hi)])
+                own = [np.concatenate([np.asarray(x, np.int32) for x in side]) for side in single]
+                cut = [np.fromiter(map(len, side), np.int64, hi - lo) for side in single]
+            for k in range(2):
+                ids[k].append(own[k])
+                sizes[k].append(cut[k])
+        return [(np.concatenate(i or [np.zeros(0, np.int32)]), np.concatenate(n or [np.zeros(0, np.int64)])) for i, n in zip(ids, sizes, strict=True)]
+
     def encode(self, full: np.ndarray, at: np.ndarray) -> list[pa.ListArray]:
         """Ids of both sides of the texts ``full[at[i]:at[i + 1]]``, each with its added space; empty ones have none."""
         starts = chunks(full, at) if self.by_chunk else at[:-1][np.diff(at) > 0]
         ends = np.append(starts[1:], len(full)) if len(starts) else starts
-        kinds, first, which = np.unique(TB.span_hash(TB.prefix_sums(full), starts, ends), return_index=True, return_inverse=True)
+        which, kinds = pd.factorize(TB.span_hash(TB.prefix_sums(full), starts, ends))
+        first = np.empty(len(kinds), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
         if len(self.known) > KEPT_CHUNKS or not self.by_chunk:
             self.forget()
-        new = [i for i, h in enumerate(kinds.tolist()) if h not in self.known]
-        raw = full.tobytes()
-        asked = self.ask([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        keys = kinds.tolist()
+        new = [i for i, h in enumerate(keys) if h not in self.known]
         base, out = len(self.known), []
-        self.known.update(zip(kinds[new].tolist(), range(base, base + len(new)), strict=True))
-        entry = np.fromiter(map(self.known.__getitem__, kinds.tolist()), np.int64, len(kinds))[which]
-        for side, ids in enumerate(asked):
-            lists = pa.array(ids, pa.list_(pa.int32()))
-            self.ids[side] = np.concatenate((self.ids[side], lists.flatten().to_numpy()))
-            self.sizes[side] = np.concatenate((self.sizes[side], lists.value_lengths().to_numpy()))
-            n = self.sizes[side][entry]
-            flat = self.ids[side][TB.gather_ranges((np.cumsum(self.sizes[side]) - self.sizes[side])[entry], n)]
+        self.known.update((keys[i], base + k) for k, i in enumerate(new))
+        entry = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
+        for side, (ids, sizes) in enumerate(self.ask_chunks(full, starts[first[new]], ends[first[new]])):
+            self.ids[side].extend(ids)
+            at_id = np.cumsum(sizes) - sizes + (len(self.ids[side]) - len(ids))
+            self.sizes[side].extend(sizes)
+            self.firsts[side].extend(at_id)
+            n = self.sizes[side].values[entry]
+            flat = self.ids[side].values[TB.gather_ranges(self.firsts[side].values[entry], n)]
             total = np.concatenate(([0], np.cumsum(n)))
             out.append(pa.ListArray.from_arrays(pa.array(total[np.searchsorted(starts, at)], pa.int32()), pa.array(flat, pa.int32())))
         return out
 
 
+KEPT: dict[bytes, Pair] = {}  # the pair that this worker used last, so that its next tasks need not load it again
+
+
+def kept_pair(a_file: bytes, b_file: bytes) -> Pair:
+    key = hashlib.sha256(hashlib.sha256(a_file).digest() + b_file).digest()
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Pair(a_file, b_file)
+    return KEPT[key]
+
+
 def chunks(full: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Starts of chunks: texts, and single spaces before a printable ASCII character.
 
@@ -181,8 +259,9 @@ def align(pair: Pair, data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str,
     for lists, vocab in ((a, pair.a_bytes), (b, pair.b_bytes)):
         good &= same_bytes(vocab, lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy(), want, want_at)
     ta, tb = flattened(a, pair.a_bytes, good), flattened(b, pair.b_bytes, good)
-    both = ta.select(["text", "end", "i"]).join(tb.select(["text", "end", "i"]).rename_columns(["text", "end", "j"]), ["text", "end"], join_type="inner", use_threads=False)
-    group_text = np.sort(both["text"].to_numpy())
+    keys = [pa.table({"document_end": pc.add(pc.shift_left(t["text"], END_BITS), t["end"]), name: t["i"]}) for t, name in ((ta, "i"), (tb, "j"))]
+    both = keys[0].join(keys[1], "document_end", join_type="inner", use_threads=False)
+    group_text = np.sort(both["document_end"].to_numpy()) >> END_BITS
     sides, groups = [], []
     for t, col in ((ta, "i"), (tb, "j")):
         ends = np.zeros(t.num_rows, np.int64)
@@ -192,11 +271,13 @@ def align(pair: Pair, data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str,
         sides.append(pa.table({"group": pa.array(group), "id": t["id"], "c": pa.array(np.ones(t.num_rows, np.int64))}))
     sizes = [np.bincount(g, minlength=both.num_rows) for g in groups]
     if int(sizes[0] @ sizes[1]) > 2 * sum(map(len, groups)):  # large groups: count repeated ids before they meet
-        sides = [t.group_by(["group", "id"], use_threads=False).aggregate([("c", "sum")]) for t in sides]
-    links = sides[0].rename_columns(["group", "a", "ca"]).join(sides[1].rename_columns(["group", "b", "cb"]), "group", join_type="inner", use_threads=False)
-    text = group_text[links["group"].to_numpy()] if links.num_rows else np.zeros(0, np.int64)
-    ab = pc.add(pc.multiply(links["a"], 1 << SHIFT), links["b"])
-    links = pa.table({"text": pa.array(text), "ab": ab, "m": pc.multiply(links["ca"], links["cb"])})
+        sides = [t.group_by(["group", "id"], use_threads=False).aggregate([("c", "sum")]).rename_columns(["group", "id", "c"]).sort_by("group") for t in sides]
+    ga, gb = sides[0]["group"].to_numpy(), sides[1]["group"].to_numpy()
+    per_group = np.bincount(gb, minlength=both.num_rows)  # B's rows of a group lie together: each A row meets that range
+    from_a = np.repeat(np.arange(len(ga)), per_group[ga])
+    from_b = TB.gather_ranges((np.cumsum(per_group) - per_group)[ga], per_group[ga])
+    (a_id, a_c), (b_id, b_c) = ([t[c].to_numpy()[i] for c in ("id", "c")] for t, i in zip(sides, (from_a, from_b), strict=True))
+    links = pa.table({"text": group_text[ga[from_a]], "ab": (a_id << SHIFT) + b_id, "m": a_c * b_c})
     links = links.group_by(["text", "ab"], use_threads=False).aggregate([("m", "sum")]).rename_columns(["text", "ab", "m"])
     count = lambda rows, weight=None: np.bincount(rows, weight, n)[:n].astype(np.int64)
     total = np.zeros(n, np.int64)
@@ -265,17 +346,15 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, *, id_col: str =
         with open(path, "rb") as f:
             files.append(f.read())
     sent = spark.sparkContext.broadcast(tuple(files))  # a few megabytes, whatever the corpus
-    made: list[Pair] = []
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = src.schema[0].dataType.simpleString()
     facts_type = f"array<struct<{', '.join(f'{c}: bigint' for c in FACTS)}, groups_sha256: string>>".replace(" ", "")
     columns = ["block", "pair", "ab", "texts", "ids", "facts", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Pair(*sent.value))
+        pair = kept_pair(*sent.value)
         block = TaskContext.get().partitionId() << 32
-        for held in filled(made[0], batches):
+        for held in filled(pair, batches):
             yield from block_rows(block, held, columns)
             block += 1
 
