@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 from spanlake.config import TEST_WINDOW
 from spanlake.operators import align as A
 from spanlake.operators import folds as FO
-from spanlake.operators.windows import window_labels, window_spans, windowed_tokens
+from spanlake.operators.features import feature_table, project_features
+from spanlake.operators.windows import window_spans
 from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
-from spanlake.session import scratch_dir, shuffle_partitions
+from spanlake.session import scratch_dir
 from spanlake.sources import files as S
 from spanlake.sources.tables import table
 
@@ -272,20 +273,60 @@ def q_feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     example key, ``test`` drops the labels; counted here as rows and labelled rows.
     """
     f = _folded(spark, sf_dir)
-    part = f.select("id", "context", "question", "kfold", F.col("answer_start").alias("start_char"),
-                    F.col("answer_end").alias("end_char")).repartition(shuffle_partitions(f), "id")
-    wt = windowed_tokens(part, W, keep=("kfold", "start_char", "end_char"))
-    lab = window_labels(wt).join(part.select("id", "kfold"), "id")
-    train, valid = FO.split_by_fold(lab, VALID_FOLD)
-    labelled = F.count(F.when(F.col("start_position") != 0, 1))
-    return (
-        train.groupBy(F.lit("train").alias("split"), F.lit("train").alias("mode"))
-        .agg(F.count(F.lit(1)).alias("n_rows"), labelled.alias("n_labelled"))
-        .unionByName(valid.groupBy(F.lit("valid").alias("split"), F.lit("valid").alias("mode"))
-                     .agg(F.count(F.lit(1)).alias("n_rows"), labelled.alias("n_labelled")))
-        .unionByName(valid.groupBy(F.lit("valid").alias("split"), F.lit("test").alias("mode"))
-                     .agg(F.count(F.lit(1)).alias("n_rows"), F.lit(None).cast("bigint").alias("n_labelled")))
-    )
+    feats = feature_table(_with_chars(f), W, keep=("kfold",)).where(F.array_contains("sequence_ids", 1))
+    split = F.when(F.col("kfold") == VALID_FOLD, "valid").otherwise("train")
+    counts = feats.groupBy(split.alias("split")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("start_position") != 0, 1)).alias("n_labelled"))
+    read_by = F.when(F.col("split") == "valid", F.array(F.lit("valid"), F.lit("test"))).otherwise(F.array(F.lit("train")))
+    modes = counts.select("split", "n_rows", "n_labelled", F.explode(read_by).alias("mode"))
+    return modes.select("split", "mode", "n_rows", F.when(F.col("mode") != "test", F.col("n_labelled")).alias("n_labelled"))
+
+
+def _with_chars(examples: DataFrame) -> DataFrame:
+    return examples.withColumn("start_char", F.col("answer_start")).withColumn("end_char", F.col("answer_end"))
+
+
+FEATURE_TABLE_SQL = O.with_ctes(QA_BASE + O.logits_ctes("qa", W, False)[:4] + [r"""
+qtok AS (
+  SELECT id, list(tok ORDER BY pos) AS qt, list((te - length(tok)) || ':' || te ORDER BY pos) AS qo FROM (
+    SELECT id, pos, regexp_extract(piece, '\S+') AS tok,
+           CAST(sum(length(piece)) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS te
+    FROM (SELECT id, unnest(x) AS piece, generate_subscripts(x, 1) - 1 AS pos
+          FROM (SELECT id, regexp_extract_all(question, '\s*\S+') AS x FROM qa) q0) q1) q2 GROUP BY id
+)""", """
+feat AS (
+  SELECT w.id, w.fid, count(c.p) AS n, coalesce(list(c.tok ORDER BY c.p) FILTER (WHERE c.p IS NOT NULL), []) AS ct,
+         coalesce(list(c.ts || ':' || c.te ORDER BY c.p) FILTER (WHERE c.p IS NOT NULL), []) AS co,
+         CASE WHEN min(c.ts) <= min(f.answer_start) AND max(c.te) >= min(f.answer_end)
+              THEN max(CASE WHEN c.ts <= f.answer_start THEN c.pos END) ELSE 0 END AS start_position,
+         CASE WHEN min(c.ts) <= min(f.answer_start) AND max(c.te) >= min(f.answer_end)
+              THEN min(CASE WHEN c.te >= f.answer_end THEN c.pos END) ELSE 0 END AS end_position
+  FROM wins w JOIN qa f ON w.id = f.id LEFT JOIN wtok c ON c.id = w.id AND c.fid = w.fid GROUP BY w.id, w.fid
+)"""], f"""
+SELECT w.id AS example_id, CAST(w.fid AS INTEGER) AS feature_idx,
+  md5(array_to_string(list_concat(list_concat(['<s>'], coalesce(q.qt, [])), list_concat(list_concat(['</s>'], w.ct), ['</s>']),
+      list_transform(range({W.max_len - W.n_special} - g.q_len - w.n), lambda i: '<pad>')), ' ')) AS tokens_md5,
+  md5(repeat('1', CAST(g.q_len + w.n + {W.n_special} AS INTEGER)) || repeat('0', CAST({W.max_len - W.n_special} - g.q_len - w.n AS INTEGER))) AS mask_md5,
+  md5(array_to_string(list_concat(list_concat(['0:0'], coalesce(q.qo, [])), list_concat(list_concat(['0:0'], w.co), ['0:0']),
+      list_transform(range({W.max_len - W.n_special} - g.q_len - w.n), lambda i: '0:0')), ' ')) AS offsets_md5,
+  md5(repeat('0', CAST(g.q_len + 2 AS INTEGER)) || repeat('1', CAST(w.n AS INTEGER))
+      || repeat('0', CAST({W.max_len - W.n_special + 1} - g.q_len - w.n AS INTEGER))) AS sequence_md5,
+  CAST(start_position AS INTEGER) AS start_position, CAST(end_position AS INTEGER) AS end_position,
+  md5(f.context) AS context_md5, md5(f.question) AS question_md5
+FROM feat w JOIN geo g ON g.id = w.id JOIN qa f ON f.id = w.id LEFT JOIN qtok q ON q.id = w.id""")
+
+
+@register("feature_table", FEATURE_TABLE_SQL)
+def q_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F11 + F3 + F9 + P10: the ``valid`` projection of the feature table, every column by content."""
+    feats = project_features(feature_table(_with_chars(X.qa(spark, sf_dir)), W), "valid", keep=("feature_idx",))
+    offsets = F.transform("offset_mapping", lambda o: F.concat_ws(":", o["start"].cast("string"), o["end"].cast("string")))
+    return feats.select(
+        "example_id", "feature_idx", F.md5(F.concat_ws(" ", "tokens")).alias("tokens_md5"),
+        F.md5(F.concat_ws("", F.col("attention_mask").cast("array<string>"))).alias("mask_md5"),
+        F.md5(F.concat_ws(" ", offsets)).alias("offsets_md5"),
+        F.md5(F.concat_ws("", F.col("sequence_ids").cast("array<string>"))).alias("sequence_md5"),
+        "start_position", "end_position", F.md5("context").alias("context_md5"), F.md5("question").alias("question_md5"))
 
 
 BATCH = 16
