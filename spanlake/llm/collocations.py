@@ -51,9 +51,14 @@ def hash_texts(texts: pa.Array) -> np.ndarray:
 
 
 def pack(occurrences: pa.Table, phrases: pa.Table) -> bytes:
-    """Both tables of a block as compressed Arrow streams, laid end to end behind the first one's length."""
+    """Both tables of a block as compressed Arrow streams, laid end to end behind the first one's length.
+
+    Pieces and positions ascend, so their steps are kept, which mostly are 0 and 1.
+    """
     parts = []
-    for t in (occurrences, phrases):
+    steps = [np.diff(occurrences[c].to_numpy(), prepend=0) for c in ("piece", "at")]
+    small = pa.table([pa.array(x, pa.int32()) for x in (*steps, occurrences["code"].to_numpy())], names=["piece", "at", "code"])
+    for t in (small, phrases):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(t)
@@ -63,11 +68,22 @@ def pack(occurrences: pa.Table, phrases: pa.Table) -> bytes:
 
 def unpack(body: bytes) -> tuple[pa.Table, pa.Table]:
     n = int.from_bytes(body[:8], "little")
-    return pa.ipc.open_stream(pa.py_buffer(body[8:8 + n])).read_all(), pa.ipc.open_stream(pa.py_buffer(body[8 + n:])).read_all()
+    small, phrases = (pa.ipc.open_stream(pa.py_buffer(x)).read_all() for x in (body[8:8 + n], body[8 + n:]))
+    ascending = [np.cumsum(small[c].to_numpy(), dtype=np.int64) for c in ("piece", "at")]
+    return pa.table([*ascending, small["code"].to_numpy().astype(np.int64)], names=["piece", "at", "code"]), phrases
+
+
+def last_hashes(phrases: pa.Table) -> np.ndarray:
+    """Fingerprints of the phrases' last words (of the words themselves in ``R1``)."""
+    return phrases["last_h" if "last_h" in phrases.column_names else "h"].to_numpy()
+
+
+def last_words(phrases: pa.Table) -> pa.Array:
+    return pc.replace_substring_regex(phrases["text"].combine_chunks(), "(?s)^.* ", "")
 
 
 def word_relation(data: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> tuple[pa.Table, pa.Table]:
-    """``R1`` of a slice: occurrences ``piece, at, code`` in order and the words ``lang, text, h, last, last_h`` that codes point to."""
+    """``R1`` of a slice: occurrences ``piece, at, code`` in order and the words ``lang, text, h`` that codes point to."""
     data = TB.LOWER[data]
     starts, ends, rows = TB.words(data, offsets, BETWEEN)
     piece = np.cumsum(PIECE_END[data])[starts] + rows if len(starts) else starts
@@ -82,7 +98,7 @@ def word_relation(data: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> tup
     h = TB.mix(hash_texts(text) + hash_texts(lang) * U64(3))
     h = pa.array(h.view(np.int64))
     occ = pa.table({"piece": pa.array(piece, pa.int64()), "at": pa.array(np.arange(len(starts)), pa.int64()), "code": pa.array(code, pa.int64())})
-    return occ, pa.table({"lang": lang.cast(pa.string()), "text": text, "h": h, "last": text, "last_h": h})
+    return occ, pa.table({"lang": lang.cast(pa.string()), "text": text, "h": h})
 
 
 class Bitmap:
@@ -140,7 +156,7 @@ def extended(occ: pa.Table, phrases: pa.Table, keep: Bitmap) -> tuple[np.ndarray
     piece, at, code = occ["piece"].to_numpy()[some], occ["at"].to_numpy()[some], code[some]
     next_to = np.flatnonzero((piece[1:] == piece[:-1]) & (at[1:] == at[:-1] + 1))
     a, b = code[next_to], code[next_to + 1]
-    h = TB.mix(phrases["h"].to_numpy().view(U64)[a] * U64(0x9E3779B97F4A7C15) + phrases["last_h"].to_numpy().view(U64)[b])
+    h = TB.mix(phrases["h"].to_numpy().view(U64)[a] * U64(0x9E3779B97F4A7C15) + last_hashes(phrases).view(U64)[b])
     return piece[next_to], at[next_to], a, b, h.view(np.int64)
 
 
@@ -161,19 +177,20 @@ def occurrences(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.col(lang_col).cast("string").alias("lang"), text_col).mapInArrow(run, COUNTS)
 
 
-def block_rows(occ: pa.Table, phrases: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Output rows of a block: its relation, then its counts."""
+def block_rows(occ: pa.Table, phrases: pa.Table, extend: bool = True) -> Iterator[pa.RecordBatch]:
+    """Output rows of a block: its relation, if that is to be extended, then its counts."""
     names = ["body", "lang", "text", "h", "c"]
     if not occ.num_rows:
         return
-    yield pa.RecordBatch.from_arrays([pa.array([pack(occ, phrases)], pa.binary()), *(pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=names)
+    if extend:
+        yield pa.RecordBatch.from_arrays([pa.array([pack(occ, phrases)], pa.binary()), *(pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=names)
     count = np.bincount(occ["code"].to_numpy(), minlength=phrases.num_rows)
     t = pa.table([pa.nulls(phrases.num_rows, pa.binary()), phrases["lang"], phrases["text"], phrases["h"], pa.array(count, pa.int64())], names=names)
     yield from t.combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
-def longer(relation: DataFrame, keep: Bitmap, min_count: int) -> DataFrame:
-    """The relation of phrases one word longer than those of ``relation``, with its block counts; same columns."""
+def longer(relation: DataFrame, keep: Bitmap, min_count: int, extend: bool) -> DataFrame:
+    """The relation of phrases one word longer than those of ``relation`` (kept if it is to be extended again), with its block counts; same columns."""
     blocks = relation.where("body is not null").select("body")
     sent = blocks.sparkSession.sparkContext.broadcast(keep.bits)
 
@@ -193,9 +210,9 @@ def longer(relation: DataFrame, keep: Bitmap, min_count: int) -> DataFrame:
                 piece, at, a, b, h = (x[ok] for x in (piece, at, a, b, h))
                 _, first, code = np.unique(a * max(1, phrases.num_rows) + b, return_index=True, return_inverse=True)
                 left, right = phrases.take(pa.array(a[first])), phrases.take(pa.array(b[first]))
-                text = pc.binary_join_element_wise(left["text"].combine_chunks(), right["last"].combine_chunks(), " ")
-                table = pa.table({"lang": left["lang"], "text": text, "h": pa.array(h[first]), "last": right["last"], "last_h": right["last_h"]})
-                yield from block_rows(pa.table({"piece": pa.array(piece), "at": pa.array(at), "code": pa.array(code, pa.int64())}), table.combine_chunks())
+                text = pc.binary_join_element_wise(left["text"].combine_chunks(), last_words(right), " ")
+                table = pa.table({"lang": left["lang"], "text": text, "h": pa.array(h[first]), "last_h": pa.array(last_hashes(right))})
+                yield from block_rows(pa.table({"piece": pa.array(piece), "at": pa.array(at), "code": pa.array(code, pa.int64())}), table.combine_chunks(), extend)
 
     return blocks.mapInArrow(by_text, COUNTS)
 
@@ -222,7 +239,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     counts = []
     for k in range(1, max_words + 1):
         if k > 1:
-            relation = TA.written(longer(relation, bitmap_of(counts[-1]), min_count), f"phrases_{k}", "zstd")
+            relation = TA.written(longer(relation, bitmap_of(counts[-1]), min_count, k < max_words), f"phrases_{k}", "zstd")
         found = relation.where("text is not null").groupBy("lang", "text").agg(F.sum("c").alias("c"), F.max("h").alias("h"))
         counts.append(TA.written(found.where(F.col("c") >= min_count).withColumn("k", F.lit(k)), f"frequent_{k}"))
     every = counts[0]
