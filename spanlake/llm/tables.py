@@ -60,17 +60,52 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
+EDGES = 1 << 20   # links whose forest one task builds at a time (16 MB)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """``u, v`` (u > v): for every ``EDGES`` links ``u, v`` of a task, those from each node to the smallest of its tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, EDGES):
+                part = batch.slice(lo, EDGES)
+                if size + part.num_rows > EDGES:
+                    yield forest(held)
+                    held, size = [], 0
+                held.append(part)
+                size += part.num_rows
+        if held:
+            yield forest(held)
+
+    def forest(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (0, 1))
+        nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        trees = Forest(len(nodes))
+        for x, y in zip(at[:len(u)].tolist(), at[len(u):].tolist(), strict=True):
+            trees.join(x, y)
+        stars = np.array(trees.stars(), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[stars[:, 0]]), pa.array(nodes[stars[:, 1]])], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of undirected ``a, b`` edges of longs.
 
-    Alternates large-star and small-star steps until every component is a star;
-    each round is two equi-joins and minimum aggregates over the edges, cut by a
-    written table.  A node of very many edges is pre-aggregated before its
-    shuffle and its join side can be split.  Null ends and self loops are
-    ignored; no edges give no rows.
+    Every task first replaces its links by a forest.  While more than ``EDGES``
+    are left, large-star and small-star steps alternate, each round two
+    equi-joins and minimum aggregates, contracted in its tasks and cut by a
+    written table; the last ``EDGES`` or fewer meet in one task.  A node of
+    very many edges is pre-aggregated before its shuffle and its join side can
+    be split.  Null ends and self loops are ignored; no edges give no rows.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = written(contracted(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
     for _ in range(max_rounds):
+        if e.count() <= EDGES:
+            e = written(contracted(e.coalesce(1)), "stars")
+            break
         if _is_star_forest(e):
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -78,7 +113,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(low.select("u", F.col("m").alias("v")).unionByName(hung).distinct(), "edges")
+        e = written(contracted(low.select("u", F.col("m").alias("v")).unionByName(hung).distinct()), "edges")
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
