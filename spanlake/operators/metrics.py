@@ -43,14 +43,15 @@ def count_by_primary(df: DataFrame, primary: str, lang: str = "language") -> Dat
     return df.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def meter(df: DataFrame, key: str, seq: str, val: str = "val", n: str = "n", seeded_bounds: bool = True) -> DataFrame:
-    """The reference's average meter as one aggregate per key.
+def meter(df: DataFrame, key: str | list[str], seq: str, val: str = "val", n: str = "n", seeded_bounds: bool = True) -> DataFrame:
+    """The reference's average meter as one aggregate per key (a column or several).
 
     ``last`` = value of the last update, ``sum = sum(val * n)``, ``count = sum(n)``,
     ``avg = sum / count``; with ``seeded_bounds`` the maximum starts at 0 and the
     minimum at 1e5, as in the reference.
     """
-    agg = df.groupBy(key).agg(
+    keys = [key] if isinstance(key, str) else key
+    agg = df.groupBy(*keys).agg(
         F.max_by(val, seq).alias("last"),
         F.sum(F.col(val) * F.col(n)).alias("sum"),
         F.sum(n).alias("count"),
@@ -60,7 +61,7 @@ def meter(df: DataFrame, key: str, seq: str, val: str = "val", n: str = "n", see
     mx = F.greatest(F.col("_max"), F.lit(0.0)) if seeded_bounds else F.col("_max")
     mn = F.least(F.col("_min"), F.lit(1e5)) if seeded_bounds else F.col("_min")
     return agg.select(
-        key,
+        *keys,
         F.round("last", ROUND).alias("last"),
         F.round(F.col("sum") / F.col("count"), ROUND).alias("avg"),
         F.round("sum", ROUND).alias("sum"),

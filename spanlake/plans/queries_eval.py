@@ -20,8 +20,8 @@ from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
 from spanlake.operators.scoring import lexical_logits
-from spanlake.plans.composite import lexical_logits_for
-from spanlake.session import shuffle_partitions
+from spanlake.plans.composite import lexical_logits_for, lexical_predictions
+from spanlake.session import scratch_dir, shuffle_partitions
 from spanlake.sources.tables import table
 
 W, DC = TEST_WINDOW, TEST_DECODE
@@ -515,3 +515,26 @@ def q_stream_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2: documents as a file stream -> qa examples -> offset repair, parquet sink."""
     return ST.run_append_to_table(ST.stream_align(ST.file_stream(spark, sf_dir, "documents")), spark, "stream-align")
+
+
+@register("stream_meter_windows", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, round(arg_max(value, event_id), 6) AS last,
+       round(sum(value * (1 + event_id % 4)) / sum(1 + event_id % 4), 6) AS avg,
+       round(sum(value * (1 + event_id % 4)), 6) AS sum, CAST(sum(1 + event_id % 4) AS BIGINT) AS count,
+       round(greatest(max(value), 0.0), 6) AS max, round(least(min(value), 100000.0), 6) AS min
+FROM events WHERE ts IS NOT NULL GROUP BY ALL""")
+def q_stream_meter_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 in event time: weighted meter per day and type, update mode, state dropped behind the watermark."""
+    e = ST.file_stream(spark, sf_dir, "events").withColumn("val", F.col("value")).withColumn("n", (F.lit(1) + F.col("event_id") % 4).cast("bigint"))
+    rows = ST.run_each_batch(ST.stream_window_meter(e), spark, scratch_dir(spark, "stream-windows"), mode="update")
+    rows = ST.latest_rows(rows, ["window", "event_type"])
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86400).cast("int")).cast("string")
+    return rows.select(day.alias("day"), *[c for c in rows.columns if c != "window"])
+
+
+@register("stream_decode", O.with_ctes(QA_BASE + O.decode_ctes("qa", W, DC), "SELECT id, prediction, score FROM pred"))
+def q_stream_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 and J1 on a stream: each micro-batch of documents is featurised, scored and decoded."""
+    decoded = ST.run_each_batch(ST.file_stream(spark, sf_dir, "documents"), spark, scratch_dir(spark, "stream-decode"),
+                                lambda batch: lexical_predictions(X.qa_from_documents(batch), W, DC))
+    return decoded.drop("batch")

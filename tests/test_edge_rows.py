@@ -312,6 +312,52 @@ def test_stream_meter_equals_batch(spark):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_window_meter_over_several_batches(spark, tmp_path):
+    """A row behind the watermark is left out, one within it counts; a second run goes on from the first one's progress."""
+    from spanlake.streaming import meter as ST
+    schema = "event_type string, ts timestamp, event_id long, val double, n long"
+    parts = [[("a", "2024-01-01 10:00:00", 1, 2.0, 1), ("b", "2024-01-01 11:00:00", 2, 5.0, 2), (None, "2024-01-01 12:00:00", 3, 1.0, 1)],
+             [("a", "2024-01-01 01:00:00", 4, -3.0, 3), ("a", "2024-01-09 10:00:00", 5, 7.0, 1), ("a", None, 6, 9.0, 1)],
+             [("a", "2024-01-01 23:00:00", 7, 100.0, 1), ("b", "2024-01-09 02:00:00", 8, 4.0, 1)]]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(rows):
+        df = spark.createDataFrame(rows, schema.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        return ST.latest_rows(ST.run_each_batch(ST.stream_window_meter(stream), spark, out, mode="update"), ["window", "event_type"])
+
+    arrive(parts[0])
+    assert run().count() == 3
+    arrive(parts[1])
+    run()
+    arrive(parts[2])
+    got = run()
+    in_time = spark.createDataFrame([r for p in parts for r in p if r[2] != 7], schema.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts"))
+    want = ST.stream_window_meter(in_time)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert got.where("event_type = 'a' and last = -3.0 and count = 4").count() == 1
+
+
+def test_a_repeated_batch_is_written_once(spark, tmp_path):
+    import shutil
+    from spanlake.plans.composite import lexical_predictions
+    from spanlake.streaming import meter as ST
+    from tests.conftest import SF_SMALL
+    out, other = str(tmp_path / "out"), str(tmp_path / "other")
+    decode = lambda batch: lexical_predictions(X.qa_from_documents(batch.where("doc_id < 20")), WindowConfig(), DecodeConfig())
+    docs = ST.file_stream(spark, SF_SMALL, "documents")
+    first = sorted(map(tuple, ST.run_each_batch(docs, spark, out, decode).collect()))
+    # as if the session had ended after the write and before the commit
+    shutil.copytree(out, other, ignore=shutil.ignore_patterns("commits"))
+    again = sorted(map(tuple, ST.run_each_batch(docs, spark, other, decode).collect()))
+    batch = sorted(map(tuple, decode(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).collect()))
+    assert first == again and [r[:-1] for r in first] == batch and len(batch) == 20
+
+
 def test_unique_ids_are_required_or_made(spark):
     import pytest
     df = spark.createDataFrame([(1, 2), (1, 1), (2, 5)], "id long, v long")
