@@ -303,7 +303,8 @@ def near_duplicates(docs: DataFrame, sim: Similarity, *, id_col: str = "doc_id",
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = features(src, ["id"], "text", sim, hashes, width).withColumn("uid", F.monotonically_increasing_id())
     base = TA.written(base, "sets")
-    by_set = base.where("n > 0").groupBy("n", "fa", "fb").agg(F.min("uid").alias("uid"))
+    by_set = base.where("n > 0").groupBy("n", "fa", "fb").agg(F.min("uid").alias("uid"), F.count("*").alias("c"), F.min("id").alias("least"))
+    by_set = TA.written(by_set, "by-set")
     classes = TA.written(base.join(by_set.select("uid"), "uid", "left_semi"), "classes")
     sides = classes.select("uid", F.slice("keys", 1, tables).alias("l"), F.slice("keys", tables + 1, tables).alias("r"))
     keys = sides.select("uid", "r", F.posexplode("l").alias("i", "lk")).select("uid", "i", "lk", F.posexplode("r").alias("j", "rk"))
@@ -333,13 +334,18 @@ def same_set(rows: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def group_rows(base: DataFrame, by_set: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """Component of every row, from its set's class and the components of classes."""
-    rows = base.select("id", "n", "fa", "fb", F.col("uid").alias("row"))
-    full = rows.where("n > 0").join(by_set.withColumnRenamed("uid", "class"), ["n", "fa", "fb"])
-    full = full.join(found.withColumnRenamed("node", "class"), "class", "left")
-    full = full.select("id", "n", F.coalesce("component", "class").alias("group"))
-    first = full.groupBy("group").agg(F.min("id").alias("component_id"))
-    out = full.join(first, "group").select("id", "n", "component_id")
+    """Component of every row, from its set's class and the components of classes.
+
+    ``by_set``: one row per different set, with its class ``uid``, its number of
+    rows ``c`` and its ``least`` id; classes learn their group's id first, rows
+    from their class, so that copies by the thousand make no hot task.
+    """
+    rows = base.select("id", "n", "fa", "fb")
+    linked = by_set.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("group", F.coalesce("component", "uid"))
+    linked = TA.written(linked.select("n", "fa", "fb", "c", "least", "group"), "linked")
+    first = TA.written(linked.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "first")
+    values = TA.lookup(linked.drop("least"), first, ["group"], "size").drop("group", "size")
+    out = TA.lookup(rows.where("n > 0"), TA.written(values, "values"), ["n", "fa", "fb"], "c").select("id", "n", "component_id")
     out = out.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     kept = F.col("id").eqNullSafe(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
@@ -351,5 +357,8 @@ def drop_near_duplicates(docs: DataFrame, sim: Similarity, *, id_col: str = "doc
     An id stays if any of its rows is kept; rows without an id count as one id.
     """
     groups = near_duplicates(docs, sim, id_col=id_col, text_col=text_col)
-    gone = groups.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("_gone")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    name = "_gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = groups.groupBy(F.col(id_col).alias(name)).agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select(name)
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")
