@@ -1,7 +1,7 @@
 """ST1 / ST2 / M3: streaming forms of the meter, the row-level repairs and the decoder.
 
-Sources are file streams over a shared folder (``pathGlobFilter`` picks one
-table); sinks and checkpoints live under the session's checkpoint folder, so a
+Sources are file streams over a shared folder (one table's file or folder of
+files); sinks and checkpoints live under the session's checkpoint folder, so a
 restarted query resumes from its checkpoint instead of recomputing.
 """
 
@@ -19,11 +19,17 @@ from spanlake.plans.fixtures import qa_from_documents
 from spanlake.session import scratch_dir
 
 
-def file_stream(spark: SparkSession, folder: str, table_name: str, max_files: int = 1) -> DataFrame:
-    """A streaming read of ``<folder>/<table_name>.parquet`` with the batch schema."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{table_name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table_name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(folder))
+def file_stream(spark: SparkSession, folder: str, table_name: str, max_files: int | None = None) -> DataFrame:
+    """A streaming read of ``<folder>/<table_name>.parquet``, one file or a folder of files, with the batch schema.
+
+    A micro-batch takes what has arrived, or at most ``max_files`` files.
+    """
+    path = f"{folder.rstrip('/')}/{table_name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files:
+        stream = stream.option("maxFilesPerTrigger", max_files)
+    # a pattern that only this name fits: a stream takes a plain path for a folder, a pattern for whatever it finds
+    return stream.parquet(f"{path[:-1]}[t]")
 
 
 def stream_meter(events: DataFrame, key: str = "event_type", val: str = "value") -> DataFrame:
