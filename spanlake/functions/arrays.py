@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUM_BLOCK = 16  # elements summed together before blocks are laid end to end
@@ -15,6 +15,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
 
 
+def evaluated(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds ``cols``, each computed once per row whatever is done with them later.
+
+    A filter on a computed column is moved below it with the whole expression
+    written out at every place that names it; generated columns stay as they are.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def span(lo: Column, hi: Column) -> Column:
     """Integers ``lo .. hi - 1`` (none if ``hi <= lo``)."""
     return F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.config import WindowConfig
-from spanlake.functions.arrays import first_above, span
+from spanlake.functions.arrays import evaluated, first_above, span
 from spanlake.functions.text import TOKEN, lstrip
 from spanlake.operators.tokens import tokenize, with_tokens
 
@@ -37,11 +37,10 @@ def with_geometry(examples: DataFrame, cfg: WindowConfig) -> DataFrame:
     The question is left-stripped first (P11).  Examples whose question leaves
     no room for ``stride`` (``step <= 0``) get ``n_windows = 0``.
     """
-    q_toks = F.regexp_extract_all(lstrip(F.col("question")), F.lit(TOKEN), 0)
+    out = evaluated(examples, q_toks=F.regexp_extract_all(lstrip(F.col("question")), F.lit(TOKEN), 0),
+                    n_ctx=F.regexp_count(F.col("context"), F.lit(TOKEN)))
     out = (
-        examples.withColumn("q_toks", q_toks)
-        .withColumn("q_len", F.size("q_toks"))
-        .withColumn("n_ctx", F.regexp_count(F.col("context"), F.lit(TOKEN)))
+        out.withColumn("q_len", F.size("q_toks"))
         .withColumn("capacity", F.lit(cfg.max_len - cfg.n_special) - F.col("q_len"))
         .withColumn("step", F.col("capacity") - F.lit(cfg.stride))
     )
@@ -125,15 +124,17 @@ def sequence_arrays(examples: DataFrame, cfg: WindowConfig, cls: str = "<s>", se
     1 for context).
     """
     g = with_geometry(examples, cfg)
-    ctx_toks = F.regexp_extract_all(F.col("context"), F.lit(TOKEN), 0)
-    w = (
-        g.where(F.col("n_windows") > 0)
-        .select("id", "context", "q_toks", "q_len", "n_ctx", "capacity", "step",
-                F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("feature_idx"))
-        .withColumn("ws", F.col("feature_idx") * F.col("step"))
-        .withColumn("ctx_len", F.least(F.col("ws") + F.col("capacity"), F.col("n_ctx")) - F.col("ws"))
-    )
-    ctx = F.slice(ctx_toks, F.col("ws") + 1, F.col("ctx_len"))
+    # a text is cut once, not once a window, and a window takes only its own tokens along
+    g = g.where(F.col("n_windows") > 0).select("id", "q_toks", "q_len", "n_ctx", "capacity", "step", "n_windows",
+                                               F.regexp_extract_all(F.col("context"), F.lit(TOKEN), 0).alias("ctx_toks"))
+
+    def window(i: Column) -> Column:
+        ws = i * F.col("step")
+        n = F.least(ws + F.col("capacity"), F.col("n_ctx")) - ws
+        return F.struct(i.alias("feature_idx"), n.alias("ctx_len"), F.slice(F.col("ctx_toks"), ws + 1, n).alias("ctx"))
+
+    w = g.select("id", "q_toks", "q_len", F.inline_outer(F.transform(F.sequence(F.lit(0), F.col("n_windows") - 1), window)))
+    ctx = F.col("ctx")
     real = F.col("q_len") + F.col("ctx_len") + F.lit(cfg.n_special)
     n_pad = F.greatest(F.lit(cfg.max_len) - real, F.lit(0))
     seq = F.concat(F.array(F.lit(cls)), F.col("q_toks"), F.array(F.lit(sep)), ctx, F.array(F.lit(sep)),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.functions.arrays import let
 from spanlake.functions.text import TOKEN, pieces
 from spanlake.sources.tables import table
 
@@ -40,25 +41,25 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_from_documents(documents: DataFrame) -> DataFrame:
     """:func:`qa` over any documents frame (batch or streaming; row-local only)."""
     d = documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.col("text").alias("context"))
-    d = d.withColumn("_p", pieces("context")).withColumn("n_tok", F.size("_p"))
-    k = F.floor(F.col("n_tok") / 2).cast("int")
-    d = d.withColumn("k", k.cast("bigint"))
-    kc = F.col("k").cast("int")
-    p = F.col("_p")
-    end_k = _end(p, kc)
-    start = end_k - F.length(_tok(p, kc))
-    end = end_k + F.length(F.element_at(p, kc + 2)) + F.length(F.element_at(p, kc + 3))
-    has = F.col("n_tok") >= SPAN_WORDS
-    question = F.when(has, F.concat_ws(" ", *[_tok(p, kc + j) for j in (-1, 0, 1, 2, 3)])).otherwise("")
-    out = (
-        d.withColumn("answer_start", F.when(has, start.cast("bigint")))
-        .withColumn("answer_end", F.when(has, end.cast("bigint")))
-        .withColumn("question", question)
-        .withColumn("answer_text", F.substr("context", F.col("answer_start") + 1, F.col("answer_end") - F.col("answer_start")))
-        .withColumn("claimed_start", F.col("answer_start") + F.col("id") % 4)
-    )
-    return out.select("id", "language", "context", "n_tok", "k", "answer_start", "answer_end", "question",
-                      "answer_text", "claimed_start")
+
+    def spans(p: Column) -> Column:
+        def around(k: Column) -> Column:
+            def bounds(end_k: Column) -> Column:
+                start = end_k - F.length(_tok(p, k))
+                end = end_k + F.length(F.element_at(p, k + 2)) + F.length(F.element_at(p, k + 3))
+                return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"),
+                                F.substr("context", start + 1, end - start).alias("text"))
+
+            has = F.size(p) >= SPAN_WORDS
+            question = F.when(has, F.concat_ws(" ", *[_tok(p, k + j) for j in (-1, 0, 1, 2, 3)])).otherwise("")
+            return F.struct(F.size(p).alias("n_tok"), k.cast("bigint").alias("k"), F.when(has, let(_end(p, k), bounds)).alias("at"), question.alias("question"))
+
+        return let(F.floor(F.size(p) / 2).cast("int"), around)
+
+    # the pieces are cut once a row, however many columns and pushed filters ask for what is derived from them
+    d = d.withColumn("_q", let(pieces("context"), spans))
+    return d.select("id", "language", "context", "_q.n_tok", "_q.k", F.col("_q.at.start").alias("answer_start"), F.col("_q.at.end").alias("answer_end"),
+                    "_q.question", F.col("_q.at.text").alias("answer_text"), (F.col("_q.at.start") + F.col("id") % 4).alias("claimed_start"))
 
 
 GRAM = 4
