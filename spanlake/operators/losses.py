@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.functions.arrays import let
 from spanlake.operators.folds import nth_value
 
 SMOOTH = 1e-4
@@ -16,10 +17,10 @@ def sigmoid(x: Column) -> Column:
 
 def softmax(arr: Column) -> Column:
     """Max-shifted softmax of a numeric array."""
-    m = F.array_max(arr)
-    e = F.transform(arr, lambda v: F.exp(v - m))
-    z = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / z)
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v), lambda z: F.transform(e, lambda v: v / z))
+
+    return let(arr, lambda a: let(F.array_max(a), lambda m: let(F.transform(a, lambda v: F.exp(v - m)), shares)))
 
 
 def one_hot(label: Column, k: int) -> Column:
@@ -55,8 +56,9 @@ def window_score_stats(logits: DataFrame, scale: float = 1000.0, with_labels: bo
              .drop("_cmin", "_cmax", "_sp", "_ep", "start_char", "end_char"))
 
     def lse(side: str) -> Column:
-        m = F.array_max(F.transform("_a", lambda x: x[side]))
-        return m + F.log(F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + F.exp(x[side] - m)))
+        # the maximum is taken once a window, not once a position
+        return let(F.array_max(F.transform("_a", lambda x: x[side])),
+                   lambda m: m + F.log(F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + F.exp(x[side] - m))))
 
     def first_argmax(side: str) -> Column:
         # highest score, lowest position first
