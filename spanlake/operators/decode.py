@@ -22,11 +22,17 @@ never joined back.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.config import DecodeConfig
 from spanlake.functions.text import LEADING_WS
+from spanlake.session import ship_by_value
 
 
 def window_topk(logits: DataFrame, n_best: int, mask_before_topk: bool = False) -> DataFrame:
@@ -104,6 +110,70 @@ def _best_pair(max_answer_len, n_best=None) -> Column:
         lambda s: F.transform(F.slice(_valid_ends(ends, s, max_answer_len), 1, 1), lambda e: _pair(s, e))))))
 
 
+def _dense(column: pa.Array, rows: int, width: int, fill) -> np.ndarray:
+    """List column -> ``rows x width``, short lists filled up."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = pc.fill_null(column.flatten(), 0).to_numpy(zero_copy_only=False)
+    out = np.full((rows, width), fill, np.float64 if values.dtype.kind == "f" else np.int64)
+    out[np.arange(width) < size[:, None]] = values
+    return out
+
+
+def _blocks(columns: Iterator[tuple[pa.Array, ...]], block: int) -> Iterator[list[pa.Array]]:
+    for batch in columns:
+        for lo in range(0, len(batch[0]), block):
+            part = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).slice(lo, block) for c in batch]
+            yield [p if isinstance(p.type, pa.ListType) else p.cast(pa.list_(p.type.value_type)) for p in part]
+
+
+def _width(*columns: pa.Array) -> int:
+    return max(1, *(pc.max(pc.list_value_length(c)).as_py() or 0 for c in columns))
+
+
+PAIR_BLOCK = 1024  # windows whose starts and ends meet together
+FAR = 1 << 40      # no position
+
+
+def _best_pairs(grid: list[tuple[int, int]]):
+    """Per window and grid point ``(n_best, max_answer_len)`` the places of the best valid pair in the rank-ordered lists.
+
+    For a start, the best end is the first valid entry of the list (highest
+    logit, then lowest rank), whatever ``n_best`` cuts off below it; the window's
+    best is the first start with the largest score among those.
+    """
+    def run(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for s_logit, s_pos, s_rk, e_logit, e_pos, e_rk in _blocks(columns, PAIR_BLOCK):
+            n, ks, ke = len(s_pos), _width(s_pos), _width(e_pos)
+            sl, el = _dense(s_logit, n, ks, 0), _dense(e_logit, n, ke, 0)
+            sr, er = _dense(s_rk, n, ks, FAR), _dense(e_rk, n, ke, FAR)
+            gap = _dense(e_pos, n, ke, FAR)[:, None, :] - _dense(s_pos, n, ks, 0)[:, :, None]
+            at = np.arange(n)[:, None]
+            found = {}
+            for m in {m for _, m in grid}:
+                valid = (gap >= 0) & (gap < m)
+                first = valid.argmax(axis=2)
+                found[m] = first, np.where(np.take_along_axis(valid, first[:, :, None], axis=2)[:, :, 0], er[at, first], FAR), sl + el[at, first]
+            i, j = np.zeros((n, len(grid)), np.int64), np.zeros((n, len(grid)), np.int64)
+            none = np.zeros((n, len(grid)), bool)
+            for c, (nb, m) in enumerate(grid):
+                first, rank, score = found[m]
+                ok = (sr <= nb) & (rank <= nb)
+                best = np.where(ok, score, -np.inf if score.dtype.kind == "f" else np.iinfo(np.int64).min).argmax(axis=1)
+                best = np.where(ok[at[:, 0], best], best, ok.argmax(axis=1))  # a score of minus infinity is a score
+                i[:, c], j[:, c], none[:, c] = best, first[at[:, 0], best], ~ok.any(axis=1)
+            none = none.ravel()
+            places = pa.StructArray.from_arrays([pa.array(x.ravel(), pa.int32(), mask=none) for x in (i, j)], names=["i", "j"])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(grid), pa.int32()), places)
+
+    return run
+
+
+def _at_places(at: Column) -> Column:
+    """The pair of start ``i`` and end ``j``; NULL where there is none."""
+    s, e = F.get("starts", at["i"]), F.get("ends", at["j"])
+    return F.when(at["i"].isNotNull(), _pair(s, e))
+
+
 def _span_text(c: Column, pieces: Column | None = None) -> Column:
     """``context[s_char:e_char]`` rebuilt from the window's pieces (leading white space dropped)."""
     pieces = F.col("pieces") if pieces is None else pieces
@@ -136,38 +206,30 @@ def window_best(topk: DataFrame, max_answer_len: int) -> DataFrame:
 def sweep_best(topk: DataFrame, grid: list[tuple[int, int]]) -> DataFrame:
     """Best span per ``(n_best, max_len, id)`` for every grid point in one pass.
 
-    ``topk`` must be ranked at the grid maxima.  Once per window, each start
-    gets its rank-ordered list of ends within the largest answer length; every
-    grid point (a literal, fixed-size list) then only scans those short lists,
-    inside the window's own row, and only the small per-point results are
-    exploded, so candidates are built once and the window's pieces are not copied.
+    ``topk`` must be ranked at the grid maxima.  Starts and ends of a window meet
+    once; a start's best end within an answer length is the same for every
+    ``n_best`` that keeps it, so a grid point only compares the starts.  An
+    example's best windows are found for all grid points in one aggregate, and
+    only its results are exploded.
     """
     pts = sorted(set(grid))
-    max_len = max(m for _, m in pts)
-    params = F.array(*[F.struct(F.lit(n).alias("n_best"), F.lit(m).alias("max_len")) for n, m in pts])
-    with_ends = _let(F.col("ends"), lambda ends: F.transform(F.col("starts"), lambda s: F.struct(
-        s["logit"].alias("logit"), s["pos"].alias("pos"), s["rk"].alias("rk"), s["ts"].alias("ts"),
-        _valid_ends(ends, s, max_len).alias("ve"))))
-
-    def best_for(w, g):
-        n, m = g["n_best"], g["max_len"]
-
-        def per_start(s):
-            ok = F.filter(s["ve"], lambda e: (e["rk"] <= n) & (e["pos"] - s["pos"] < m))
-            return F.transform(F.slice(ok, 1, 1), lambda e: _pair(s, e))
-
-        best = F.array_max(F.flatten(F.transform(F.filter(w["sv"], lambda s: s["rk"] <= n), per_start)))
-        return _let(best, lambda b: F.struct(n.alias("n_best"), m.alias("max_len"), b.alias("b"),
-                                             _span_text(b, w["pieces"]).alias("text")))
-
-    res = _let(F.struct(with_ends.alias("sv"), F.col("pieces").alias("pieces")),
-               lambda w: F.transform(params, lambda g: best_for(w, g)))
-    x = topk.select("id", "feature_idx", F.explode(res).alias("r")).where(F.col("r.b").isNotNull())
-    order = F.struct(F.col("r.b.score"), -F.col("feature_idx"), F.col("r.b.nsrank"), F.col("r.b.nerank"))
-    best = x.groupBy(F.col("r.n_best").alias("n_best"), F.col("r.max_len").alias("max_len"), "id").agg(
-        F.max_by(F.struct(F.col("r.b.score").alias("score"), F.col("r.text").alias("text")), order).alias("w"))
-    return best.select("n_best", "max_len", "id", F.col("w.score").cast("double").alias("score"),
-                       F.col("w.text").alias("prediction"))
+    ship_by_value(_best_pairs)
+    places = F.arrow_udf(_best_pairs(pts), "array<struct<i:int,j:int>>", F.ArrowUDFType.SCALAR_ITER)
+    p = topk.withColumn("_at", places("starts.logit", "starts.pos", "starts.rk", "ends.logit", "ends.pos", "ends.rk"))
+    res = F.transform("_at", lambda a: _let(_at_places(a), lambda b: F.when(b.isNotNull(), F.struct(
+        b["score"].alias("score"), b["nsrank"].alias("nsrank"), b["nerank"].alias("nerank"), _span_text(b).alias("text")))))
+    x = p.select("id", "feature_idx", res.alias("r"))
+
+    def best(c: int) -> Column:
+        r = F.get("r", F.lit(c))
+        order = F.when(r.isNotNull(), F.struct(r["score"], -F.col("feature_idx"), r["nsrank"], r["nerank"]))
+        return F.max_by(F.struct(r["score"].alias("score"), r["text"].alias("text")), order).alias(f"b{c}")
+
+    per = x.groupBy("id").agg(*[best(c) for c in range(len(pts))])
+    rows = F.array(*[F.struct(F.lit(n).alias("n_best"), F.lit(m).alias("max_len"), F.col(f"b{c}").alias("w")) for c, (n, m) in enumerate(pts)])
+    out = per.select("id", F.inline(rows)).where(F.col("w").isNotNull())
+    return out.select("n_best", "max_len", "id", F.col("w.score").cast("double").alias("score"),
+                      F.col("w.text").alias("prediction"))
 
 
 def best_spans(wbest: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from spanlake.config import WindowConfig
 from spanlake.operators.tokens import tokenize
 from spanlake.operators.windows import explode_windows, with_geometry
+from spanlake.session import ship_by_value
 
 # Fixed constants of the built-in lexical scorer (stand-in for the model).
 MATCH_WEIGHT = 1000
@@ -120,7 +121,7 @@ def model_logits(features: DataFrame, predict: Callable[[pd.DataFrame], pd.DataF
     Python worker loads it once; Arrow batches keep the transfer vectorised.
     """
 
-    _ship_by_value(predict)
+    ship_by_value(predict)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -129,19 +130,6 @@ def model_logits(features: DataFrame, predict: Callable[[pd.DataFrame], pd.DataF
     return features.mapInPandas(run, schema=schema)
 
 
-def _ship_by_value(fn) -> None:
-    """Serialise a scorer defined in this package by value, so Python workers do
-    not need the package on their import path (a plain user function from an
-    installed module is shipped by reference as usual)."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    mod = sys.modules.get(getattr(fn, "__module__", "") or "")
-    if mod is not None and mod.__name__.split(".")[0] == __name__.split(".")[0]:
-        cloudpickle.register_pickle_by_value(mod)
-
-
 def attach_offsets(scores: DataFrame, wtoks: DataFrame) -> DataFrame:
     """Key join of scorer output to window tokens (positional alignment by key)."""
     t = wtoks.select("id", "feature_idx", "pos", "ts", "te", "tok", "piece")
