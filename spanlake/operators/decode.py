@@ -182,15 +182,30 @@ def _span_text(c: Column, pieces: Column | None = None) -> Column:
     return F.regexp_replace(F.array_join(F.transform(span, lambda x: x["piece"]), ""), LEADING_WS, "")
 
 
-def span_candidates(topk: DataFrame, max_answer_len: int) -> DataFrame:
-    """J4 rows: ``id, feature_idx, srank, erank, s_pos, e_pos, s_char, e_char, score, text``."""
-    c = topk.select("id", "feature_idx", "pieces", F.explode(_pairs(max_answer_len)).alias("c"))
+def span_candidates(topk: DataFrame, max_answer_len: int, n_texts: int | None = None) -> DataFrame:
+    """J4 rows: ``id, feature_idx, srank, erank, s_pos, e_pos, s_char, e_char, score, text``.
+
+    With ``n_texts`` a window gives only the best candidate of each of its first
+    ``n_texts`` distinct texts: no other candidate of the window can be among the
+    ``n_texts`` distinct texts of an example, as those are ahead of it.
+    """
+    if n_texts is None:
+        c = topk.select("id", "feature_idx", "pieces", F.explode(_pairs(max_answer_len)).alias("c"))
+        text = _span_text(F.col("c"))
+    else:
+        # a pair begins with its score and ranks, so pairs sort by them
+        pairs = F.sort_array(_pairs(max_answer_len), asc=False)
+        each = _let(pairs, lambda cs: F.transform(cs, lambda c: F.struct(c.alias("c"), _span_text(c).alias("text"))))
+        first = _let(each, lambda es: _let(es["text"], lambda ts: F.transform(
+            F.slice(F.array_distinct(ts), 1, n_texts), lambda t: F.get(es, (F.array_position(ts, t) - 1).cast("int")))))
+        c = topk.select("id", "feature_idx", F.inline_outer(first)).where(F.col("c").isNotNull())
+        text = F.col("text")
     return c.select(
         "id", "feature_idx",
         (-F.col("c.nsrank")).alias("srank"), (-F.col("c.nerank")).alias("erank"),
         F.col("c.s_pos").alias("s_pos"), F.col("c.e_pos").alias("e_pos"),
         F.col("c.s_char").alias("s_char"), F.col("c.e_char").alias("e_char"),
-        F.col("c.score").alias("score"), _span_text(F.col("c")).alias("text"),
+        F.col("c.score").alias("score"), text.alias("text"),
     )
 
 

@@ -224,5 +224,5 @@ SELECT id, CAST(rk AS INTEGER) AS rk, text, CAST(score AS DOUBLE) AS score FROM
 WHERE rk <= {NBEST_K}"""))
 def q_nbest_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     tk = D.window_topk(lexical_logits_for(X.qa(spark, sf_dir), W, DC), DC.n_best)
-    return D.nbest_list(D.span_candidates(tk, DC.max_answer_len), NBEST_K).select(
+    return D.nbest_list(D.span_candidates(tk, DC.max_answer_len, n_texts=NBEST_K), NBEST_K).select(
         "id", F.col("rk").cast("int"), "text", "score")

@@ -36,3 +36,12 @@ def test_scores_of_any_kind_pair_by_rank(spark):
     one = D.best_spans(D.window_best(tk, 2)).first()
     r = D.sweep_best(tk, [(3, 2)]).first()
     assert (r["score"], r["prediction"]) == (one["score"], one["text"]) == (-inf, "t")
+
+
+def test_a_window_gives_as_many_texts_as_a_list_holds(rows):
+    tk = D.window_topk(lexical_logits(rows, CFG), 20)
+    every, cut = D.span_candidates(tk, 10), D.span_candidates(tk, 10, n_texts=3)
+    assert cut.groupBy("id", "feature_idx").count().agg(F.max("count")).first()[0] == 3
+    assert every.count() > 5 * cut.count()
+    a, b = (sorted(map(str, D.nbest_list(c, 3).collect())) for c in (every, cut))
+    assert a == b and a
