@@ -67,6 +67,84 @@ def window_topk(logits: DataFrame, n_best: int, mask_before_topk: bool = False)
     )
 
 
+WINDOW = {
+    "feature_idx": "int", "starts": "array<struct<logit:bigint,pos:int,rk:int,ts:int,is_context:boolean>>",
+    "ends": "array<struct<logit:bigint,pos:int,rk:int,te:int,is_context:boolean>>", "pieces": "array<struct<pos:int,piece:string>>"}
+PAIRED = {
+    "best": {"at": "struct<i:int,j:int>"},
+    "every": {"pairs": "array<struct<score:bigint,nsrank:int,nerank:int,s_pos:int,e_pos:int,s_char:int,e_char:int>>"}}
+
+
+def windows_type(paired: str | None = None) -> str:
+    """Type of an id's windows as :func:`top_block` and :func:`pair_block` give them."""
+    return f"array<struct<{','.join(f'{n}:{t}' for n, t in (WINDOW | PAIRED.get(paired, {})).items())}>>"
+
+
+def _lists(counts: np.ndarray, names: list[str], columns: list[pa.Array]) -> pa.ListArray:
+    flat = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=names)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat)
+
+
+def top_block(scored: pa.Table, rows: int, n_best: int) -> pa.ListArray:
+    """:func:`window_topk` on the positions of a block of ids: the windows of each ``row``, in order."""
+    def ints(name: str) -> np.ndarray:
+        return pc.fill_null(scored[name], 0).to_numpy().astype(np.int64)
+
+    pos, ctx = ints("pos"), scored["is_context"].to_numpy()
+    windows, w = np.unique(ints("row") << 32 | ints("feature_idx"), return_inverse=True)
+
+    def ranked(logit: str, off: str) -> pa.ListArray:
+        # texts that share an id can tie on score and position: then as sort_array orders the rest
+        tie = np.where(ctx, -1 - ints("ts" if logit == "start_logit" else "te"), 0)
+        order = np.lexsort((tie, -pos, -ints(logit), w))
+        counts = np.bincount(w, minlength=len(windows))
+        rk = np.arange(len(w)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+        kept = (rk <= n_best) & ctx[order]
+        top = order[kept]
+        take = pa.array(top)
+        return _lists(np.bincount(w[top], minlength=len(windows)), ["logit", "pos", "rk", off, "is_context"],
+                      [scored[logit].take(take), scored["pos"].take(take), pa.array(rk[kept], pa.int32()), scored[off].take(take), scored["is_context"].take(take)])
+
+    inside = np.flatnonzero(ctx)
+    inside = inside[np.lexsort((pos[inside], w[inside]))]
+    if len(inside) and ((np.diff(w[inside]) == 0) & (np.diff(pos[inside]) == 0)).any():
+        held = pa.table({"w": w[inside], "pos": pos[inside], "piece": scored["piece"].take(pa.array(inside))})
+        inside = inside[pc.sort_indices(held, [("w", "ascending"), ("pos", "ascending"), ("piece", "ascending")]).to_numpy()]
+    take = pa.array(inside)
+    texts = _lists(np.bincount(w[inside], minlength=len(windows)), ["pos", "piece"], [scored["pos"].take(take), scored["piece"].take(take)])
+    return _lists(np.bincount(windows >> 32, minlength=rows), ["feature_idx", "starts", "ends", "pieces"],
+                  [pa.array(windows & 0xFFFFFFFF, pa.int32()), ranked("start_logit", "ts"), ranked("end_logit", "te"), texts])
+
+
+def pair_block(windows: pa.ListArray, max_answer_len: int, paired: str) -> pa.ListArray:
+    """The windows of :func:`top_block`, each with the places of its best valid pair (``at``) or with every one (``pairs``)."""
+    flat = windows.flatten()
+    if paired == "best":
+        starts, ends = flat.field("starts"), flat.field("ends")
+        sides = [_field(x, f) for x in (starts, ends) for f in ("logit", "pos", "rk")]
+        found = pa.concat_arrays([a.flatten() for a in _best_pairs([(1 << 30, max_answer_len)])(iter([sides]))] or [pa.array([], pa.struct([("i", pa.int32()), ("j", pa.int32())]))])
+    else:
+        found = _every_pair(flat.field("starts"), flat.field("ends"), max_answer_len)
+    fields = [flat.field(n) for n in WINDOW]
+    return _lists(pc.list_value_length(windows).to_numpy(), [*WINDOW, *PAIRED[paired]], [*fields, found])
+
+
+def _field(lists: pa.ListArray, name: str) -> pa.ListArray:
+    return pa.ListArray.from_arrays(lists.offsets, lists.values.field(name))
+
+
+def _every_pair(starts: pa.ListArray, ends: pa.ListArray, max_answer_len: int) -> pa.ListArray:
+    """J4 + P5: the valid pairs of each window, by start rank, then end rank."""
+    n = len(starts)
+    s_pos, e_pos = _field(starts, "pos"), _field(ends, "pos")
+    gap = _dense(e_pos, n, _width(e_pos), FAR)[:, None, :] - _dense(s_pos, n, _width(s_pos), -FAR)[:, :, None]
+    w, i, j = np.nonzero((gap >= 0) & (gap < min(max_answer_len, FAR >> 1)))
+    s, e = (x.values.take(pa.array(x.offsets.to_numpy()[w] + k)) for x, k in ((starts, i), (ends, j)))
+    columns = [pc.add(s.field("logit"), e.field("logit")), pc.negate(s.field("rk")), pc.negate(e.field("rk")),
+               s.field("pos"), e.field("pos"), s.field("ts"), e.field("te")]
+    return _lists(np.bincount(w, minlength=n), ["score", "nsrank", "nerank", "s_pos", "e_pos", "s_char", "e_char"], columns)
+
+
 def _let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
 
@@ -168,9 +246,9 @@ def _best_pairs(grid: list[tuple[int, int]]):
     return run
 
 
-def _at_places(at: Column) -> Column:
+def _at_places(at: Column, starts: Column | str = "starts", ends: Column | str = "ends") -> Column:
     """The pair of start ``i`` and end ``j``; NULL where there is none."""
-    s, e = F.get("starts", at["i"]), F.get("ends", at["j"])
+    s, e = F.get(starts, at["i"]), F.get(ends, at["j"])
     return F.when(at["i"].isNotNull(), _pair(s, e))
 
 
@@ -190,7 +268,8 @@ def span_candidates(topk: DataFrame, max_answer_len: int, n_texts: int | None =
     ``n_texts`` distinct texts of an example, as those are ahead of it.
     """
     if n_texts is None:
-        c = topk.select("id", "feature_idx", "pieces", F.explode(_pairs(max_answer_len)).alias("c"))
+        pairs = F.col("pairs") if "pairs" in topk.columns else _pairs(max_answer_len)  # already paired within max_answer_len
+        c = topk.select("id", "feature_idx", "pieces", F.explode(pairs).alias("c"))
         text = _span_text(F.col("c"))
     else:
         # a pair begins with its score and ranks, so pairs sort by them
@@ -254,6 +333,30 @@ def best_spans(wbest: DataFrame) -> DataFrame:
     return b.select("id", "b.score", "b.s_char", "b.e_char", "b.text")
 
 
+def best_in_rows(rows: DataFrame) -> DataFrame:
+    """G4 where an id's windows are one row (``id, windows``, paired by ``best``): what ``best_spans(window_best(...))`` gives, without a shuffle."""
+    def best(w: Column) -> Column:
+        return _let(_at_places(w["at"], w["starts"], w["ends"]), lambda b: F.when(b.isNotNull(), F.struct(
+            b["score"].alias("score"), (-w["feature_idx"]).alias("nfid"), b["nsrank"].alias("nsrank"), b["nerank"].alias("nerank"),
+            b["s_char"].alias("s_char"), b["e_char"].alias("e_char"), b["s_pos"].alias("s_pos"), b["e_pos"].alias("e_pos"))))
+
+    def with_text(ws: Column) -> Column:
+        def text(b: Column) -> Column:
+            own = F.try_element_at(F.filter(ws, lambda w: w["feature_idx"] == -b["nfid"]), F.lit(1))
+            return F.struct(b.alias("b"), _let(own["pieces"], lambda p: _span_text(b, p)).alias("text"))
+
+        return _let(F.array_max(F.transform(ws, best)), text)
+
+    r = rows.select("id", with_text(F.col("windows")).alias("r")).where(F.col("r.b").isNotNull())
+    return r.select("id", "r.b.score", "r.b.s_char", "r.b.e_char", "r.text")
+
+
+def decode_windows(rows: DataFrame) -> DataFrame:
+    """:func:`decode_spans` on rows of ``id, windows`` (paired by ``best``)."""
+    best = best_in_rows(rows)
+    return best.select("id", F.col("text").alias("prediction"), F.col("score").cast("double").alias("score"), "s_char", "e_char")
+
+
 def decode_spans(logits: DataFrame, cfg: DecodeConfig = DecodeConfig()) -> DataFrame:
     """M3 on a position-logits frame: ``id, prediction, score, s_char, e_char``.
 

@@ -8,6 +8,7 @@ engine's choice of mode.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +38,18 @@ def start_end_vote(preds: DataFrame, member: str = "member") -> DataFrame:
     return s.join(e, "id")
 
 
-def logit_average(logits: DataFrame, member: str = "member") -> DataFrame:
+def logit_average(logits: DataFrame | pa.Table, member: str = "member") -> DataFrame | pa.Table:
     """Average start/end scores of members that share a tokenizer, per position.
 
     The output is a position-logits frame (decode it once).  Members are
     summed rather than averaged so integer scores stay exact; the ranking is
-    the same.
+    the same.  Given the positions of a block of ids (a table with ``row`` for the
+    id, inside a task) it sums them there.
     """
+    if isinstance(logits, pa.Table):
+        g = logits.group_by(["row", "feature_idx", "pos", "is_context", "ts", "te", "piece"], use_threads=False)
+        sums = g.aggregate([("start_logit", "sum"), ("end_logit", "sum")])
+        return sums.rename_columns([c.removesuffix("_sum") for c in sums.column_names])
     keys = ["id", "feature_idx", "pos", "is_context", "ts", "te", "tok", "piece"]
     return logits.groupBy(*keys).agg(F.sum("start_logit").alias("start_logit"), F.sum("end_logit").alias("end_logit"),
                                      F.count(F.lit(1)).alias("n_members"))

@@ -14,11 +14,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanlake.config import WindowConfig
+from spanlake.config import DecodeConfig, WindowConfig
+from spanlake.functions.arrays import let
+from spanlake.functions.text import TOKEN, pieces
+from spanlake.operators.decode import pair_block, top_block, windows_type
 from spanlake.operators.tokens import tokenize
 from spanlake.operators.windows import explode_windows, with_geometry
 from spanlake.session import ship_by_value
@@ -110,6 +117,113 @@ def lexical_logits(examples: DataFrame, cfg: WindowConfig, include_special: bool
     )
 
 
+# Unicode White_Space, which (?U)\\s matches (Python's own notion has four control characters more)
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+TEXT_BLOCK = 128  # ids scored together: bounds a task's memory whatever the size of an Arrow batch
+
+
+def _counted(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and place inside the owner of ``sizes.sum()`` elements laid end to end."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+
+
+def _score_block(base: pa.Array, texts: pa.ListArray, cfg: WindowConfig, include_special: bool) -> pa.Table:
+    """The position-logits rows of a block of ids; ``row`` is the id's place in the block."""
+    row = np.repeat(np.arange(len(texts)), _counted(texts))
+    q, cut, hits = texts.flatten().flatten()
+    q = pc.fill_null(q, cfg.max_len).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = _counted(cut)
+    cut = cut.flatten()
+    chars = pc.utf8_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = pc.utf8_length(pc.utf8_ltrim(cut, characters=WHITE)).to_numpy(zero_copy_only=False)
+    tok0 = np.cumsum(n) - n
+    ends = np.concatenate(([0], np.cumsum(chars)))
+    te = ends[1:] - np.repeat(ends[tok0], n)
+    ts = te - own
+    found = np.concatenate(([0], np.cumsum(pc.fill_null(hits.flatten(), False).to_numpy(zero_copy_only=False).astype(np.int64))))
+    # windows, as in with_geometry
+    cap = cfg.max_len - cfg.n_special - q
+    step = cap - cfg.stride
+    text, fid = _within(np.where(step > 0, 1 - (-np.maximum(n - cap, 0) // np.maximum(step, 1)), 0))
+    ws = fid * step[text]
+    size = np.minimum(cap[text], n[text] - ws)
+    first = tok0[text] + ws
+    w, i = _within(size)
+    at = first[w] + i
+    fwd = found[np.minimum(at + NEIGHBOURS + 1, (first + size)[w])] - found[at]
+    bwd = found[at + 1] - found[np.maximum(at - NEIGHBOURS, first[w])]
+    pos = q[text[w]] + 2 + i
+    n_ctx = len(w)
+    if include_special:  # 0 = CLS, 1..Q = the question
+        sw, k = _within(q[text] + 1)
+        w, pos = np.concatenate((w, sw)), np.concatenate((pos, k))
+        fwd = np.concatenate((fwd, np.where(k == 0, 0, np.minimum(q[text[sw]], k + NEIGHBOURS) - k + 1)))
+        bwd = np.concatenate((bwd, np.where(k == 0, 0, k - np.maximum(1, k - NEIGHBOURS) + 1)))
+    is_ctx = np.arange(len(w)) < n_ctx
+    at = np.concatenate((at, np.zeros(len(w) - n_ctx, np.int64)))
+    owner, f = row[text[w]], fid[w]
+    unknown = pc.is_null(base).to_numpy(zero_copy_only=False)[owner]
+    seed = pc.fill_null(base, 0).to_numpy(zero_copy_only=False)[owner] + f * WINDOW_MULT
+
+    def logit(count: np.ndarray, mult: int) -> pa.Array:
+        return pa.array(count * MATCH_WEIGHT + np.fmod(seed + pos * mult, NOISE_MOD), pa.int64(), mask=unknown)
+
+    def of_token(values: np.ndarray) -> pa.Array:
+        return pa.array((values[at] if len(values) else at).astype(np.int32), pa.int32(), mask=~is_ctx)
+
+    return pa.table({
+        "row": pa.array(owner, pa.int64()), "feature_idx": pa.array(f, pa.int32()), "pos": pa.array(pos, pa.int32()),
+        "start_logit": logit(fwd, START_POS_MULT), "end_logit": logit(bwd, END_POS_MULT), "is_context": pa.array(is_ctx),
+        "ts": of_token(ts), "te": of_token(te), "piece": cut.take(pa.array(at, mask=~is_ctx))})
+
+
+def lexical_windows(examples: DataFrame, cfg: WindowConfig, decode: DecodeConfig, paired: str | None = None,
+                    through: tuple[Callable[[pa.Table], pa.Table], ...] = ()) -> DataFrame:
+    """M2 and W1 with one row per id: ``id, windows``, where ``inline(windows)`` gives the rows of
+    ``window_topk(lexical_logits(examples))``.
+
+    Spark cuts the texts and marks the question's words; a task scores and ranks
+    blocks of ids with numpy, so no token ever is a row.  Rows that repeat an id
+    meet in its row (one aggregate, which the partitioning by ``id`` satisfies).
+    ``through`` are steps on a block's positions between scoring and ranking;
+    with ``paired`` a window also holds its best valid pair or every one (J4).
+    """
+    numeric = dict(examples.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint")
+
+    def marked(x: Column) -> Column:
+        def of(q: Column) -> Column:
+            asked = F.transform(q, F.lower)
+            return F.struct(F.size(q).alias("q_len"), pieces(x["context"]).alias("pieces"), let(F.array_distinct(asked), lambda a: F.transform(
+                F.regexp_extract_all(x["context"], F.lit(TOKEN), 0), lambda t: F.array_contains(a, F.lower(t)))).alias("hits"))
+
+        return let(F.regexp_extract_all(x["question"], F.lit(TOKEN), 0), of)
+
+    per_id = examples.groupBy("id").agg(F.collect_list(F.struct("context", "question")).alias("texts"))
+    rows = per_id.select("id", (_numeric_id(F.col("id"), numeric).cast("bigint") * ID_MULT).alias("base"), F.transform("texts", marked).alias("texts"))
+    for shipped in (_score_block, top_block, WindowConfig, *through):
+        ship_by_value(shipped)
+    include_special = not decode.mask_before_topk
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, TEXT_BLOCK):
+                part = b.slice(lo, TEXT_BLOCK)
+                scored = _score_block(part.column("base"), part.column("texts"), cfg, include_special)
+                for step in through:
+                    scored = step(scored)
+                windows = top_block(scored, part.num_rows, decode.n_best)
+                if paired:
+                    windows = pair_block(windows, decode.max_answer_len, paired)
+                yield pa.RecordBatch.from_arrays([part.column("id"), windows], names=["id", "windows"])
+
+    return rows.mapInArrow(run, T.StructType([examples.schema["id"], T.StructField("windows", T.DataType.fromDDL(windows_type(paired)))]))
+
+
 def model_logits(features: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame],
                  schema: str = "id bigint, feature_idx int, pos int, start_logit double, end_logit double"
                  ) -> DataFrame:

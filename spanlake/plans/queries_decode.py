@@ -13,7 +13,7 @@ from spanlake.operators.windows import assembled_lengths, label_windows, window_
 from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
-from spanlake.plans.composite import eval_by_language, lexical_logits_for, lexical_predictions
+from spanlake.plans.composite import eval_by_language, lexical_logits_for, lexical_predictions, lexical_topk_for
 from spanlake.session import shuffle_partitions
 from spanlake.sources.tables import table
 
@@ -182,15 +182,11 @@ UNION ALL
 SELECT id, CAST(fid AS INTEGER) AS feature_idx, 'end' AS side, CAST(pos AS INTEGER) AS pos, CAST(erank AS INTEGER) AS rk
 FROM re WHERE erank <= {TOP_K} AND is_ctx"""))
 def q_top_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tk = D.window_topk(lexical_logits_for(X.qa(spark, sf_dir), W, DC), TOP_K)
-    sides = F.array(
-        F.struct(F.lit("start").alias("side"), F.col("starts").alias("a")),
-        F.struct(F.lit("end").alias("side"), F.transform("ends", lambda e: F.struct(
-            e["logit"].alias("logit"), e["pos"].alias("pos"), e["rk"].alias("rk"), e["te"].alias("ts"),
-            e["is_context"].alias("is_context"))).alias("a")))
+    tk = lexical_topk_for(X.qa(spark, sf_dir), W, DC)
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.arrays_zip(F.col(f"{side}s.pos").alias("pos"), F.col(f"{side}s.rk").alias("rk")).alias("a"))
+                      for side in ("start", "end")])
     x = tk.select("id", "feature_idx", F.inline(sides)).select("id", "feature_idx", "side", F.explode("a").alias("e"))
-    return x.select("id", "feature_idx", "side", F.col("e.pos").cast("int").alias("pos"),
-                    F.col("e.rk").cast("int").alias("rk"))
+    return x.select("id", "feature_idx", "side", F.col("e.pos").cast("int").alias("pos"), F.col("e.rk").cast("int").alias("rk"))
 
 
 @register("span_candidates", O.with_ctes(QA_BASE + O.logits_ctes("qa", W, True) + O.candidate_ctes(DC)[:3], """
@@ -198,7 +194,7 @@ SELECT id, CAST(fid AS INTEGER) AS feature_idx, count(*) AS n_cand, CAST(sum(sco
        max(score) AS max_score
 FROM cand GROUP BY id, fid"""))
 def q_span_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tk = D.window_topk(lexical_logits_for(X.qa(spark, sf_dir), W, DC), DC.n_best)
+    tk = lexical_topk_for(X.qa(spark, sf_dir), W, DC, "every")
     c = D.span_candidates(tk, DC.max_answer_len)
     return c.groupBy("id", "feature_idx").agg(
         F.count(F.lit(1)).alias("n_cand"), F.sum("score").cast("bigint").alias("sum_score"),

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
 from spanlake.operators.scoring import lexical_logits
-from spanlake.plans.composite import lexical_logits_for, lexical_predictions
+from spanlake.plans.composite import lexical_logits_for, lexical_predictions, lexical_windows_for
 from spanlake.session import scratch_dir, shuffle_partitions
 from spanlake.sources.tables import table
 
@@ -117,14 +119,17 @@ def q_start_end_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 N_AVG = 3
 
 
-def _member_logits(lg: DataFrame) -> DataFrame:
+def _member_logits(scored: pa.Table) -> pa.Table:
     """Three members sharing a tokenizer: the lexical scores plus a member-specific integer perturbation."""
-    m = lg.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_AVG - 1))).alias("member"))
-    mb = F.col("member").cast("bigint")
-    return (m.withColumn("start_logit", F.col("start_logit")
-                         + ((F.col("pos") * (mb + 3) + F.col("feature_idx") * 7 + mb) % 11) * 100)
-            .withColumn("end_logit", F.col("end_logit")
-                        + ((F.col("pos") * (mb + 5) + F.col("feature_idx") * 11 + mb) % 13) * 100))
+    pos, fid = (scored[c].to_numpy().astype("int64") for c in ("pos", "feature_idx"))
+
+    def member(mb: int) -> pa.Table:
+        s, e = ((pos * (mb + 3) + fid * 7 + mb) % 11) * 100, ((pos * (mb + 5) + fid * 11 + mb) % 13) * 100
+        names = scored.column_names
+        return (scored.set_column(names.index("start_logit"), "start_logit", pc.add(scored["start_logit"], pa.array(s)))
+                .set_column(names.index("end_logit"), "end_logit", pc.add(scored["end_logit"], pa.array(e))))
+
+    return pa.concat_tables([member(mb) for mb in range(N_AVG)])
 
 
 AVG_SQL = [f"""
@@ -150,8 +155,8 @@ apred AS (
 
 def _logit_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = X.qa(spark, sf_dir)
-    avg = E.logit_average(_member_logits(lexical_logits_for(ex, W, DC)))
-    preds = D.decode_spans(avg, DC)
+    avg = lexical_windows_for(ex, W, DC, "best", through=(_member_logits, E.logit_average))
+    preds = D.decode_windows(avg)
     out = D.with_predictions(ex, preds)
     return out.select("id", "prediction", F.round(F.col("score") / N_AVG, 6).alias("score"))
 
