@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -151,6 +153,36 @@ def test_bitmap_lets_all_members_pass(spark):
     assert collocations.bitmap_of(spark.createDataFrame([], "h long")).bits.sum() == 0
 
 
+def test_frequent_fingerprints_travel_small_and_none_is_lost(spark, monkeypatch, tmp_path):
+    """What occurs often enough over all tasks comes back, also counts past what travels; a fingerprint takes under 8 bytes of shuffle."""
+    monkeypatch.setattr(collocations, "GROUP_ROWS", 20_000)
+    r = np.random.default_rng(4)
+    kinds = r.integers(-2**63, 2**63 - 1, 150_000)
+    rows = spark.createDataFrame([(int(x),) for x in np.concatenate((kinds, kinds[:500], np.repeat(kinds[7], 200_000)))], "h long").repartition(3)
+    prints = lambda batches: (b.column(0).to_numpy() for b in batches)
+    for least, want in ((2, kinds[:500]), (100_000, kinds[7:8])):
+        assert sorted(x["h"] for x in collocations.frequent(rows, prints, least).collect()) == sorted(collocations.short(want).tolist())
+    assert collocations.frequent(rows.limit(0), prints, 1).count() == 0
+    x = collocations.merged(kinds.view(np.uint64) & ~collocations.MOST | np.uint64(1))
+    assert (collocations.unsteps(collocations.steps(x)) == x).all()
+    assert len(zstandard.compress(collocations.planes(collocations.steps(x)), 1)) < 5 * len(kinds)
+
+
+def test_blocks_hold_counts_only_once(spark, chatter, monkeypatch):
+    """Only the words' relation is stored, a row a block; a write leaves the session's settings as they were."""
+    seen, write = {}, tables.written
+
+    def written(df, name, compression=None):
+        seen[name] = out = write(df, name, compression)
+        return out
+
+    monkeypatch.setattr(tables, "written", written)
+    docs, _ = chatter
+    collocations.collocations(docs.repartition(5)).count()
+    assert seen["words"].count() <= 5 and set(seen) == {"words", "often", "frequent_1", "frequent_2", "frequent_3"}
+    assert spark.conf.get(tables.SHUFFLE_CLEANUP, "false") == "false"
+
+
 def byte_ends(parts):
     out, at = [], 0
     for p in parts:
