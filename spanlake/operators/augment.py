@@ -44,32 +44,34 @@ def synonym_replacement(docs: DataFrame, synonyms: DataFrame, stop: DataFrame |
 
     Words are visited in a seeded random order (``md5(word:id:seed)``); words
     without synonyms are skipped and do not count; the synonym is picked by a
-    seeded hash.  Words are re-joined with single spaces.  ``docs`` should be
-    partitioned by ``id``: every step is keyed by ``id`` and the at most ``n``
-    chosen replacements of a document travel as a small map joined on ``id``
-    alone, so nothing is shuffled again.  ``stop=None`` derives the stop list
-    (``stop_k`` most frequent words) from the same word rows.
-    Output: ``id, text, n_replaced``.
+    seeded hash, for the chosen words only.  Words are re-joined with single
+    spaces.  ``docs`` should be partitioned by ``id``: every step is keyed by
+    ``id``, a text's distinct words are found and its words replaced inside its
+    row, and the at most ``n`` chosen replacements travel as a small map joined
+    on ``id`` alone, so nothing is shuffled again.  ``stop=None`` derives the
+    stop list (``stop_k`` most frequent words) from the same texts.  Rows that
+    repeat an id share the words of all their texts, by position; a null id has
+    no words.  Output: ``id, text, n_replaced``.
     """
     from pyspark.sql import Window
-    words = word_rows(docs, text_col, id_col)
-    stop = top_words(words, stop_k) if stop is None else stop
-    cand = remove_stop_words(words, stop).select(id_col, "w").distinct()
-    with_syn = cand.join(synonyms, F.lower("w") == F.col("word"))
-    pick = with_syn.groupBy(id_col, "w").agg(
-        F.min_by("synonym", order_key("synonym", "w", id_col, F.lit(seed))).alias("syn"))
+    stop = top_words(word_rows(docs, text_col, id_col), stop_k) if stop is None else stop
+    placed = F.filter(F.transform(F.split("_t", WS_RUN), lambda w, i: F.struct(i.alias("pos"), w.alias("w"))), lambda x: x["w"] != "")
+    one = docs.select(F.col(id_col), F.col(text_col).alias("_t")).select(id_col, placed.alias("_p"))
+    whole = one.groupBy(id_col).agg(F.collect_list("_p").alias("_p"), F.count(F.lit(1)).alias("_rows"))
+    cand = whole.select(id_col, F.explode(F.array_distinct(F.flatten(F.transform("_p", lambda t: t["w"])))).alias("w"))
+    cand = remove_stop_words(cand, stop).withColumn("word", F.lower("w")).join(synonyms.select("word").distinct(), "word", "left_semi")
     rk = F.row_number().over(Window.partitionBy(id_col).orderBy(order_key("w", id_col, F.lit(seed)), "w"))
-    chosen = pick.withColumn("_rk", rk).where(F.col("_rk") <= n)
-    repl = chosen.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "syn"))).alias("_m"))
-    replaced = words.join(repl, id_col, "left").withColumn(
-        "nw", F.coalesce(F.try_element_at(F.col("_m"), F.col("w")), F.col("w")))
-    text = replaced.groupBy(id_col).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "nw"))), lambda x: x["nw"]), " ")
-        .alias("text"),
-        F.coalesce(F.size(F.first("_m", ignorenulls=True)), F.lit(0)).alias("n_replaced"))
-    out = docs.select(id_col).join(text, id_col, "left")
-    return out.select(id_col, F.coalesce("text", F.lit("")).alias("text"),
-                      F.coalesce("n_replaced", F.lit(0)).cast("bigint").alias("n_replaced"))
+    chosen = cand.withColumn("_rk", rk).where(F.col("_rk") <= n)
+    pick = chosen.join(synonyms, "word").groupBy(id_col, "w").agg(
+        F.min_by("synonym", order_key("synonym", "w", id_col, F.lit(seed))).alias("syn"))
+    repl = pick.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "syn"))).alias("_m"))
+    new = F.transform(F.flatten("_p"), lambda x: F.struct(x["pos"].alias("pos"), F.coalesce(F.try_element_at("_m", x["w"]), x["w"]).alias("nw")))
+    text = F.transform(F.when(F.size("_p") > 1, F.sort_array(new)).otherwise(new), lambda x: x["nw"])
+    known = F.col(id_col).isNotNull()
+    out = whole.join(repl, id_col, "left").select(
+        id_col, F.when(known, F.array_join(text, " ")).otherwise("").alias("text"),
+        F.coalesce(F.size("_m"), F.lit(0)).cast("bigint").alias("n_replaced"), "_rows")
+    return out.select(id_col, "text", "n_replaced", F.explode(F.array_repeat(F.lit(0), F.col("_rows").cast("int"))).alias("_row")).drop("_row")
 
 
 def back_translate(examples: DataFrame, memory: DataFrame, prob_pct: int, seed: int) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spanlake.config import WindowConfig
 from spanlake.functions.text import TOKEN_PIECE
+from spanlake.operators import augment as AU
 from spanlake.operators import windows as WI
 from spanlake.plans import fixtures as X
 from tests.conftest import SF_SMALL
@@ -51,3 +52,15 @@ def test_log_sum_exp_takes_its_maximum_once(spark):
     assert abs(r["lse_s"] - 4.451914) < 1e-6 and (r["arg_s"], r["arg_e"]) == (4, 0)
     p = spark.range(1).select(softmax(F.array(F.lit(0.0), F.lit(1.0))).alias("p")).first()["p"]
     assert abs(sum(p) - 1) < 1e-12 and abs(p[1] - 0.7310585786) < 1e-9
+
+
+def test_synonyms_are_put_in_inside_the_row(spark):
+    """Words leave their text's row only as distinct candidates; rows that repeat an id share their words, a null id has none."""
+    syn = spark.createDataFrame([("a", "x"), ("c", "p q"), ("the", "no")], "word string, synonym string")
+    stop = spark.createDataFrame([("the",)], "word string")
+    rows = [(1, " A b\ta  the c"), (2, None), (2, ""), (3, "c d"), (3, "b"), (None, "a")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3, "id")
+    out = AU.synonym_replacement(docs, syn, stop, 3, 7)
+    assert "posexplode" not in _optimized(out)
+    got = sorted(map(tuple, out.collect()), key=repr)
+    assert got == sorted([(1, "x b x the p q", 3), (2, "", 0), (2, "", 0), (3, "b p q d", 1), (3, "b p q d", 1), (None, "", 0)], key=repr)
