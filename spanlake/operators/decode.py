@@ -75,9 +75,9 @@ PAIRED = {
     "every": {"pairs": "array<struct<score:bigint,nsrank:int,nerank:int,s_pos:int,e_pos:int,s_char:int,e_char:int>>"}}
 
 
-def windows_type(paired: str | None = None) -> str:
+def windows_type(paired: str | None = None, logit: str = "bigint") -> str:
     """Type of an id's windows as :func:`top_block` and :func:`pair_block` give them."""
-    return f"array<struct<{','.join(f'{n}:{t}' for n, t in (WINDOW | PAIRED.get(paired, {})).items())}>>"
+    return f"array<struct<{','.join(f'{n}:{t}' for n, t in (WINDOW | PAIRED.get(paired, {})).items())}>>".replace("bigint", logit)
 
 
 def _lists(counts: np.ndarray, names: list[str], columns: list[pa.Array]) -> pa.ListArray:
@@ -85,6 +85,17 @@ def _lists(counts: np.ndarray, names: list[str], columns: list[pa.Array]) -> pa.
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat)
 
 
+def _descending(values: pa.ChunkedArray) -> np.ndarray:
+    """Integers whose ascending order is the descending one of scores: not-a-number first, null last, as Spark sorts them."""
+    if pa.types.is_floating(values.type):
+        x = pc.fill_null(values, 0).to_numpy().astype(np.float64) + 0.0
+        bits = np.where(np.isnan(x), np.nan, x).view(np.int64)
+        key = np.where(bits < 0, bits ^ np.iinfo(np.int64).max, bits)
+    else:
+        key = pc.fill_null(values, 0).to_numpy().astype(np.int64)
+    return ~np.where(pc.is_null(values).to_numpy(), np.iinfo(np.int64).min, key)
+
+
 def top_block(scored: pa.Table, rows: int, n_best: int) -> pa.ListArray:
     """:func:`window_topk` on the positions of a block of ids: the windows of each ``row``, in order."""
     def ints(name: str) -> np.ndarray:
@@ -96,7 +107,7 @@ def top_block(scored: pa.Table, rows: int, n_best: int) -> pa.ListArray:
     def ranked(logit: str, off: str) -> pa.ListArray:
         # texts that share an id can tie on score and position: then as sort_array orders the rest
         tie = np.where(ctx, -1 - ints("ts" if logit == "start_logit" else "te"), 0)
-        order = np.lexsort((tie, -pos, -ints(logit), w))
+        order = np.lexsort((tie, -pos, _descending(scored[logit]), w))
         counts = np.bincount(w, minlength=len(windows))
         rk = np.arange(len(w)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
         kept = (rk <= n_best) & ctx[order]

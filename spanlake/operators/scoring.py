@@ -132,26 +132,38 @@ def _within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
 
 
-def _score_block(base: pa.Array, texts: pa.ListArray, cfg: WindowConfig, include_special: bool) -> pa.Table:
-    """The position-logits rows of a block of ids; ``row`` is the id's place in the block."""
-    row = np.repeat(np.arange(len(texts)), _counted(texts))
-    q, cut, hits = texts.flatten().flatten()
-    q = pc.fill_null(q, cfg.max_len).to_numpy(zero_copy_only=False).astype(np.int64)
-    n = _counted(cut)
+def _offsets_of(cut: pa.ListArray, n: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of texts laid end to end, their offsets ``ts`` and ``te`` in their own text, and every text's first piece."""
     cut = cut.flatten()
     chars = pc.utf8_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
     own = pc.utf8_length(pc.utf8_ltrim(cut, characters=WHITE)).to_numpy(zero_copy_only=False)
     tok0 = np.cumsum(n) - n
     ends = np.concatenate(([0], np.cumsum(chars)))
     te = ends[1:] - np.repeat(ends[tok0], n)
-    ts = te - own
-    found = np.concatenate(([0], np.cumsum(pc.fill_null(hits.flatten(), False).to_numpy(zero_copy_only=False).astype(np.int64))))
-    # windows, as in with_geometry
+    return cut, te - own, te, tok0
+
+
+def _windows_of(q: np.ndarray, n: np.ndarray, cfg: WindowConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts of ``n`` tokens, as in with_geometry: the text of each, its number there, its first token and size."""
     cap = cfg.max_len - cfg.n_special - q
     step = cap - cfg.stride
     text, fid = _within(np.where(step > 0, 1 - (-np.maximum(n - cap, 0) // np.maximum(step, 1)), 0))
     ws = fid * step[text]
-    size = np.minimum(cap[text], n[text] - ws)
+    return text, fid, ws, np.minimum(cap[text], n[text] - ws)
+
+
+def _question_lengths(q: pa.Array, cfg: WindowConfig) -> np.ndarray:
+    return pc.fill_null(q, cfg.max_len).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _score_block(base: pa.Array, texts: pa.ListArray, cfg: WindowConfig, include_special: bool) -> pa.Table:
+    """The position-logits rows of a block of ids; ``row`` is the id's place in the block."""
+    row = np.repeat(np.arange(len(texts)), _counted(texts))
+    q, cut, hits = texts.flatten().flatten()
+    q, n = _question_lengths(q, cfg), _counted(cut)
+    cut, ts, te, tok0 = _offsets_of(cut, n)
+    found = np.concatenate(([0], np.cumsum(pc.fill_null(hits.flatten(), False).to_numpy(zero_copy_only=False).astype(np.int64))))
+    text, fid, ws, size = _windows_of(q, n, cfg)
     first = tok0[text] + ws
     w, i = _within(size)
     at = first[w] + i
@@ -248,3 +260,123 @@ def attach_offsets(scores: DataFrame, wtoks: DataFrame) -> DataFrame:
     """Key join of scorer output to window tokens (positional alignment by key)."""
     t = wtoks.select("id", "feature_idx", "pos", "ts", "te", "tok", "piece")
     return scores.join(t, ["id", "feature_idx", "pos"], "left").withColumn("is_context", F.col("ts").isNotNull())
+
+
+KEPT = {"feature_idx": "int", "pos": "int", "start_logit": None, "end_logit": None}  # columns of the scores; logits keep a kind of their own
+
+
+def _pack(columns: list[np.ndarray], known: list[np.ndarray]) -> bytes:
+    """Values and validity as one compressed string; bytes of equal weight lie together, as most of them repeat."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    raw = b"".join([*planes, *(b"" if k.all() else np.packbits(k).tobytes() for k in known)])
+    head = np.array([len(columns[0]), len(raw), *(not k.all() for k in known)], np.int32)
+    return head.tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(packed: bytes, dtypes: list[np.dtype]) -> list[pa.Array]:
+    n, size, *holes = np.frombuffer(packed, np.int32, 2 + len(dtypes)).tolist()
+    raw = np.frombuffer(pa.Codec("zstd").decompress(packed[4 * (2 + len(dtypes)):], size, asbytes=True), np.uint8)
+    out, at = [], 0
+    for t in dtypes:
+        out.append(np.ascontiguousarray(raw[at:at + n * t.itemsize].reshape(t.itemsize, n).T).view(t).ravel())
+        at += n * t.itemsize
+    for c, hole in enumerate(holes):
+        mask = None
+        if hole:
+            mask = np.unpackbits(raw[at:at + -(-n // 8)], count=n) == 0
+            at += -(-n // 8)
+        out[c] = pa.array(out[c], mask=mask)
+    return out
+
+
+def packed_scores(scores: DataFrame) -> tuple[DataFrame, list[np.dtype]]:
+    """``id, part``: scores that follow each other and have one id as a compressed value, and the kinds of its columns.
+
+    Positions would be shuffled and sorted as rows of some 50 bytes; so they
+    travel with about 3.
+    """
+    kinds = {"double": np.float64, "bigint": np.int64}
+    logit = "double" if {"float", "double"} & {dict(scores.dtypes)[c] for c in ("start_logit", "end_logit")} else "bigint"
+    dtypes = [np.dtype(np.int32 if t else kinds[logit]) for t in KEPT.values()]
+    ship_by_value(_pack)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0)
+            ends = np.append(np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1, b.num_rows)
+            known = [pc.is_valid(c).to_numpy(zero_copy_only=False) for c in b.columns[1:]]
+            values = [pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in b.columns[1:]]
+            starts = np.append(0, ends[:-1])
+            parts = [_pack([v[lo:hi] for v in values], [k[lo:hi] for k in known]) for lo, hi in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), pa.array(parts, pa.binary())], names=["id", "part"])
+
+    plain = scores.where(F.col("id").isNotNull()).select("id", *[F.col(c).cast(t or logit).alias(c) for c, t in KEPT.items()])
+    return plain.mapInArrow(run, T.StructType([scores.schema["id"], T.StructField("part", T.BinaryType())])), dtypes
+
+
+def _align_block(texts: pa.ListArray, parts: pa.ListArray, dtypes: list[np.dtype], cfg: WindowConfig) -> pa.Table:
+    """J3 on a block of ids: every scored position with the context token at its key, or several where texts share the id."""
+    held = _counted(texts)
+    own = np.cumsum(held) - held
+    q, cut = texts.flatten().flatten()
+    q, n = _question_lengths(q, cfg), _counted(cut)
+    cut, ts, te, tok0 = _offsets_of(cut, n)
+    step = cfg.max_len - cfg.n_special - q - cfg.stride
+    each = [_unpack(p, dtypes) for p in parts.flatten().to_pylist()]
+    columns = [pa.concat_arrays([e[c] for e in each] or [pa.array([], pa.from_numpy_dtype(t))]) for c, t in enumerate(dtypes)]
+    row = np.repeat(np.repeat(np.arange(len(parts)), _counted(parts)), [len(e[0]) for e in each] or [])
+    known = pc.and_(pc.is_valid(columns[0]), pc.is_valid(columns[1])).to_numpy(zero_copy_only=False)
+    fid, pos = (pc.fill_null(c, 0).to_numpy().astype(np.int64) for c in columns[:2])
+    # the windows of a text lie by arithmetic: texts that share an id are asked one after the other
+    met, tokens, rest = [], [], np.ones(len(row), bool)
+    for t in range(int(held.max(initial=0))):
+        of = np.flatnonzero(known & (held[row] > t))
+        text = own[row[of]] + t
+        at = fid[of] * step[text] + pos[of] - q[text] - 2
+        last = np.minimum(fid[of] * step[text] + cfg.max_len - cfg.n_special - q[text], n[text])
+        inside = (step[text] > 0) & (fid[of] >= 0) & (pos[of] >= q[text] + 2) & (at < last)
+        # the last window is the first that reaches the text's end
+        inside &= (fid[of] == 0) | ((fid[of] - 1) * step[text] + cfg.max_len - cfg.n_special - q[text] < n[text])
+        met.append(of[inside])
+        tokens.append(tok0[text[inside]] + at[inside])
+        rest[of[inside]] = False
+    alone = np.flatnonzero(rest)
+    take = pa.array(np.concatenate((*met, alone)).astype(np.int64))
+    is_ctx = np.arange(len(take)) < len(take) - len(alone)
+    at = pa.array(np.concatenate((*tokens, np.zeros(len(alone)))).astype(np.int64), mask=~is_ctx)
+    return pa.table({"row": pa.array(row).take(take), **{c: v.take(take) for c, v in zip(KEPT, columns, strict=True)}, "is_context": pa.array(is_ctx),
+                     "ts": pa.array(ts, pa.int32()).take(at), "te": pa.array(te, pa.int32()).take(at), "piece": cut.take(at)})
+
+
+def aligned_windows(scores: DataFrame, examples: DataFrame, cfg: WindowConfig, decode: DecodeConfig, paired: str | None = None) -> DataFrame:
+    """J3 and W1 with one row per id: ``id, windows``, where ``inline(windows)`` gives the rows of
+    ``window_topk(attach_offsets(scores, windowed_tokens(examples)))`` for the ids of ``examples``.
+
+    Scores travel packed and meet their texts by ``id``; a task cuts windows,
+    aligns positions by key and ranks them for blocks of ids, so no position is
+    shuffled or sorted as a row.
+    """
+    packed, dtypes = packed_scores(scores)
+    per_id = examples.where(F.col("id").isNotNull()).groupBy("id").agg(F.collect_list(F.struct("context", "question")).alias("texts"))
+    both = per_id.join(packed.groupBy("id").agg(F.collect_list("part").alias("parts")), "id")
+    cut = F.transform("texts", lambda x: F.struct(F.size(F.regexp_extract_all(x["question"], F.lit(TOKEN), 0)).alias("q_len"), pieces(x["context"]).alias("pieces")))
+    for shipped in (_align_block, top_block, WindowConfig):
+        ship_by_value(shipped)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, TEXT_BLOCK):
+                part = b.slice(lo, TEXT_BLOCK)
+                scored = _align_block(part.column("texts"), part.column("parts"), dtypes, cfg)
+                if decode.mask_before_topk:
+                    scored = scored.filter(scored["is_context"])
+                windows = top_block(scored, part.num_rows, decode.n_best)
+                if paired:
+                    windows = pair_block(windows, decode.max_answer_len, paired)
+                yield pa.RecordBatch.from_arrays([part.column("id"), windows], names=["id", "windows"])
+
+    logit = "double" if dtypes[-1].kind == "f" else "bigint"
+    out = T.StructType([examples.schema["id"], T.StructField("windows", T.DataType.fromDDL(windows_type(paired, logit)))])
+    return both.select("id", cut.alias("texts"), "parts").mapInArrow(run, out)

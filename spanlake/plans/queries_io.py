@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.config import TEST_DECODE, TEST_WINDOW
+from spanlake.functions.text import TOKEN
 from spanlake.operators import decode as D
 from spanlake.operators import folds as FO
 from spanlake.operators.metrics import mean_by_language, with_jaccard
 from spanlake.operators.scoring import (END_POS_MULT, ID_MULT, MATCH_WEIGHT, NEIGHBOURS, NOISE_MOD, START_POS_MULT,
-                                        WINDOW_MULT, attach_offsets, model_logits)
-from spanlake.operators.windows import sequence_arrays, windowed_tokens
+                                        WINDOW_MULT, aligned_windows, model_logits)
+from spanlake.operators.windows import sequence_arrays
 from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
@@ -77,35 +79,41 @@ def lexical_model(batch: pd.DataFrame) -> pd.DataFrame:
     (question segment = positions ``1..q_len``, context = ``sequence_ids == 1``),
     so decoding its output must give exactly the built-in predictions.
     """
-    ids, fids, poss, ss, es = [], [], [], [], []
-    for id_, fid, toks, sids, q_len in zip(batch["id"], batch["feature_idx"], batch["tokens"],
-                                          batch["sequence_ids"], batch["q_len"]):
-        toks = np.asarray(toks, dtype=object)
-        sids = np.asarray(sids)
-        q_set = {t.lower() for t in toks[1:1 + q_len]}
-        ctx = np.flatnonzero(sids == 1)
-        seg_pos = [np.arange(1, 1 + q_len), ctx]
-        seg_flag = [np.ones(q_len, dtype=np.int64), np.array([t.lower() in q_set for t in toks[ctx]], dtype=np.int64)]
-        pos_list = [np.array([0])]
-        fwd_list = [np.array([0])]
-        bwd_list = [np.array([0])]
-        for p, f in zip(seg_pos, seg_flag):
-            c = np.concatenate([[0], np.cumsum(f)])
-            i = np.arange(len(p))
-            fwd_list.append(c[np.minimum(i + NEIGHBOURS + 1, len(p))] - c[i])
-            bwd_list.append(c[i + 1] - c[np.maximum(i - NEIGHBOURS, 0)])
-            pos_list.append(p)
-        pos = np.concatenate(pos_list).astype(np.int64)
-        base = int(id_) * ID_MULT + int(fid) * WINDOW_MULT
-        ids.append(np.full(len(pos), int(id_), dtype=np.int64))
-        fids.append(np.full(len(pos), int(fid), dtype=np.int32))
-        poss.append(pos.astype(np.int32))
-        ss.append(np.concatenate(fwd_list) * MATCH_WEIGHT + (base + pos * START_POS_MULT) % NOISE_MOD)
-        es.append(np.concatenate(bwd_list) * MATCH_WEIGHT + (base + pos * END_POS_MULT) % NOISE_MOD)
-    if not ids:
+    n, q_len = len(batch), batch["q_len"].to_numpy(np.int64)
+    if not n:
         return pd.DataFrame({"id": [], "feature_idx": [], "pos": [], "start_logit": [], "end_logit": []})
-    return pd.DataFrame({"id": np.concatenate(ids), "feature_idx": np.concatenate(fids), "pos": np.concatenate(poss),
-                         "start_logit": np.concatenate(ss), "end_logit": np.concatenate(es)})
+    size = np.array([len(t) for t in batch["tokens"]], np.int64)
+    begin = np.cumsum(size) - size
+    words = pa.array(np.concatenate(batch["tokens"].to_list()), pa.string()).dictionary_encode()
+    lower = pa.array([w.lower() for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    code = lower.indices.to_numpy()[words.indices.to_numpy()].astype(np.int64)
+
+    def rows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(n), counts)
+        return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+    every, place = rows(size)
+    question = (place > 0) & (place <= q_len[every])
+    asked = np.unique(every[question] << 32 | code[question])
+    context = np.concatenate(batch["sequence_ids"].to_list()) == 1
+    w, p = every[context], place[context]
+    key = w << 32 | code[context]
+    hit = asked[np.minimum(np.searchsorted(asked, key), len(asked) - 1)] == key if len(asked) else np.zeros(len(key), bool)
+    c = np.concatenate(([0], np.cumsum(hit)))
+    last = np.cumsum(np.bincount(w, minlength=n))
+    first, i = (last - np.bincount(w, minlength=n))[w], np.arange(len(w))
+    fwd, bwd = c[np.minimum(i + NEIGHBOURS + 1, last[w])] - c[i], c[i + 1] - c[np.maximum(i - NEIGHBOURS, first)]
+    # CLS and the question, whose words are all in it
+    sw, k = rows(q_len + 1)
+    near = np.where(k == 0, 0, np.minimum(q_len[sw], k + NEIGHBOURS) - k + 1), np.where(k == 0, 0, k - np.maximum(1, k - NEIGHBOURS) + 1)
+    owner = np.concatenate((sw, w))
+    order = np.argsort(owner, kind="stable")
+    owner, pos, fwd, bwd = (np.concatenate(x)[order] for x in ((sw, w), (k, p), (near[0], fwd), (near[1], bwd)))
+    ids, fids = batch["id"].to_numpy(np.int64)[owner], batch["feature_idx"].to_numpy(np.int64)[owner]
+    base = ids * ID_MULT + fids * WINDOW_MULT
+    return pd.DataFrame({"id": ids, "feature_idx": fids.astype(np.int32), "pos": pos.astype(np.int32),
+                         "start_logit": fwd * MATCH_WEIGHT + (base + pos * START_POS_MULT) % NOISE_MOD,
+                         "end_logit": bwd * MATCH_WEIGHT + (base + pos * END_POS_MULT) % NOISE_MOD})
 
 
 @register("model_scorer", O.with_ctes(QA_BASE + O.decode_ctes("qa", W, DC), "SELECT id, prediction, score FROM pred"))
@@ -115,15 +123,17 @@ def q_model_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     window tokens by key and decode."""
     ex = X.qa(spark, sf_dir)
     part = partition_examples(ex)
-    feats = sequence_arrays(part, W).join(
-        part.select("id", F.size(F.regexp_extract_all("question", F.lit(r"(?U)\S+"), 0)).alias("q_len")), "id")
-    scores = model_logits(feats.select("id", "feature_idx", "tokens", "sequence_ids", "q_len"), lexical_model,
+    # rows that repeat an id share their questions' lengths, so these meet in the id's row and no sequence is joined
+    per_id = part.where(F.col("id").isNotNull()).groupBy("id").agg(F.collect_list(F.struct("context", "question")).alias("t"))
+    q_lens = F.transform("t.question", lambda q: F.size(F.regexp_extract_all(q, F.lit(TOKEN), 0)))
+    texts = per_id.select("id", "t", F.explode(q_lens).alias("_q")).select("id", "_q", F.inline("t"))
+    feats = sequence_arrays(texts, W, keep=("_q",))
+    scores = model_logits(feats.select("id", "feature_idx", "tokens", "sequence_ids", F.col("_q").alias("q_len")), lexical_model,
                           "id bigint, feature_idx int, pos int, start_logit bigint, end_logit bigint")
     path = scratch_dir(spark, "logits")
-    scores.write.mode("overwrite").parquet(path)
+    S.write_logits(scores, path)
     stored = S.read_logits(spark, path)
-    logits = attach_offsets(stored, windowed_tokens(part, W))
-    return D.with_predictions(ex, D.decode_spans(logits, DC))
+    return D.with_predictions(ex, D.decode_windows(aligned_windows(stored, part, W, DC, "best")))
 
 
 # --- J10 / P2 / M4 ----------------------------------------------------------------------
