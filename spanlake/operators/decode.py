@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.config import DecodeConfig
-from spanlake.functions.text import LEADING_WS
+from spanlake.functions.text import LEADING_WS, WHITE
 from spanlake.session import ship_by_value
 
 
@@ -85,7 +85,7 @@ def _lists(counts: np.ndarray, names: list[str], columns: list[pa.Array]) -> pa.
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat)
 
 
-def _descending(values: pa.ChunkedArray) -> np.ndarray:
+def _descending(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Integers whose ascending order is the descending one of scores: not-a-number first, null last, as Spark sorts them."""
     if pa.types.is_floating(values.type):
         x = pc.fill_null(values, 0).to_numpy().astype(np.float64) + 0.0
@@ -93,7 +93,7 @@ def _descending(values: pa.ChunkedArray) -> np.ndarray:
         key = np.where(bits < 0, bits ^ np.iinfo(np.int64).max, bits)
     else:
         key = pc.fill_null(values, 0).to_numpy().astype(np.int64)
-    return ~np.where(pc.is_null(values).to_numpy(), np.iinfo(np.int64).min, key)
+    return ~np.where(pc.is_null(values).to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, key)
 
 
 def top_block(scored: pa.Table, rows: int, n_best: int) -> pa.ListArray:
@@ -156,6 +156,57 @@ def _every_pair(starts: pa.ListArray, ends: pa.ListArray, max_answer_len: int) -
     return _lists(np.bincount(w, minlength=n), ["score", "nsrank", "nerank", "s_pos", "e_pos", "s_char", "e_char"], columns)
 
 
+def _texts(pieces: pa.ListArray, w: np.ndarray, s_pos: np.ndarray, e_pos: np.ndarray) -> pa.Array:
+    """:func:`_span_text` of positions ``s_pos .. e_pos`` of the windows ``w``."""
+    ends = pieces.offsets.to_numpy()
+    first = pieces.values.field("pos").to_numpy(zero_copy_only=False)[ends[w]] if len(w) else w
+    a = ends[w] + s_pos - first
+    size = np.maximum(np.minimum(a + e_pos - s_pos + 1, ends[w + 1]) - a, 0)
+    till = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(till[-1]) + np.repeat(a - till[:-1], size)
+    spans = pa.ListArray.from_arrays(pa.array(till, pa.int32()), pieces.values.field("piece").take(pa.array(at)))
+    return pc.utf8_ltrim(pc.binary_join(spans, ""), characters=WHITE)
+
+
+ANSWERS = "array<struct<rk:int,text:string,score:double>>"
+
+
+def answers_block(windows: pa.ListArray, max_answer_len: int, k: int) -> pa.ListArray:
+    """J4 and T5 on the windows of a block of ids (:func:`top_block`): the answers of each as :func:`nbest_list` ranks them.
+
+    An id's pairs are sorted once; texts are built from the best ones on until
+    ``k`` distinct ones, or all, are found.
+    """
+    flat = windows.flatten()
+    pairs = _every_pair(flat.field("starts"), flat.field("ends"), max_answer_len)
+    w = np.repeat(np.arange(len(flat)), pc.list_value_length(pairs).to_numpy())
+    owner = np.repeat(np.arange(len(windows)), pc.list_value_length(windows).to_numpy())[w]
+    found = pairs.flatten()
+    order = np.lexsort((_descending(found.field("score")), owner))  # pairs lie by window and ranks, which settle ties
+    s_pos, e_pos = (found.field(c).to_numpy().astype(np.int64) for c in ("s_pos", "e_pos"))
+    size = np.bincount(owner, minlength=len(windows))
+    begin = np.cumsum(size) - size
+    todo, wide, held = np.flatnonzero(size), 2 * k, []
+    while len(todo):
+        n = np.minimum(size[todo], wide)
+        own = np.repeat(np.arange(len(todo)), n)
+        at = order[np.arange(len(own)) + np.repeat(begin[todo] - np.cumsum(n) + n, n)]
+        text = _texts(flat.field("pieces"), w[at], s_pos[at], e_pos[at])
+        _, new = np.unique(own << 32 | text.dictionary_encode().indices.to_numpy(), return_index=True)
+        new.sort()
+        count = np.bincount(own[new], minlength=len(todo))
+        rank = np.arange(len(new)) - np.repeat(np.cumsum(count) - count, count) + 1
+        done = (count >= k) | (n == size[todo])
+        new, rank = (x[done[own[new]] & (rank <= k)] for x in (new, rank))
+        held.append((todo[own[new]], rank, at[new], text.take(pa.array(new))))
+        todo, wide = todo[~done], 4 * wide
+    ids, rank, at = (np.concatenate([h[c] for h in held] or [np.zeros(0, np.int64)]) for c in range(3))
+    text = pa.concat_arrays([h[3] for h in held] or [pa.array([], pa.string())])
+    by_id = np.argsort(ids, kind="stable")
+    score = found.field("score").take(pa.array(at[by_id])).cast(pa.float64())
+    return _lists(np.bincount(ids, minlength=len(windows)), ["rk", "text", "score"], [pa.array(rank[by_id], pa.int32()), text.take(pa.array(by_id)), score])
+
+
 def _let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
 

@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from spanlake.config import DecodeConfig, WindowConfig
 from spanlake.functions.arrays import let
-from spanlake.functions.text import TOKEN, pieces
-from spanlake.operators.decode import pair_block, top_block, windows_type
+from spanlake.functions.text import TOKEN, WHITE, pieces
+from spanlake.operators.decode import ANSWERS, answers_block, pair_block, top_block, windows_type
 from spanlake.operators.tokens import tokenize
 from spanlake.operators.windows import explode_windows, with_geometry
 from spanlake.session import ship_by_value
@@ -117,8 +117,6 @@ def lexical_logits(examples: DataFrame, cfg: WindowConfig, include_special: bool
     )
 
 
-# Unicode White_Space, which (?U)\\s matches (Python's own notion has four control characters more)
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TEXT_BLOCK = 128  # ids scored together: bounds a task's memory whatever the size of an Arrow batch
 
 
@@ -194,17 +192,16 @@ def _score_block(base: pa.Array, texts: pa.ListArray, cfg: WindowConfig, include
         "ts": of_token(ts), "te": of_token(te), "piece": cut.take(pa.array(at, mask=~is_ctx))})
 
 
-def lexical_windows(examples: DataFrame, cfg: WindowConfig, decode: DecodeConfig, paired: str | None = None,
-                    through: tuple[Callable[[pa.Table], pa.Table], ...] = ()) -> DataFrame:
-    """M2 and W1 with one row per id: ``id, windows``, where ``inline(windows)`` gives the rows of
-    ``window_topk(lexical_logits(examples))``.
+def texts_of_ids(examples: DataFrame) -> DataFrame:
+    """``id, texts``: the context and question of every row of an id; the partitioning by ``id`` satisfies it."""
+    return examples.groupBy("id").agg(F.collect_list(F.struct("context", "question")).alias("texts"))
 
-    Spark cuts the texts and marks the question's words; a task scores and ranks
-    blocks of ids with numpy, so no token ever is a row.  Rows that repeat an id
-    meet in its row (one aggregate, which the partitioning by ``id`` satisfies).
-    ``through`` are steps on a block's positions between scoring and ranking;
-    with ``paired`` a window also holds its best valid pair or every one (J4).
-    """
+
+def _lexical_rows(examples: DataFrame, cfg: WindowConfig, decode: DecodeConfig, through: tuple[Callable[[pa.Table], pa.Table], ...],
+                  finish: Callable[[pa.ListArray], pa.ListArray], name: str, kind: str, shared: bool = True) -> DataFrame:
+    """``id`` and what ``finish`` makes of its ranked windows, for blocks of ids (without ``shared`` those of one row only)."""
+    per_id = texts_of_ids(examples)
+    per_id = per_id if shared else per_id.where(F.size("texts") == 1)
     numeric = dict(examples.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint")
 
     def marked(x: Column) -> Column:
@@ -215,7 +212,6 @@ def lexical_windows(examples: DataFrame, cfg: WindowConfig, decode: DecodeConfig
 
         return let(F.regexp_extract_all(x["question"], F.lit(TOKEN), 0), of)
 
-    per_id = examples.groupBy("id").agg(F.collect_list(F.struct("context", "question")).alias("texts"))
     rows = per_id.select("id", (_numeric_id(F.col("id"), numeric).cast("bigint") * ID_MULT).alias("base"), F.transform("texts", marked).alias("texts"))
     for shipped in (_score_block, top_block, WindowConfig, *through):
         ship_by_value(shipped)
@@ -228,12 +224,32 @@ def lexical_windows(examples: DataFrame, cfg: WindowConfig, decode: DecodeConfig
                 scored = _score_block(part.column("base"), part.column("texts"), cfg, include_special)
                 for step in through:
                     scored = step(scored)
-                windows = top_block(scored, part.num_rows, decode.n_best)
-                if paired:
-                    windows = pair_block(windows, decode.max_answer_len, paired)
-                yield pa.RecordBatch.from_arrays([part.column("id"), windows], names=["id", "windows"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), finish(top_block(scored, part.num_rows, decode.n_best))], names=["id", name])
+
+    return rows.mapInArrow(run, T.StructType([examples.schema["id"], T.StructField(name, T.DataType.fromDDL(kind))]))
+
+
+def lexical_windows(examples: DataFrame, cfg: WindowConfig, decode: DecodeConfig, paired: str | None = None,
+                    through: tuple[Callable[[pa.Table], pa.Table], ...] = ()) -> DataFrame:
+    """M2 and W1 with one row per id: ``id, windows``, where ``inline(windows)`` gives the rows of
+    ``window_topk(lexical_logits(examples))``.
+
+    Spark cuts the texts and marks the question's words; a task scores and ranks
+    blocks of ids with numpy, so no token ever is a row.  Rows that repeat an id
+    meet in its row (one aggregate, which the partitioning by ``id`` satisfies).
+    ``through`` are steps on a block's positions between scoring and ranking;
+    with ``paired`` a window also holds its best valid pair or every one (J4).
+    """
+    def finish(windows: pa.ListArray) -> pa.ListArray:
+        return pair_block(windows, decode.max_answer_len, paired) if paired else windows
+
+    return _lexical_rows(examples, cfg, decode, through, finish, "windows", windows_type(paired))
+
 
-    return rows.mapInArrow(run, T.StructType([examples.schema["id"], T.StructField("windows", T.DataType.fromDDL(windows_type(paired)))]))
+def lexical_answers(examples: DataFrame, cfg: WindowConfig, decode: DecodeConfig, k: int) -> DataFrame:
+    """M2, W1, J4 and T5 with one row per id: ``id, answers``, where ``inline(answers)`` gives the rows of
+    ``nbest_list(span_candidates(window_topk(lexical_logits(examples))), k)``; no pair of positions is a row."""
+    return _lexical_rows(examples, cfg, decode, (), lambda windows: answers_block(windows, decode.max_answer_len, k), "answers", ANSWERS)
 
 
 def model_logits(features: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame],
@@ -359,7 +375,7 @@ def aligned_windows(scores: DataFrame, examples: DataFrame, cfg: WindowConfig, d
     shuffled or sorted as a row.
     """
     packed, dtypes = packed_scores(scores)
-    per_id = examples.where(F.col("id").isNotNull()).groupBy("id").agg(F.collect_list(F.struct("context", "question")).alias("texts"))
+    per_id = texts_of_ids(examples.where(F.col("id").isNotNull()))
     both = per_id.join(packed.groupBy("id").agg(F.collect_list("part").alias("parts")), "id")
     cut = F.transform("texts", lambda x: F.struct(F.size(F.regexp_extract_all(x["question"], F.lit(TOKEN), 0)).alias("q_len"), pieces(x["context"]).alias("pieces")))
     for shipped in (_align_block, top_block, WindowConfig):

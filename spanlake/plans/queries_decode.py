@@ -13,7 +13,7 @@ from spanlake.operators.windows import assembled_lengths, label_windows, window_
 from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
-from spanlake.plans.composite import eval_by_language, lexical_logits_for, lexical_predictions, lexical_topk_for
+from spanlake.plans.composite import eval_by_language, lexical_answers_for, lexical_logits_for, lexical_predictions, lexical_topk_for
 from spanlake.session import shuffle_partitions
 from spanlake.sources.tables import table
 
@@ -219,6 +219,4 @@ SELECT id, CAST(rk AS INTEGER) AS rk, text, CAST(score AS DOUBLE) AS score FROM
   WHERE tr = 1) c3
 WHERE rk <= {NBEST_K}"""))
 def q_nbest_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tk = D.window_topk(lexical_logits_for(X.qa(spark, sf_dir), W, DC), DC.n_best)
-    return D.nbest_list(D.span_candidates(tk, DC.max_answer_len, n_texts=NBEST_K), NBEST_K).select(
-        "id", F.col("rk").cast("int"), "text", "score")
+    return lexical_answers_for(X.qa(spark, sf_dir), W, DC, NBEST_K).select("id", "rk", "text", "score")

@@ -58,3 +58,19 @@ def test_no_scored_position_is_shuffled(spark):
     p = _plan(_queries()["model_scorer"](spark, SF_SMALL))
     assert "posexplode" not in p
     assert not [x for x in p.split("\n") if "Exchange" in x and "feature_idx" in x]
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_answers_equal_those_of_candidate_rows(rows, k):
+    want = D.nbest_list(D.span_candidates(D.window_topk(S.lexical_logits(rows, CFG), 20), 10), k)
+    got = S.lexical_answers(rows, CFG, DecodeConfig(20, 10), k).select("id", F.inline("answers"))
+    assert got.dtypes == want.dtypes
+    _same(got, want)
+
+
+def test_answers_look_on_until_enough_texts_differ(spark):
+    """Most pairs of a window have one of two texts, so the first pairs hold fewer than ``k`` distinct ones."""
+    rows = spark.createDataFrame([(1, "z " * 200 + "y", "z"), (2, "z z", "z")], "id long, context string, question string")
+    want = D.nbest_list(D.span_candidates(D.window_topk(S.lexical_logits(rows, CFG), 20), 3), 5)
+    got = S.lexical_answers(rows, CFG, DecodeConfig(20, 3), 5).select("id", F.inline("answers"))
+    _same(got, want)
