@@ -207,6 +207,31 @@ def answers_block(windows: pa.ListArray, max_answer_len: int, k: int) -> pa.List
     return _lists(np.bincount(ids, minlength=len(windows)), ["rk", "text", "score"], [pa.array(rank[by_id], pa.int32()), text.take(pa.array(by_id)), score])
 
 
+SWEPT = "array<struct<n_best:int,max_len:int,score:double,prediction:string>>"
+
+
+def best_of_grid(windows: pa.ListArray, pts: list[tuple[int, int]]) -> pa.ListArray:
+    """G6 on the windows of a block of ids: the best span of each for every grid point, NULL where there is none."""
+    flat, rows = windows.flatten(), len(windows)
+    starts, ends = flat.field("starts"), flat.field("ends")
+    sides = [_field(x, f) for x in (starts, ends) for f in ("logit", "pos", "rk")]
+    places = pa.concat_arrays([a.flatten() for a in _best_pairs(pts)(iter([sides]))] or [pa.array([], pa.struct([("i", pa.int32()), ("j", pa.int32())]))])
+    at = np.flatnonzero(pc.is_valid(places.field("i")).to_numpy(zero_copy_only=False))
+    w, c = at // len(pts), at % len(pts)
+    i, j = (places.field(f).take(pa.array(at)).to_numpy() for f in ("i", "j"))
+    s, e = (x.values.take(pa.array(x.offsets.to_numpy()[w] + k)) for x, k in ((starts, i), (ends, j)))
+    score = pc.add(s.field("logit"), e.field("logit"))
+    own = np.repeat(np.arange(rows), pc.list_value_length(windows).to_numpy())[w] * len(pts) + c
+    order = np.lexsort((_descending(score), own))  # windows lie in order, which settles ties
+    best = order[np.flatnonzero(np.diff(own[order], prepend=-1))]
+    text = _texts(flat.field("pieces"), w[best], *(x.field("pos").take(pa.array(best)).to_numpy().astype(np.int64) for x in (s, e)))
+    there = np.full(rows * len(pts), -1)
+    there[own[best]] = np.arange(len(best))
+    take = pa.array(there, mask=there < 0)
+    grid = [pa.array(np.tile([p[f] for p in pts], rows), pa.int32()) for f in (0, 1)]
+    return _lists(np.full(rows, len(pts)), ["n_best", "max_len", "score", "prediction"], [*grid, score.take(pa.array(best)).take(take).cast(pa.float64()), text.take(take)])
+
+
 def _let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from spanlake.config import DecodeConfig, WindowConfig
 from spanlake.functions.arrays import let
 from spanlake.functions.text import TOKEN, WHITE, pieces
-from spanlake.operators.decode import ANSWERS, answers_block, pair_block, top_block, windows_type
+from spanlake.operators.decode import ANSWERS, SWEPT, answers_block, best_of_grid, pair_block, top_block, windows_type
 from spanlake.operators.tokens import tokenize
 from spanlake.operators.windows import explode_windows, with_geometry
 from spanlake.session import ship_by_value
@@ -252,6 +252,16 @@ def lexical_answers(examples: DataFrame, cfg: WindowConfig, decode: DecodeConfig
     return _lexical_rows(examples, cfg, decode, (), lambda windows: answers_block(windows, decode.max_answer_len, k), "answers", ANSWERS)
 
 
+def lexical_sweep(examples: DataFrame, cfg: WindowConfig, decode: DecodeConfig, grid: list[tuple[int, int]], shared: bool = True) -> DataFrame:
+    """M2, W1 and G6 with one row per id: ``id, swept``, every grid point's best span as ``sweep_best`` finds it (NULL where there is none).
+
+    Windows are ranked once, at the grid maxima in ``decode``; without ``shared``
+    ids that rows share are left out.
+    """
+    pts = sorted(set(grid))
+    return _lexical_rows(examples, cfg, decode, (), lambda windows: best_of_grid(windows, pts), "swept", SWEPT, shared)
+
+
 def model_logits(features: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame],
                  schema: str = "id bigint, feature_idx int, pos int, start_logit double, end_logit double"
                  ) -> DataFrame:

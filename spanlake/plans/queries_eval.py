@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.config import TEST_DECODE, TEST_WINDOW, DecodeConfig
@@ -22,7 +22,7 @@ from spanlake.plans import fixtures as X
 from spanlake.plans import oracle as O
 from spanlake.plans.catalog import register
 from spanlake.operators.scoring import lexical_logits
-from spanlake.plans.composite import lexical_logits_for, lexical_predictions, lexical_windows_for
+from spanlake.plans.composite import lexical_logits_for, lexical_predictions, lexical_sweep_for, lexical_windows_for
 from spanlake.session import scratch_dir, shuffle_partitions
 from spanlake.sources.tables import table
 
@@ -60,12 +60,17 @@ FROM gpred GROUP BY GROUPING SETS ((n_best, max_len, language), (n_best, max_len
 def q_decode_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All grid points from one candidate frame ranked at the grid maxima."""
     ex = X.qa(spark, sf_dir)
-    tk = D.window_topk(lexical_logits_for(ex, W, GRID_MAX), GRID_MAX.n_best)
-    best = D.sweep_best(tk, SWEEP_GRID)
+    swept = lexical_sweep_for(ex, W, GRID_MAX, SWEEP_GRID)
+    # a point without a span is left out or NULL
+    none = F.array().cast("array<struct<n_best:int,max_len:int,score:double,prediction:string>>")
     grid = F.array(*[F.struct(F.lit(n).alias("n_best"), F.lit(m).alias("max_len")) for n, m in sorted(set(SWEEP_GRID))])
-    per = ex.select("id", "language", "answer_text", F.explode(grid).alias("g")).select(
-        "id", "language", "answer_text", "g.n_best", "g.max_len")
-    j = per.join(best, ["n_best", "max_len", "id"], "left").withColumn("prediction", F.coalesce("prediction", F.lit("")))
+
+    def predicted(g: Column) -> Column:
+        own = F.filter("swept", lambda x: (x["n_best"] == g["n_best"]) & (x["max_len"] == g["max_len"]))
+        return F.struct(g["n_best"].alias("n_best"), g["max_len"].alias("max_len"), F.coalesce(F.try_element_at(own, F.lit(1))["prediction"], F.lit("")).alias("prediction"))
+
+    per = ex.select("id", "language", "answer_text").join(swept, "id", "left").withColumn("swept", F.coalesce("swept", none))
+    j = per.select("language", "answer_text", F.inline(F.transform(grid, predicted)))
     g = j.withColumn("jaccard", jaccard("answer_text", "prediction")).groupingSets(
         [["n_best", "max_len", "language"], ["n_best", "max_len"]], "n_best", "max_len", "language")
     return g.agg(F.round(F.avg("jaccard"), 6).alias("mean_jaccard")).select("n_best", "max_len", "language",

@@ -7,6 +7,7 @@ from spanlake.config import DecodeConfig, WindowConfig
 from spanlake.operators import decode as D
 from spanlake.operators import scoring as S
 from spanlake.operators.windows import windowed_tokens
+from spanlake.plans.composite import lexical_sweep_for
 from tests.conftest import SF_SMALL
 
 CFG = WindowConfig(24, 6, 3)
@@ -74,3 +75,26 @@ def test_answers_look_on_until_enough_texts_differ(spark):
     want = D.nbest_list(D.span_candidates(D.window_topk(S.lexical_logits(rows, CFG), 20), 3), 5)
     got = S.lexical_answers(rows, CFG, DecodeConfig(20, 3), 5).select("id", F.inline("answers"))
     _same(got, want)
+
+
+GRID = [(2, 5), (20, 1), (20, 5), (5, 30), (20, 30), (20, 5)]
+
+
+def test_a_sweep_in_rows_equals_that_of_windows(rows):
+    want = D.sweep_best(D.window_topk(S.lexical_logits(rows, CFG), 20), GRID)
+    got = S.lexical_sweep(rows, CFG, DecodeConfig(20, 30), GRID).select("id", F.inline("swept")).where("prediction is not null")
+    _same(got.select(want.columns), want)
+    assert S.lexical_sweep(rows, CFG, DecodeConfig(20, 30), GRID).select(F.size("swept").alias("n")).distinct().collect() == [(len(set(GRID)),)]
+
+
+@pytest.mark.parametrize("masked", [False, True])
+def test_texts_that_share_an_id_are_swept_together(rows, masked):
+    want = D.sweep_best(D.window_topk(S.lexical_logits(rows, CFG, include_special=not masked), 20, masked), GRID).where("id is not null")
+    got = lexical_sweep_for(rows, CFG, DecodeConfig(20, 30, masked), GRID).select("id", F.inline("swept")).where("prediction is not null and id is not null")
+    _same(got.select(want.columns), want)
+
+
+def test_answers_and_sweeps_rank_windows_in_blocks(spark):
+    assert "posexplode" not in _plan(_queries()["nbest_list"](spark, SF_SMALL))
+    p = _plan(_queries()["decode_sweep"](spark, SF_SMALL))
+    assert "MapInArrow" in p and p.count("posexplode") == 1   # ids of one text in blocks, ids that texts share by positions
