@@ -25,9 +25,11 @@ SAMPLE = 8192      # rows an index is fitted on
 MAX_CELLS = 1024
 
 
-def clean_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, vec`` (array<double>) without null, empty or not fully finite vectors, and without null ids."""
-    v = F.col(vector_col).cast("array<double>")
+def clean_vectors(df: DataFrame, id_col: str, vector_col: str, single: bool = False) -> DataFrame:
+    """``id, vec`` (array<double>; with ``single`` array<float> where it is one) without null, empty or not fully finite vectors, and without null ids."""
+    v = F.col(vector_col)
+    if not (single and df.schema[vector_col].dataType.simpleString() == "array<float>"):
+        v = v.cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where((F.size("vec") > 0) & fine)
 
@@ -57,17 +59,19 @@ def sample_matrix(vectors: DataFrame) -> np.ndarray:
 
 
 def blocked_search(data: DataFrame, queries: DataFrame, counts: dict[int, int], asked: dict[int, int], block: int,
-                   search: Callable[[dict, dict], tuple[np.ndarray, np.ndarray, np.ndarray]], score_type: T.DataType) -> DataFrame:
+                   search: Callable[[dict, dict], tuple[np.ndarray, np.ndarray, np.ndarray]], score_type: T.DataType,
+                   query_block: int = QUERY_BLOCK, alone: bool = False) -> DataFrame:
     """``query_id, ids, scores`` (one row, with lists) of the best that each query finds in each block of its cells.
 
     ``data``: ``cell, id`` and its columns; ``queries``: ``cell, id`` and its
     columns, one row per cell to visit; ``counts`` and ``asked`` give the rows of
     either per cell (bounded tables: one entry per cell).  ``search(data,
     queries)`` gets dictionaries of Arrow columns and returns query row numbers
-    (ascending), vector ids and scores.
+    (ascending), vector ids and scores.  With ``alone`` few pairs of blocks share
+    a task, for blocks that are much work each.
     """
     nd = {c: -(-n // block) for c, n in counts.items()}
-    nq = {c: -(-n // QUERY_BLOCK) for c, n in asked.items() if c in nd}
+    nq = {c: -(-n // query_block) for c, n in asked.items() if c in nd}
 
     def mapped(m: dict[int, int]) -> Column:
         keys = sorted(m) or [-1]
@@ -98,7 +102,9 @@ def blocked_search(data: DataFrame, queries: DataFrame, counts: dict[int, int],
                                               pa.ListArray.from_arrays(at, pa.array(score))], names=["query_id", "ids", "scores"])
 
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(score_type))])
-    return both.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
+    pairs = sum(nd[c] * nq[c] for c in nq)
+    both = both.repartition(min(4 * pairs, MAX_CELLS), "g") if alone and pairs > 1 else both.repartition("g")
+    return both.sortWithinPartitions("g").mapInArrow(run, schema)
 
 
 class Best:

@@ -86,3 +86,42 @@ def test_chi_square_law():
     x = np.random.default_rng(1).chisquare(projections.DIMS, 200_000)
     assert abs((x <= projections.reach()).mean() - projections.CONFIDENCE) < 0.002
     assert search.rows_per_block(10) == 512 and search.rows_per_block(10**9) == 8192
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e15])
+def test_closest_is_exact_where_all_is_admitted(scale):
+    """Rounding in single precision leaves out no pair, however many products tie or differ by little; large blocks are met in few steps."""
+    g = np.random.default_rng(4)
+    x = g.standard_normal((5000, 16))
+    x[1000:2500] = x[7]                                                    # more copies than anyone asks for
+    x[3000:3400] = x[8] * (1 + 1e-12 * g.standard_normal((400, 1)))        # products that single precision cannot tell apart
+    x *= scale
+    ids = g.permutation(5000) // 2                                         # every id twice
+    rows = np.r_[0:40, 1000:1010, 3000:3010]
+    qx, qid = x[rows], ids[rows]
+    kept = projections.first_copies(x, ids, 20)
+    assert len(kept) < 3600
+    row, found, score = projections.closest(qx, qid, x[kept], ids[kept], np.zeros(len(kept), int), lambda part: np.ones((len(qx[part]), 1), bool), np.full(len(qx), -np.inf), 20)
+    every = projections.inner(qx, x)
+    for i in range(len(qx)):
+        order = np.lexsort((ids, -every[i]))
+        want = [(ids[j], every[i, j]) for j in order if ids[j] != qid[i]][:20]
+        assert list(zip(found[row == i].tolist(), score[row == i].tolist())) == want
+
+
+def test_vectors_travel_in_few_copies(spark, points):
+    """Whatever the number of queries up to a block, a cell's vectors are sent to one task, as they are stored."""
+    sent = []
+    plain = search.blocked_search
+
+    def seen(data, queries, counts, asked, block, *more, **kw):
+        sent.append((data.schema["vec"].dataType.simpleString(), sum(-(-asked[c] // more[2]) for c in asked if c in counts) / len(asked)))
+        return plain(data, queries, counts, asked, block, *more, **kw)
+
+    df = table(spark, points)
+    search.blocked_search = seen
+    try:
+        assert projections.nearest(df, df).count() == 20 * len(points)
+    finally:
+        search.blocked_search = plain
+    assert sent == [("array<float>", 1.0)] * 2
